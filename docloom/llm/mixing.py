@@ -121,7 +121,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 8, weights: dict | Non
     earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("chunk", "sid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     sid_blocks = info.select("sid", "blocks")
-    ranked = slots.join(offsets, ["chunk", "sid"]).join(F.broadcast(sid_blocks), "sid").withColumn("rank", F.col("first") + F.col("local"))
+    ranked = slots.hint("merge").join(offsets, ["chunk", "sid"]).join(F.broadcast(sid_blocks), "sid").withColumn("rank", F.col("first") + F.col("local"))
     times = (
         ranked.where((F.col("blocks") > 0) & (F.col("rank") < max_epochs * F.col("blocks")))
         .groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block"))

@@ -22,6 +22,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    lexicon = fit(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs.select("doc_id", "text"), lexicon)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_hits")
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_digests
 
@@ -41,7 +57,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_output": op5_token_output, "op8_mixing": op8_mixing, "op10_media": op10_media}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op3_html_extraction": op3_html_extraction,
+        "op5_token_output": op5_token_output,
+        "op8_mixing": op8_mixing,
+        "op10_media": op10_media,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
