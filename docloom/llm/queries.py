@@ -44,6 +44,18 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -61,6 +73,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op3_html_extraction": op3_html_extraction,
         "op5_token_output": op5_token_output,
+        "op6_pii": op6_pii,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_mixing": op8_mixing,
         "op10_media": op10_media,
     }
