@@ -44,6 +44,12 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_digests
 
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_html_extraction": op3_html_extraction,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_token_output": op5_token_output,
         "op6_pii": op6_pii,
         "op7_embedding_dedup": op7_embedding_dedup,
