@@ -74,6 +74,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
@@ -90,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": op6_pii,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_mixing": op8_mixing,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_media": op10_media,
     }
 
