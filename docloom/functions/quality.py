@@ -88,7 +88,7 @@ def heading_level(text: Column) -> Column:
 
 def is_table_like(text: Column) -> Column:
     low = F.lower(squeeze(text))
-    shape = low.rlike(r"\|.+\||;.*;|\b(?:row|column) +\d+\b")
+    shape = low.rlike(r"\|.+\||;.*;|(?:^|[^\p{L}\p{N}_])(?:row|column) +\d+(?:[^\p{L}\p{N}_]|$)")
     return (low != "") & (shape | F.exists(F.array(*[F.lit(t) for t in TABLE_LIKE_TERMS]), lambda t: F.contains(low, t)))
 
 

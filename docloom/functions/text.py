@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vocabulary import DOCUMENT_EXTENSIONS, PLACEHOLDERS, STEM_SUFFIXES, STOP_WORDS
@@ -64,8 +64,11 @@ def stem(word: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Stems of the words that are neither stop words nor single letters, in order, with repeats."""
-    kept = F.filter(tokens(text), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
-    return F.transform(kept, stem)
+    return terms_of(tokens(text))
+
+
+def terms_of(words: Column) -> Column:
+    return F.transform(F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS)), stem)
 
 
 def phrase_form(text: Column) -> Column:
@@ -123,18 +126,24 @@ def is_upper(text: Column) -> Column:
     return (F.upper(text) == text) & (F.lower(text) != text)
 
 
-def sanitize_lines(text: Column) -> Column:
-    """Squeezed lines without blanks and consecutive repeats, as one line; of two equal halves the first."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), squeeze), lambda s: s != "")
-    forms = F.transform(lines, lambda s: F.struct(s.alias("line"), phrase_form(s).alias("form")))
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit("").alias("last"))
-    kept = F.aggregate(
-        forms, start,
-        lambda a, x: F.when(x["form"] == a["last"], a).otherwise(F.struct(F.concat(a["kept"], F.array(x["line"])).alias("kept"), x["form"].alias("last"))),
-    )["kept"]
-    joined = F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(squeeze(text))
-    left, right = halves(joined)
-    return F.when((F.size(F.split(joined, " ")) >= 6) & (phrase_form(left) == phrase_form(right)), left).otherwise(joined)
+def with_clean(df: DataFrame, text: str = "text", out: str = "clean") -> DataFrame:
+    """``df`` with squeezed lines as one line: blanks and consecutive repeats dropped, of two equal halves the first.
+
+    Array functions are interpreted and evaluated wherever they stand, so each step is a column of its own.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"), squeeze), lambda s: s != "")
+    df = df.withColumn("_lines", lines).withColumn("_forms", F.transform("_lines", phrase_form))
+    new = F.filter("_lines", lambda s, i: F.get("_forms", i) != F.coalesce(F.get("_forms", i - 1), F.lit("")))
+    joined = F.when(F.size("_kept") > 0, F.array_join("_kept", " ")).otherwise(squeeze(F.col(text)))
+    df = df.withColumn("_kept", new).withColumn("_joined", joined).withColumn("_mirrored", is_mirrored(F.col("_joined")))
+    df = df.withColumn(out, F.when(F.col("_mirrored"), halves(F.col("_joined"))[0]).otherwise(F.col("_joined")))
+    return df.drop("_lines", "_forms", "_kept", "_joined", "_mirrored")
+
+
+def is_mirrored(flat: Column) -> Column:
+    """Six words or more whose halves have the same phrase form."""
+    left, right = halves(flat)
+    return (F.regexp_count(flat, F.lit(" ")) >= 5) & (phrase_form(left) == phrase_form(right))
 
 
 def halves(flat: Column) -> tuple[Column, Column]:

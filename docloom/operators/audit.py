@@ -21,8 +21,9 @@ SERVICE_TERMS = (
 FORMULA_TERMS = ("расчет", "расчёт", "формула", "коэффициент", "удельн", "мг/м3", "мг/м³")
 POLLUTANT_TERMS = ("загрязняющ", "вещество", "выброс", "источник", "оборудован", "котел", "труба")
 TOC_PATTERN = r"(?:^|\s)\d+(?:\.\d+)+\.?\s+\S+|\.{3,}\s*\d+\s*$"
-FORMULA_PATTERN = r"[=<>±×*/]|\b\d+(?:[.,]\d+)?\s*(?:мг/м3|мг/м³|т/год|г/с|кг/ч|м3/ч|м³/ч)"
-SYMBOL_PATTERN = r"\b(?:nox|so2|co)\b"
+EDGE = r"[^\p{L}\p{N}_]"
+FORMULA_PATTERN = rf"[=<>±×*/]|(?:^|{EDGE})\d+(?:[.,]\d+)?\s*(?:мг/м3|мг/м³|т/год|г/с|кг/ч|м3/ч|м³/ч)"
+SYMBOL_PATTERN = rf"(?:^|{EDGE})(?:nox|so2|co)(?:{EDGE}|$)"
 
 
 def _any(text: Column, terms: tuple[str, ...]) -> Column:

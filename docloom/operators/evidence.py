@@ -37,8 +37,8 @@ def windows(text: Column, limit: int = WINDOW_CHARS) -> Column:
 
 def classify_windows(sources: DataFrame, rules: Rules) -> DataFrame:
     """Candidates of windows (columns document_id, filename, ord, source_type, section_id, section_title, page, text)."""
-    low = T.match_form(F.col("text"))
-    out, hits, scores = sources, {}, []
+    out, hits, scores = sources.withColumn("_low", T.match_form(F.col("text"))), {}, []
+    low = F.col("_low")
     for category, terms in rules.requirements.items():
         found = F.filter(literals(terms), lambda t: F.contains(low, t))
         hits[category] = found
@@ -59,7 +59,7 @@ def classify_windows(sources: DataFrame, rules: Rules) -> DataFrame:
     )
     out = out.withColumn("best", best).withColumn("matched_terms", terms).withColumn("hints", hints).withColumn("reason_codes", F.array_sort(F.array_distinct(reasons)))
     out = out.where("best is not null").withColumn("category", F.col("best.category")).withColumn("score", F.round(F.least(score, F.lit(0.95)), 2))
-    return out.withColumn("text", T.squeeze(F.col("text"))).withColumn("snippet", T.preview(F.col("text"), 240)).drop("best", "hints")
+    return out.withColumn("text", T.squeeze(F.col("text"))).withColumn("snippet", T.preview(F.col("text"), 240)).drop("best", "hints", "_low")
 
 
 def requirements(sources: DataFrame, rules: Rules, min_score: float = 0.45, max_per_document: int | None = None, query: str | None = None) -> DataFrame:
@@ -112,7 +112,8 @@ def table_evidence(tables: DataFrame, rules: Rules) -> DataFrame:
     has = F.size("headers") > 0
     body = F.when(has & (F.size("rows") > 1), F.slice("rows", 2, F.greatest(F.size("rows"), F.lit(1)))).otherwise(F.col("rows"))
     t = t.withColumn("head_text", F.array_join("headers", " ")).withColumn("body_text", table_text(body))
-    head, rest = T.match_form(F.col("head_text")), T.match_form(F.col("body_text"))
+    t = t.withColumn("_head", T.match_form(F.col("head_text"))).withColumn("_rest", T.match_form(F.col("body_text")))
+    head, rest = F.col("_head"), F.col("_rest")
     per, matched = [], []
     for category, terms in rules.tables.items():
         forms = [F.lit(" ".join(x.split()).lower().replace("ё", "е")) for x in terms]
@@ -132,7 +133,7 @@ def table_evidence(tables: DataFrame, rules: Rules) -> DataFrame:
         + F.when(n_cols >= 2, 0.04).otherwise(0.0) + F.when(hinted, 0.04).otherwise(0.0)
     )
     whole = F.concat_ws(" ", "head_text", "body_text")
-    return t.withColumn("row_count", n_rows).withColumn("column_count", n_cols).withColumn("score", F.round(F.least(score, F.lit(0.95)), 2)).withColumn("snippet", T.preview(whole, 280)).drop("per", "best", "head_text", "body_text")
+    return t.withColumn("row_count", n_rows).withColumn("column_count", n_cols).withColumn("score", F.round(F.least(score, F.lit(0.95)), 2)).withColumn("snippet", T.preview(whole, 280)).drop("per", "best", "head_text", "body_text", "_head", "_rest")
 
 
 def rank_tables(records: DataFrame, min_score: float = 0.25, max_tables: int | None = None, category: str | None = None) -> DataFrame:

@@ -49,14 +49,14 @@ def retrieval(rows: DataFrame, entries: DataFrame, top_k: int = 5) -> DataFrame:
     per = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"), F.min(F.when(ok, F.col("rank"))).alias("best_rank"))
     out = rows.select("query_id", "expected").join(per, "query_id", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
     status = F.when(F.col("n_hits") == 0, "no_results").when(F.col("expected").isNull(), "passed").when(F.col("best_rank").isNotNull(), "passed").otherwise("expected_not_found")
-    return out.select("query_id", F.coalesce("expected", F.lit("")).alias("expected"), "n_hits", "best_rank", status.alias("status"))
+    return out.select("query_id", F.coalesce("expected", F.lit("")).alias("expected"), "n_hits", F.coalesce("best_rank", F.lit(0)).alias("best_rank"), status.alias("status"))
 
 
 def evaluate(rows: DataFrame, entries: DataFrame, top_k: int = 5) -> DataFrame:
     """One row of hit rates over all questions; rows without an expected source count among hits only."""
     r = retrieval(rows, entries, top_k)
     known = F.col("expected") != ""
-    at = lambda k: F.count_if(known & (F.col("best_rank") <= min(k, top_k)))
+    at = lambda k: F.count_if(known & F.col("best_rank").between(1, min(k, top_k)))
     return r.agg(
         F.count("*").alias("questions"), F.count_if(known).alias("with_source"), at(1).alias("hit_at_1"), at(3).alias("hit_at_3"), at(5).alias("hit_at_5"),
         F.round(F.coalesce(F.try_divide(at(5), F.count_if(known)), F.lit(0.0)), 4).alias("source_hit_rate"), F.count_if(F.col("n_hits") == 0).alias("no_hits"),
@@ -69,7 +69,7 @@ CATEGORIES = ("no_expected_source", "no_hits", "expected_document_not_retrieved"
 def taxonomy(evaluated: DataFrame) -> DataFrame:
     """Counts over the fixed categories, those without rows too."""
     category = (
-        F.when(F.col("expected") == "", CATEGORIES[0]).when(F.col("n_hits") == 0, CATEGORIES[1]).when(F.col("best_rank").isNull(), CATEGORIES[2])
+        F.when(F.col("expected") == "", CATEGORIES[0]).when(F.col("n_hits") == 0, CATEGORIES[1]).when(F.col("best_rank") == 0, CATEGORIES[2])
         .when(F.col("best_rank") > 1, CATEGORIES[3]).otherwise(CATEGORIES[4])
     )
     counts = evaluated.groupBy(category.alias("category")).agg(F.count("*").alias("n"))

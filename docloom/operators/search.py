@@ -19,16 +19,14 @@ PER_SOURCE = 3
 def index_entries(chunks: DataFrame) -> DataFrame:
     """Index rows of chunks (entry_ord, filename, checksum, section_id, section_title, title, text) with all that scoring
     needs and no query changes: terms, lengths, penalties."""
-    e = chunks.withColumn("n_tokens", F.size(T.tokens(F.col("text")))).withColumn("terms", T.search_tokens(F.col("text")))
+    e = chunks.withColumn("tokens", T.tokens(F.col("text"))).withColumn("terms", T.terms_of(F.col("tokens"))).withColumn("n_tokens", F.size("tokens")).drop("tokens")
     flat = T.squeeze(F.col("text"))
     letters = F.regexp_count(flat, F.lit(r"\p{L}"))
     heading = (F.col("n_tokens") <= 18) & (F.try_divide(F.regexp_count(flat, F.lit(r"\p{Lu}")), letters) > 0.7)
     repeated = F.coalesce((T.squeeze(F.col("section_title")) == flat) & (F.coalesce(F.col("section_title"), F.lit("")) != ""), F.lit(False))
     shape = F.when(letters == 0, 1.0).when(heading & repeated, 0.28).when(heading, 0.42).when(repeated, 0.55).otherwise(1.0)
-    e = e.withColumn("clean", T.sanitize_lines(F.col("text")))
-    left, right = T.halves(F.col("clean"))
-    mirrored = (F.size(F.split("clean", " ")) >= 6) & (T.phrase_form(left) == T.phrase_form(right))
-    return e.withColumn("penalty", shape * F.when(mirrored, 0.7).otherwise(1.0))
+    e = T.with_clean(e)
+    return e.withColumn("penalty", shape * F.when(T.is_mirrored(F.col("clean")), 0.7).otherwise(1.0))
 
 
 def corpus_stats(entries: DataFrame) -> DataFrame:
@@ -81,7 +79,8 @@ def composite(queries: DataFrame, entries: DataFrame) -> DataFrame:
         + 0.15 * F.size(F.array_intersect("asked", F.split("title_form", " ")))
     )
     score = (F.col("bm25") + bonus) * F.col("penalty") + F.when(F.size("terms") >= 25, 0.35).otherwise(0.0)
-    return pairs.withColumn("score", score).where("score > 0")
+    # sums of doubles depend on the order of rows: places are compared as far as they are sure
+    return pairs.withColumn("score", F.round(score, 8)).where("score > 0")
 
 
 def search(queries: DataFrame, entries: DataFrame, top_k: int = 5) -> DataFrame:

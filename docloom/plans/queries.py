@@ -79,7 +79,7 @@ def str09_sentences(spark, d):
 
 @query
 def str10_sanitize_lines(spark, d):
-    return _docs(spark, d).select("doc_id", T.sanitize_lines(F.col("text")).alias("clean"))
+    return T.with_clean(_docs(spark, d)).select("doc_id", "clean")
 
 
 @query
@@ -198,7 +198,7 @@ def agg02_document_frequency(spark, d):
 def rnk01_bm25_search(spark, d):
     scored = search.bm25(R.queries(spark, d), _entries(spark, d)).withColumn("score", F.round("bm25", 4))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "entry_ord")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "rank", "entry_ord", F.round("score", 3).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "rank", "entry_ord", "score")
 
 
 @query
@@ -209,7 +209,7 @@ def rnk02_composite(spark, d):
 
 @query
 def rnk03_search_top_k(spark, d):
-    return search.search(R.queries(spark, d), _entries(spark, d)).select("query_id", "rank", "entry_ord", "filename", F.round("score", 3).alias("score"))
+    return search.search(R.queries(spark, d), _entries(spark, d)).select("query_id", "rank", "entry_ord", "filename", "score")
 
 
 @query
