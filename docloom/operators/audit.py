@@ -115,3 +115,48 @@ def document_top_issues(issued: DataFrame, n: int = 10) -> DataFrame:
     """Files with most issues."""
     per = issued.groupBy("filename").agg(F.sum(F.size("issues")).alias("issues"), F.count("*").alias("chunks"))
     return per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("issues").desc(), "filename"))).where(F.col("rank") <= n)
+
+
+HEADING_LINE = r"^(?:(?i:\d+(?:\.\d+)*\.?|[ivxlc]+\.?))\s+\S+"
+
+
+def splitter_flags(chunks: DataFrame) -> DataFrame:
+    """What a splitter should not leave behind, a flag each: chunks (text, content_type, section_title, section_path, table_id, page_start)."""
+    stripped = T.strip(F.coalesce("text", F.lit("")))
+    lines = F.filter(F.transform(F.split(stripped, "\n"), T.strip), lambda x: x != "")
+    c = chunks.withColumn("_lines", lines).withColumn("_flat", T.casefold_form(F.col("text"))).withColumn("_s", stripped)
+    title = F.coalesce("section_title", F.element_at("section_path", -1))
+    words = F.regexp_count("_s", F.lit(T.WORD))
+    service = _any(F.col("_flat"), SERVICE_TERMS)
+    first, second = (T.casefold_form(F.get("_lines", F.lit(i))) for i in (0, 1))
+    short = (F.size("_lines") <= 2) & (F.length("_s") <= 120) & (words <= 10)
+    alone = (F.size("_lines") == 1) & (F.col("_s").rlike(HEADING_LINE) | (T.is_upper(F.col("_s")) & (words <= 8)))
+    named = (T.heading_key(title) != "") & (T.heading_key(F.col("_s")) == T.heading_key(title))
+    textual = F.coalesce("content_type", F.lit("text")).isin("text", "heading", "unknown", "")
+    path = F.filter(F.transform(F.coalesce("section_path", F.array().cast("array<string>")), T.heading_key), lambda x: x != "")
+    toc = lambda x: x.isin("содержание", "оглавление", "table of contents")
+    at = F.array_position(F.transform(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))), toc), True)
+    table = F.col("content_type").isin("table", "table_row") | F.col("table_id").isNotNull()
+    return c.select(
+        *chunks.columns,
+        ((at > 0) & ~toc(F.element_at(path, -1))).alias("toc_parent"),
+        ((F.size("_lines") >= 2) & (first != "") & (first == second)).alias("duplicate_heading"),
+        ((F.col("_s") != "") & textual & ~toc(T.heading_key(title)) & ~service & short & (named | alone)).alias("heading_only"),
+        (table & service).alias("service_table"),
+        F.col("page_start").isNull().alias("no_page"),
+    ).na.fill(False, ["toc_parent", "duplicate_heading", "heading_only", "service_table"])
+
+
+def splitter_summary(flagged: DataFrame) -> DataFrame:
+    """Counts of each flag, and documents that have one other than heading_only."""
+    count = lambda c: F.count_if(F.col(c))
+    per = flagged.groupBy("document_id").agg(*[count(c).alias(c) for c in ("toc_parent", "duplicate_heading", "heading_only", "service_table", "no_page")])
+    fails = (F.col("toc_parent") > 0) | (F.col("duplicate_heading") > 0) | (F.col("service_table") > 0)
+    sums = [F.sum(c).alias(c) for c in ("toc_parent", "duplicate_heading", "heading_only", "service_table", "no_page")]
+    return per.agg(F.count("*").alias("documents"), *sums, F.count_if(fails).alias("documents_with_failures"))
+
+
+def snapshot(documents: DataFrame) -> DataFrame:
+    """One row about nested documents: how many, and how many have tables, images and chunks."""
+    some = lambda c: F.count_if(F.size(c) > 0)
+    return documents.agg(F.count("*").alias("documents"), some("tables").alias("with_tables"), some("images").alias("with_images"), some("chunks").alias("with_chunks"), F.sum(F.size("chunks")).alias("chunks"))

@@ -39,7 +39,8 @@ def match_files(expected: DataFrame, files: DataFrame) -> DataFrame:
     found = exact.union(same).union(left).union(right).union(subset).distinct()
     best = found.withColumn("best", F.min("tier").over(Window.partitionBy("expected"))).where("tier = best")
     n = best.groupBy("expected", "tier").agg(F.count_distinct("file_id").alias("n_files"))
-    method = F.element_at(F.array(*[F.lit(m) for m in ("exact_filename", "normalized_filename_or_stem", "containment", "token_subset")]), F.col("tier"))
+    names = ("exact_filename", "normalized_filename_or_stem", "containment", "token_subset")
+    method = F.coalesce(*[F.when(F.col("n_files").isNotNull() & (F.col("tier") == i), m) for i, m in enumerate(names, 1)], F.lit("none"))
     out = e.join(n, "expected", "left")
     status = F.when(F.col("n_files").isNull(), "missing").when(F.col("n_files") == 1, "matched").otherwise("ambiguous")
-    return out.select("expected", status.alias("status"), F.coalesce(method, F.lit("none")).alias("method"), F.coalesce("n_files", F.lit(0)).alias("n_files"))
+    return out.select("expected", status.alias("status"), method.alias("method"), F.coalesce("n_files", F.lit(0)).alias("n_files"))

@@ -75,3 +75,58 @@ def taxonomy(evaluated: DataFrame) -> DataFrame:
     counts = evaluated.groupBy(category.alias("category")).agg(F.count("*").alias("n"))
     every = evaluated.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")
     return every.join(counts, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# Categories of failed questions, and words that speak of tables and of scans.
+FAILURES = (
+    "no_expected_source_in_qa_row", "expected_document_missing_in_dataset", "expected_document_ambiguous_in_dataset", "expected_document_unsupported_format",
+    "expected_document_not_processed", "processed_but_not_retrieved", "retrieved_different_document", "answer_overlap_low",
+    "table_like_question_no_table_evidence", "scanned_pdf_or_ocr_out_of_scope", "evaluator_no_hits", "unknown_or_needs_manual_review",
+)
+TABLE_STEMS = ("таблиц", "строк", "столб", "граф", "ячейк", "значени", "показател", "концентрац", "координат", "г/с", "т/год", "мг/м", "м3/с", "м3/ч")
+SCAN_STEMS = ("скан", "ocr", "распознаван", "изображени", "pdf-скан", "scanned")
+
+
+def diagnose(items: DataFrame, audit: DataFrame, workspace: DataFrame, threshold: float = 0.15) -> DataFrame:
+    """Items with ``failure``: the first category that applies.
+
+    items: question, expected_document, reason, hit_files array, answer_overlap, table_like. audit: document_key, finding
+    (missing, ambiguous, unsupported). workspace: document_key, selected, processed, skipped_reason. Both sides are joined by
+    normalized key; of repeated keys the greatest row counts.
+    """
+    a = audit.groupBy(F.col("document_key").alias("_key")).agg(F.max("finding").alias("_finding"))
+    w = workspace.groupBy(F.col("document_key").alias("_key")).agg(
+        F.max("selected").alias("_selected"), F.max("processed").alias("_processed"), F.max("skipped_reason").alias("_skipped")
+    )
+    key = T.document_key(F.col("expected_document"))
+    i = items.withColumn("_key", key).join(a, "_key", "left").join(w, "_key", "left")
+    words = T.match_form(F.concat_ws(" ", "question", "expected_document"))
+    some = lambda stems: F.exists(F.array(*[F.lit(s) for s in stems]), lambda s: F.contains(words, s))
+    keys = F.filter(F.transform(F.coalesce("hit_files", F.array().cast("array<string>")), T.document_key), lambda k: k != "")
+    found = (F.col("_key") != "") & F.exists(keys, lambda k: F.contains(k, F.col("_key")) | F.contains(F.col("_key"), k))
+    hit = F.size(F.coalesce("hit_files", F.array().cast("array<string>"))) > 0
+    low = F.col("answer_overlap") < threshold
+    reason = F.coalesce("reason", F.lit(""))
+    evidence = F.exists(keys, lambda k: F.contains(k, F.lit("table")) | F.contains(k, F.lit("табли")))
+    done = F.coalesce("_processed", F.lit(False))
+    failure = (
+        F.when(reason.isin("missing_expected_source", "no_expected_source", "missing_source") | (T.squeeze(F.col("expected_document")) == ""), FAILURES[0])
+        .when(F.col("_finding") == "missing", FAILURES[1]).when(F.col("_finding") == "ambiguous", FAILURES[2]).when(F.col("_finding") == "unsupported", FAILURES[3])
+        .when(F.col("_skipped") == "missing", FAILURES[1]).when(F.col("_skipped").startswith("ambiguous"), FAILURES[2]).when(F.contains("_skipped", F.lit("unsupported")), FAILURES[3])
+        .when(F.col("_selected") & ~done, FAILURES[4])
+        .when(some(SCAN_STEMS), FAILURES[9])
+        .when((F.coalesce("table_like", F.lit(False)) | some(TABLE_STEMS)) & ~evidence & (F.col("answer_overlap").isNull() | low | ~found), FAILURES[8])
+        .when(reason.isin("no_results", "no_hits", "evaluator_no_hits") | ~hit, FAILURES[10])
+        .when(low & found, FAILURES[7])
+        .when((reason.isin("expected_source_not_found", "expected_document_not_found") | ~found) & done, FAILURES[5])
+        .when((reason.isin("expected_source_not_found", "expected_document_not_found") | ~found) & hit, FAILURES[6])
+        .otherwise(FAILURES[11])
+    )
+    return i.withColumn("failure", failure).drop("_key", "_finding", "_selected", "_processed", "_skipped")
+
+
+def failure_counts(diagnosed: DataFrame) -> DataFrame:
+    """Counts over all categories, in their order, with shares of the diagnosed items."""
+    every = diagnosed.sparkSession.createDataFrame(list(enumerate(FAILURES)), "place int, failure string")
+    counts = diagnosed.groupBy("failure").agg(F.count("*").alias("n"))
+    return every.join(counts, "failure", "left").select("place", "failure", F.coalesce("n", F.lit(0)).alias("n"))

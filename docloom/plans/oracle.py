@@ -283,3 +283,48 @@ count_if(expected <> '' and best_rank <= 5)::bigint as hit_at_5, coalesce(round(
 SQL["qae02_failure_taxonomy"] = f"""with {_EVAL} select category, count(query_id) as n from (select unnest({lst(qa.CATEGORIES)}) as category) left join
 (select query_id, case when expected = '' then {q(qa.CATEGORIES[0])} when n_hits = 0 then {q(qa.CATEGORIES[1])} when best_rank is null then {q(qa.CATEGORIES[2])} when best_rank > 1 then {q(qa.CATEGORIES[3])} else {q(qa.CATEGORIES[4])} end as category from res) using (category) group by category"""
 SCORES, HINTS = REQUIREMENT_SCORES, DOMAIN_HINTS
+_SPLIT = f"""{CHUNKS}, k as (select *, entry_ord % 4 as k from chunks), sp as (select document_id, content_type, section_title, page_start,
+case k when 1 then concat_ws(chr(10), section_title, section_title, text) when 2 then coalesce(section_title, '1. Head') else text end as text,
+case when k = 3 then ['Document', 'Table of Contents', coalesce(section_title, 'Оглавление')] else ['Document', section_title] end as path from k),
+ln as (select *, {strip("coalesce(text, '')")} as s from sp), l2 as (select *, list_filter(list_transform(string_split(s, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') as ls, {fold('text')} as flat,
+{heading_key("coalesce(section_title, path[-1])")} as title, list_filter(list_transform(path, lambda x: {heading_key('x')}), lambda x: x <> '') as p from ln),
+fl5 as (select document_id, coalesce(len(list_filter(p[1:len(p) - 1], lambda x: list_contains({lst(('содержание', 'оглавление', 'table of contents'))}, x))) > 0 and not list_contains({lst(('содержание', 'оглавление', 'table of contents'))}, p[-1]), false) as toc_parent,
+coalesce(len(ls) >= 2 and {fold('ls[1]')} <> '' and {fold('ls[1]')} = {fold('ls[2]')}, false) as duplicate_heading,
+s <> '' and not list_contains({lst(('содержание', 'оглавление', 'table of contents'))}, title) and not ({any_in('flat', audit.SERVICE_TERMS)}) and len(ls) <= 2 and length(s) <= 120 and {count('s', WORD)} <= 10
+and ((title <> '' and {heading_key('s')} = title) or (len(ls) = 1 and (regexp_matches(s, '^(?:(?i:\\d+(?:\\.\\d+)*\\.?|[ivxlc]+\\.?))\\s+\\S+') or ({upper('s')} and {count('s', WORD)} <= 8)))) as heading_only,
+false as service_table, page_start is null as no_page from l2)"""
+SQL["aud05_splitter_flags"] = f"with {_SPLIT} select * from fl5"
+SQL["agg12_splitter_summary"] = f"""with {_SPLIT} select count(distinct document_id) as documents, count_if(toc_parent)::bigint as toc_parent, count_if(duplicate_heading)::bigint as duplicate_heading, count_if(heading_only)::bigint as heading_only,
+count_if(service_table)::bigint as service_table, count_if(no_page)::bigint as no_page, count(distinct case when toc_parent or duplicate_heading or service_table then document_id end) as documents_with_failures from fl5"""
+SQL["stc02_section_paths"] = """select 'n' || n_nationkey as section_id, 'Document > ' || r_name || ' > ' || n_name as path from nation join region on n_regionkey = r_regionkey
+union all select 'r' || r_regionkey, 'Document > ' || r_name from region union all select 'root', 'Document'"""
+SQL["rnk07_hit_at_k"] = f"with {_EVAL} select query_id, best_rank is not null and best_rank <= 1 as hit_at_1, best_rank is not null and best_rank <= 3 as hit_at_3, best_rank is not null and best_rank <= 5 as hit_at_5 from res where expected <> ''"
+SQL["rnk09_top_hits"] = f"with {_RANKED} select query_id, string_agg(filename, '|' order by rank) as top from r3 where rank <= 3 group by query_id"
+_FILE = r"regexp_extract(url, '([^/?#]+)(?:[?#].*)?$', 1)"
+_WANT = f"""f as (select page_id as file_id, {_FILE} as filename from pages), w as (select distinct case when page_id % 3 = 0 then {_FILE} else upper({_FILE}) || '.PDF' end as expected from pages where page_id % 3 <> 2
+union select 'absent report 77' union select 'en')"""
+SQL["set02_selection"] = f"""with {_WANT}, b as (select distinct file_id, filename from f where lower(filename) in (select lower(expected) from w) or file_id % 2 = 0)
+select file_id, filename from (select *, row_number() over (partition by filename order by file_id) as rn from b) where rn = 1"""
+_CONTAINED = 8
+_TIERS = f"""{_WANT}, e as (select expected, {key('expected')} as k, {key("regexp_extract(expected, '^([^,]+)', 1)")} as alt from w), fk as (select file_id, filename, {key('filename')} as fkey from f),
+ks as (select distinct expected, unnest([k, alt]) as k from e), t as (
+select expected, file_id, 1 as tier from e join fk on lower(trim(expected)) = lower(filename) and trim(expected) <> ''
+union select expected, file_id, 2 from ks join fk on k = fkey and k <> ''
+union select expected, file_id, 3 from ks join fk on k <> '' and fkey <> '' and ((contains(fkey, k) and length(k) >= {_CONTAINED} and len(list_intersect(string_split(k, ' '), string_split(fkey, ' '))) > 0) or (contains(k, fkey) and length(fkey) >= {_CONTAINED} and len(list_intersect(string_split(k, ' '), string_split(fkey, ' '))) > 0))
+union select expected, file_id, 4 from ks join fk on len(list_filter(string_split(k, ' '), lambda x: not list_contains({lst(('book', 'chapter', 'section', 'table', 'книга', 'раздел', 'таблица', 'том'))}, x))) >= 3
+and len(list_filter(string_split(k, ' '), lambda x: not list_contains({lst(('book', 'chapter', 'section', 'table', 'книга', 'раздел', 'таблица', 'том'))}, x) and not list_contains(string_split(fkey, ' '), x))) = 0),
+bt as (select expected, min(tier) as tier from t group by 1), n as (select expected, tier, count(distinct file_id) as n_files from t join bt using (expected, tier) group by all),
+mm as (select expected, case when n_files is null then 'missing' when n_files = 1 then 'matched' else 'ambiguous' end as status,
+coalesce(['exact_filename', 'normalized_filename_or_stem', 'containment', 'token_subset'][tier], 'none') as method, coalesce(n_files, 0) as n_files from e left join n using (expected))"""
+SQL["jn05_match_files"] = f"with {_TIERS} select distinct expected, status, method, n_files from mm"
+SQL["agg09_coverage"] = f"with {_TIERS} select status, method, count(*) as n from (select distinct * from mm) group by all"
+_F = [q(x) for x in qa.FAILURES]
+_DIAG = f"""i as (select conv_id, turn, conv_id % 10 as k, text, case conv_id % 10 when 9 then 'Таблица: ' || text when 8 then text || ' scanned' else text end as question,
+case when conv_id % 10 = 0 then ' ' else 'Doc ' || (conv_id % 10) || '.pdf' end as expected, case when conv_id % 10 = 5 then 'no_hits' end as reason,
+case when turn % 2 = 0 then 'doc ' || (conv_id % 10) when turn % 5 = 1 then 'other' end as hit, case when turn % 3 <> 0 then (turn % 7) / 10.0 end as overlap from conversations),
+j as (select *, {form("question || ' ' || expected")} as words, hit is not null and hit = 'doc ' || k and k <> 0 as found, overlap < 0.15 as low, k = 6 as done from i),
+dg as (select conv_id, turn, case when k = 0 then {_F[0]} when k = 1 then {_F[1]} when k = 2 then {_F[2]} when k = 3 then {_F[3]} when k = 7 then {_F[2]} when k = 4 then {_F[4]}
+when {any_in('words', qa.SCAN_STEMS)} then {_F[9]} when {any_in('words', qa.TABLE_STEMS)} and (overlap is null or low or not found) then {_F[8]}
+when k = 5 or hit is null then {_F[10]} when coalesce(low, false) and found then {_F[7]} when not found and done then {_F[5]} when not found then {_F[6]} else {_F[11]} end as failure from j)"""
+SQL["qae02_diagnosis"] = f"with {_DIAG} select conv_id, turn, failure from dg"
+SQL["agg13_failure_counts"] = f"with {_DIAG}, ev as (select unnest({lst(qa.FAILURES)}) as failure, unnest(range(12))::int as place) select place, failure, (select count(*) from dg where dg.failure = ev.failure) as n from ev"

@@ -419,3 +419,83 @@ def agg08_retrieval_eval(spark, d):
 @query
 def qae02_failure_taxonomy(spark, d):
     return qa.taxonomy(qa.retrieval(qa.benchmark_rows(R.queries(spark, d), R.chunks(spark, d)), _entries(spark, d)))
+
+
+@query
+def aud05_splitter_flags(spark, d):
+    return audit.splitter_flags(_split(spark, d)).select("document_id", "toc_parent", "duplicate_heading", "heading_only", "service_table", "no_page")
+
+
+@query
+def agg12_splitter_summary(spark, d):
+    return audit.splitter_summary(audit.splitter_flags(_split(spark, d)))
+
+
+def _split(spark, d):
+    """Chunks of the table in the shapes that a splitter leaves: plain, with the heading twice, heading only, below a table of contents."""
+    c = R.chunks(spark, d).withColumn("k", F.col("entry_ord") % 4)
+    text = F.when(F.col("k") == 1, F.concat_ws("\n", "section_title", "section_title", "text")).when(F.col("k") == 2, F.coalesce("section_title", F.lit("1. Head"))).otherwise(F.col("text"))
+    path = F.when(F.col("k") == 3, F.array(F.lit("Document"), F.lit("Table of Contents"), F.coalesce("section_title", F.lit("Оглавление")))).otherwise(F.array(F.lit("Document"), F.col("section_title")))
+    return c.withColumn("text", text).withColumn("section_path", path).drop("k")
+
+
+@query
+def agg15_snapshot(spark, d):
+    return audit.snapshot(structure.build(structure.text_blocks(_docs(spark, d))))
+
+
+@query
+def stc02_section_paths(spark, d):
+    # nation below region below the root
+    n = R.table(spark, d, "nation").select(F.lit("d").alias("document_id"), F.concat(F.lit("n"), "n_nationkey").alias("section_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_name").alias("title"))
+    r = R.table(spark, d, "region").select(F.lit("d").alias("document_id"), F.concat(F.lit("r"), "r_regionkey").alias("section_id"), F.lit("root").alias("parent_id"), F.col("r_name").alias("title"))
+    root = spark.range(1).select(F.lit("d").alias("document_id"), F.lit("root").alias("section_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("Document").alias("title"))
+    return structure.section_paths(n.union(r).union(root)).select("section_id", F.array_join("path", " > ").alias("path"))
+
+
+@query
+def set02_selection(spark, d):
+    files = _files(spark, d).join(_expected(spark, d), F.lower("filename") == F.lower("expected"), "left_semi")
+    both = files.unionByName(_files(spark, d).where("file_id % 2 = 0"))
+    own = Window.partitionBy("filename").orderBy("file_id")
+    return both.distinct().withColumn("rn", F.row_number().over(own)).where("rn = 1").select("file_id", "filename")
+
+
+@query
+def rnk07_hit_at_k(spark, d):
+    r = qa.retrieval(qa.benchmark_rows(R.queries(spark, d), R.chunks(spark, d)), _entries(spark, d))
+    return r.where("expected <> ''").select("query_id", *[F.col("best_rank").between(1, k).alias(f"hit_at_{k}") for k in (1, 3, 5)])
+
+
+@query
+def rnk09_top_hits(spark, d):
+    hits = search.search(R.queries(spark, d), _entries(spark, d))
+    top = hits.where("rank <= 3").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "filename"))).alias("h"))
+    return top.select("query_id", F.array_join(F.transform("h", lambda x: x["filename"]), "|").alias("top"))
+
+
+def _failed_items(spark, d):
+    """User turns as question rows whose reports say different things about them."""
+    t = R.table(spark, d, "conversations").withColumn("k", F.col("conv_id") % 10)
+    return t.select(
+        "conv_id", "turn", F.when(F.col("k") == 9, F.concat(F.lit("Таблица: "), "text")).when(F.col("k") == 8, F.concat("text", F.lit(" scanned"))).otherwise(F.col("text")).alias("question"),
+        F.when(F.col("k") == 0, F.lit(" ")).otherwise(F.concat(F.lit("Doc "), F.col("k").cast("string"), F.lit(".pdf"))).alias("expected_document"),
+        F.when(F.col("k") == 5, "no_hits").alias("reason"), F.when(F.col("turn") % 2 == 0, F.array(F.concat(F.lit("doc "), F.col("k").cast("string")))).when(F.col("turn") % 5 == 1, F.array(F.lit("other.txt"))).alias("hit_files"),
+        F.when(F.col("turn") % 3 != 0, (F.col("turn") % 7) / 10.0).alias("answer_overlap"), F.lit(False).alias("table_like"),
+    )
+
+
+def _reports(spark):
+    audit_rows = spark.createDataFrame([("doc 1", "missing"), ("doc 2", "ambiguous"), ("doc 3", "unsupported")], "document_key string, finding string")
+    work = [("doc 4", True, False, None), ("doc 6", True, True, None), ("doc 7", None, None, "ambiguous_skipped")]
+    return audit_rows, spark.createDataFrame(work, "document_key string, selected boolean, processed boolean, skipped_reason string")
+
+
+@query
+def qae02_diagnosis(spark, d):
+    return qa.diagnose(_failed_items(spark, d), *_reports(spark)).select("conv_id", "turn", "failure")
+
+
+@query
+def agg13_failure_counts(spark, d):
+    return qa.failure_counts(qa.diagnose(_failed_items(spark, d), *_reports(spark)))

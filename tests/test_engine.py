@@ -162,3 +162,23 @@ def test_registry_has_sql_for_known_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.oracle_sql()) > 50
+
+
+def test_engine_end_to_end(spark, tmp_path):
+    from docloom.engine import Engine
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("1. Нормы\n\nПроект должен содержать раздел о выбросах. Расчет требуется приложить.", encoding="utf-8")
+    (src / "b.txt").write_text("Other text about beta and gamma words.", encoding="utf-8")
+    (src / "c.txt").write_text("Other text about beta and gamma words.", encoding="utf-8")
+    (src / "d.zip").write_bytes(b"x")
+    e = Engine(spark, str(tmp_path / "root"))
+    assert sorted((r.path[-5:], r.status) for r in e.ingest(str(src)).collect()) == [("a.txt", "processed"), ("b.txt", "processed"), ("c.txt", "duplicate"), ("d.zip", "error")]
+    assert {r.status for r in e.ingest(str(src)).collect()} == {"duplicate", "error"}
+    assert e.documents().count() == 2 and e.reindex().first().document_count == 2
+    asked = spark.createDataFrame([(1, "выбросы проекта")], "query_id long, query string")
+    assert e.search(asked).first().filename == "a.txt" and "выбросах" in e.ask(asked).first().answer
+    assert {r.category for r in e.requirements().collect()} == {"obligation"}
+    assert e.table_evidence().count() == 0 and e.snapshot().first().documents == 2
+    assert e.splitter_audit().first().documents == 2 and e.chunk_audit().count() >= 2 and e.manifest().count() == 2
