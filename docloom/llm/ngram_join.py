@@ -164,42 +164,67 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield frame.loc[keep, ["token", "rep", "n"]]
 
 
-def _near(max_fold: int = 0):
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (a, b, na, nb, bits_a, bits_b): pairs that the bitmaps don't rule out."""
+    for batch in batches:
+        rows = len(batch)
+        n = np.concatenate([batch["na"].to_numpy(), batch["nb"].to_numpy()])
+        keep = possible(np.arange(rows), np.arange(rows, 2 * rows), n, [*batch["bits_a"], *batch["bits_b"]])
+        yield batch.loc[keep, ["a", "b"]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
-            most = np.array([_overlap_bound(x, y) for x, y in zip(batch["bits_a"], batch["bits_b"], strict=True)])
-            keep = (na + nb - most) // 2 >= need(na, nb) if len(batch) else np.empty(0, bool)
-            yield batch.loc[keep, ["a", "b"]]
-
-    return run
 
+def possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Whether sets ``a[i]`` and ``b[i]`` can overlap enough.
 
-def _overlap_bound(a: bytes, b: bytes) -> int:
-    """Least number of members that only one of the two sets has."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):  # bit index is the low bits of the hash: folding halves keeps parities
+    Members of one set only are at least the bits in which parities differ. Bitmaps of different sizes are compared at the
+    smaller one: the bit index is the low end of the hash, so folding halves keeps parities.
+    """
+    out = np.zeros(len(a), bool)
+    size = np.array([len(x) for x in bits])
+    small = np.minimum(size[a], size[b]) if len(a) else np.empty(0, int)
+    for width in np.unique(small):
+        pairs = np.flatnonzero(small == width)
+        used = np.unique(np.concatenate([a[pairs], b[pairs]]))
+        folded = np.stack([_fold_bits(bits[i], width) for i in used.tolist()])
+        place = np.zeros(len(bits), np.int64)
+        place[used] = np.arange(len(used))
+        for at in range(0, len(pairs), 16_384):
+            p = pairs[at : at + 16_384]
+            alone = np.bitwise_count(folded[place[a[p]]] ^ folded[place[b[p]]]).sum(axis=1, dtype=np.int64)
+            out[p] = (n[a[p]] + n[b[p]] - alone) // 2 >= need(n[a[p]], n[b[p]])
+    return out
+
+
+def _fold_bits(bits: bytes, width: int) -> np.ndarray:
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > width:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    return x
+
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, compressed: less than half the size of their sets of hashes, which are quickly made again."""
+    import zstandard
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         texts = _texts(batch, 1)
         for at in range(0, len(texts), 256):
-            part = [shingles(t).astype("<u8").tobytes() for t in texts[at : at + 256]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(part, pa.binary())], ["rep", "members"])
+            part = [pack(t.translate(_LOWER)) for t in texts[at : at + 256]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(part, pa.binary())], ["rep", "packed"])
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    last: tuple[int, np.ndarray] | None = None
     for batch in batches:
         inter, na, nb = [], [], []
-        for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        for a, x, y in zip(batch["a"], batch["packed_a"], batch["packed_b"], strict=True):
+            if last is None or last[0] != a:  # rows come sorted by a
+                last = a, shingles(unpack(x))
+            x, y = last[1], shingles(unpack(y))
             at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
             inter.append(int((y[at] == x).sum()) if len(y) else 0)
             na.append(len(x))
@@ -221,10 +246,10 @@ class SetJoin:
         texts = self.docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
         small = ids.count() <= MAX_BROADCAST_IDS
         named = texts.join(F.broadcast(ids) if small else ids, "rep")
-        sets = materialize(named.mapInArrow(_sets, "rep long, members binary"), f"{label}-sets")
-        one = pairs.hint("merge").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b")), "b")
-        both = one.hint("merge").join(sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a")), "a")
-        done = both.select("a", "b", "set_a", "set_b").mapInPandas(_compare, "a long, b long, inter long, na long, nb long")
+        packed = materialize(named.mapInArrow(_packed, "rep long, packed binary"), f"{label}-texts", {"compression": "uncompressed"})
+        one = pairs.hint("merge").join(packed.select(F.col("rep").alias("b"), F.col("packed").alias("packed_b")), "b")
+        both = one.hint("merge").join(packed.select(F.col("rep").alias("a"), F.col("packed").alias("packed_a")), "a")
+        done = both.select("a", "b", "packed_a", "packed_b").mapInPandas(_compare, "a long, b long, inter long, na long, nb long")
         return materialize(done, f"{label}-compared")
 
     def prune(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -232,11 +257,11 @@ class SetJoin:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         one = pairs.join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
         two = one.join(reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
-        return two.mapInPandas(_near(), "a long, b long")
+        return two.mapInPandas(_near, "a long, b long")
 
 
 def _pairs_in_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components in one tile, under the windows of size and of the region's pivots."""
+    """Pairs of different components in one tile, under the windows of size, of the region's pivots and of the bitmaps."""
     key = ["token", "i", "j"]
     for frame in whole_groups(batches, key, 5_000):
         starts = group_starts(frame, key)
@@ -257,8 +282,12 @@ def _pairs_in_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if i == j:
                 ok = np.triu(ok, 1)
             a, b = np.nonzero(ok)
-            out_a.append(rep[left[a]])
-            out_b.append(rep[right[b]])
+            if not len(a):
+                continue
+            a, b = left[a] - lo, right[b] - lo
+            near = possible(a, b, n[lo:hi], frame["bits"].iloc[lo:hi].to_list())
+            out_a.append(rep[a[near] + lo])
+            out_b.append(rep[b[near] + lo])
         if out_a:
             pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
             if len(pairs):
@@ -282,14 +311,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     signed = materialize(
         docs.mapInArrow(_signatures(levels), "doc_id long, n long, key binary, bits binary, prefix array<long>, common array<boolean>"), "sets"
     )
-    classes = signed.where("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "set-classes")
-    # a repeated id may stand for several sets: the join works on (rep) only where the id is one set's
-    firsts = signed.join(classes, "key").where("doc_id = rep").dropDuplicates(["rep", "key"])
-    multiple = firsts.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1")
-    if not multiple.isEmpty():
+    filled = signed.where("doc_id is not null and n > 0").select("doc_id", "key")
+    classes = materialize(filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "set-classes")
+    # a repeated id may stand for several sets: the join works on ids only where each is one row
+    if not filled.groupBy("doc_id").count().where("count > 1").isEmpty():
         return _with_row_ids(docs)
-    reps = materialize(firsts.select("rep", "n", "bits", "prefix", "common"), "set-reps")
+    copies = filled.join(classes.where("copies > 1"), "key").where("doc_id <> rep").select(F.col("doc_id").alias("rep"))
+    copies = materialize(copies, "set-copies")
+    few = copies.count() <= MAX_BROADCAST_IDS
+    reps = signed.where("doc_id is not null and n > 0").withColumnRenamed("doc_id", "rep").join(F.broadcast(copies) if few else copies, "rep", "left_anti")
 
     # first regions: single-shingle pivots; common ones are spread by document, as nobody needs to count them
     rows = reps.select("rep", "n", F.explode(F.arrays_zip("prefix", "common")).alias("p"))
@@ -299,11 +329,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sizes = materialize(regions.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1"), "region-sizes")
     members = materialize(regions.join(sizes, "token"), "region-members")
 
-    # pairs of small regions, and every member of a crowded one with its first pivot
-    lists = members.where(F.col("members") <= CROWDED).groupBy("token").agg(F.collect_list("rep").alias("r"))
-    small = lists.select("r", F.posexplode("r").alias("at", "a")).select("a", F.explode(F.slice("r", F.col("at") + 2, F.lit(CROWDED))).alias("b"))
-    crowded = members.where((F.col("members") > CROWDED) & (F.col("rep") != F.col("pivot")))
-    first = small.union(crowded.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    # every member of a region with its pivot
+    members = members.where(F.col("rep") != F.col("pivot"))
+    first = members.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     slim = reps.select("rep", "n", "bits")
     compared = join.verify(materialize(join.prune(first, slim), "pairs-0"), "round-0")
     compared_all = [compared]
@@ -316,7 +344,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         return out
 
     found = connected_components(links(compared_all), "sets-0")
-    left = crowded.select("token", "rep", "n", F.array(F.col("pivot")).alias("pivots"))
+    left = members.select("token", "rep", "n", F.array(F.col("pivot")).alias("pivots"))
     for k in range(1, PIVOT_ROUNDS + 1):
         open_ = left.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         open_ = materialize(open_, f"open-{k}")
@@ -345,13 +373,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             known = both if known is None else known.union(both)
         known = known.groupBy(F.col("a").alias("pivot_0"), F.col("b").alias("rep")).agg(F.min("d").alias("d"))
         rest = left.select("token", "rep", "n", "comp", "members", F.col("pivots")[0].alias("pivot_0"))
-        rest = rest.join(known, ["pivot_0", "rep"], "left").withColumn("dist", F.array(F.coalesce("d", F.lit(float("nan")))))
+        rest = rest.join(known, ["pivot_0", "rep"], "left").join(slim.select("rep", "bits"), "rep").withColumn("dist", F.array(F.coalesce("d", F.lit(float("nan")))))
         rest = rest.withColumn("blocks", F.ceil(F.col("members") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "token"), F.col("blocks")).cast("int"))
         mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda m: F.struct(F.least(m, F.col("block")).alias("i"), F.greatest(m, F.col("block")).alias("j")))
-        tiles = rest.select("token", "rep", "n", "comp", "dist", "block", F.explode(mates).alias("t")).select("token", "rep", "n", "comp", "dist", "block", "t.i", "t.j")
+        tiles = rest.select("token", "rep", "n", "bits", "comp", "dist", "block", F.explode(mates).alias("t")).select("token", "rep", "n", "bits", "comp", "dist", "block", "t.i", "t.j")
         tiles = tiles.repartition(join.width, "token", "i", "j").sortWithinPartitions("token", "i", "j")
-        pairs = materialize(tiles.mapInPandas(_pairs_in_tiles, "a long, b long"), "tile-pairs")
-        last = join.verify(materialize(join.prune(pairs, slim), "pairs-last"), "round-last")
+        pairs = tiles.mapInPandas(_pairs_in_tiles, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        last = join.verify(materialize(pairs, "pairs-last"), "round-last")
         compared_all.append(last)
         found = connected_components(links(compared_all), "sets-last")
 
