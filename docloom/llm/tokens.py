@@ -163,6 +163,6 @@ def digests_of(tokens: DataFrame) -> DataFrame:
             )
 
     done = rows.mapInArrow(digest, "doc_id long, n_tokens int, ids_crc32 long, file string, row long")
-    inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = done.join(F.broadcast(base), "file").withColumn("start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)) + F.col("base"))
     return placed.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
