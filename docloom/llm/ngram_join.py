@@ -344,7 +344,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         return out
 
     found = connected_components(links(compared_all), "sets-0")
-    left = members.select("token", "rep", "n", F.array(F.col("pivot")).alias("pivots"))
+    # a region of two is done with its pivot
+    left = members.where("members > 2").select("token", "rep", "n", F.array(F.col("pivot")).alias("pivots"))
     for k in range(1, PIVOT_ROUNDS + 1):
         open_ = left.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         open_ = materialize(open_, f"open-{k}")
