@@ -132,7 +132,8 @@ def test_repeat_removal_in_crowded_buckets(spark, monkeypatch):
 
 
 def test_repeat_removal_without_own_ids(spark):
-    t = "".join(random.Random(1).choice("abcdef") for _ in range(150))
+    rng = random.Random(1)
+    t = "".join(rng.choice("abcdef") for _ in range(150))
     df = spark.createDataFrame([(None, t), (7, t), (7, t + "!"), (8, "short")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_removed) for r in remove_repeats(df).collect())
     assert got == [(-1, 0), (7, 150), (7, 150), (8, 0)]
@@ -144,10 +145,11 @@ def test_cover_is_a_perfect_difference_set():
 
 
 def test_minimizers_stand_for_every_window_once():
-    text = bytes(random.Random(4).randrange(97, 101) for _ in range(3000))
+    rng = random.Random(4)
+    text = bytes(rng.randrange(97, 101) for _ in range(3000))
     at, _, first, last = minimizers(text)
     assert [w for a, b in zip(first, last) for w in range(a, b + 1)] == list(range(len(text) - 99))
-    assert all(f <= a and a + 16 <= f + 100 and a >= b - 0 for a, f, b in zip(at, first, last)) or all(b <= a for a, b in zip(at, last))
+    assert all(b <= a and a + 16 <= f + 100 for a, f, b in zip(at, first, last)) and len(at) < 200
 
 
 def clustered_vectors():
