@@ -46,14 +46,19 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Part keys of one sheet: bounds the rows that are collected into one table, at any number of parts.
+SHEET_KEYS = 25_000
+
+
 def part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a brand as one table: a header row, then a row a part."""
+    """Every part in a table of its brand and range of keys: a header row, then a row a part. A brand's first sheet has its name."""
     p = table(spark, sf_dir, "part")
     head = F.array(*[F.lit(c) for c in ("part name", "type", "size", "retail price", "")])
     row = F.array(F.coalesce("p_name", F.lit("")), F.coalesce("p_type", F.lit("")), F.col("p_size").cast("string"), F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit(" "))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"])
-    t = p.where(F.col("p_partkey") % 20 == 0).groupBy("p_brand").agg(rows.alias("body"))
+    sheet = F.floor(F.col("p_partkey") / SHEET_KEYS) + 1
+    t = p.groupBy("p_brand", sheet.alias("sheet")).agg(rows.alias("body"))
     return t.select(
-        F.col("p_brand").alias("table_id"), F.col("p_brand").alias("document_id"), F.col("p_brand").alias("filename"), F.lit(None).cast("string").alias("section_title"),
-        F.lit("Sheet 1").alias("sheet_name"), F.array(F.lit("Document"), F.lit("Parts")).alias("section_path"), F.concat(F.array(head), "body").alias("rows"),
+        F.when(F.col("sheet") == 1, F.col("p_brand")).otherwise(F.concat_ws(" ", "p_brand", "sheet")).alias("table_id"), F.col("p_brand").alias("document_id"), F.col("p_brand").alias("filename"), F.lit(None).cast("string").alias("section_title"),
+        F.concat_ws(" ", F.lit("Sheet"), "sheet").alias("sheet_name"), F.array(F.lit("Document"), F.lit("Parts")).alias("section_path"), F.concat(F.array(head), "body").alias("rows"),
     )
