@@ -2,10 +2,12 @@
 
 The mix is a sequence of equal-token slots. Slot ``n`` draws the golden-ratio point ``frac((n + 1/2) * phi)`` through the
 cumulative target shares, so every prefix of the mix holds each source within a few slots of its share. The k-th slot of a
-source takes the k-th block of that source's shuffled word stream, going round at most ``max_epochs`` times.
+source takes the k-th block of that source's shuffled word stream, which goes round at most ``max_epochs`` times. Blocks have
+one size at every size of corpus; a source's last slot is cut where its target ends, and slots that the schedule leaves short of
+a target follow at the end of the mix, so each source yields its target, rounded to a word.
 
 Nothing here is keyed by source alone: a source that holds a third of all rows is spread over hash buckets, whose sums are
-prefixed in a small table, and slot ranks are prefixed over a fixed number of schedule chunks.
+prefixed in a small table, and slot ranks are prefixed over schedule chunks of a fixed length.
 """
 
 from __future__ import annotations
@@ -21,10 +23,9 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, materialize
 
 PHI = (math.sqrt(5) - 1) / 2
-#: Slots of the schedule at most; beyond it blocks grow with the corpus. Its resolution is a few parts in a million.
-MAX_SLOTS = 4_000_000
 MIN_BLOCK = 16
-CHUNKS = 512
+#: Slots of one chunk of the schedule; the number of chunks grows with the corpus.
+CHUNK_SLOTS = 65_536
 BUCKET_ROWS, MAX_BUCKETS = 128, 65_536
 
 
@@ -90,13 +91,13 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 8, weights: dict | Non
     target = fill_targets(sizes, weights, max_epochs)
     ordered = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     words, rows = sum(sizes.values()), sum(n for _, n in totals.values())
-    block = max(MIN_BLOCK, -(-words // MAX_SLOTS))
-    blocks = [-(-sizes[s] // block) for s in ordered]
+    block = MIN_BLOCK
+    quota = [int(target[s] + 0.5) for s in ordered]
     n_slots = -(-words // block)
     buckets = min(max(1, rows // BUCKET_ROWS), MAX_BUCKETS)
     info = spark.createDataFrame(
-        [(i, s, sizes[s], target[s], blocks[i]) for i, s in enumerate(ordered)],
-        "sid int, source string, source_size long, target double, blocks long",
+        [(i, s, sizes[s], target[s], quota[i]) for i, s in enumerate(ordered)],
+        "sid int, source string, source_size long, target double, quota long",
     )
     known = sized.join(F.broadcast(info), sized["source"].eqNullSafe(info["source"])).drop(info["source"])
     if not words:
@@ -110,31 +111,31 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 8, weights: dict | Non
     inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, -1)
     placed = mixed.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(base, ["sid", "bucket"]).withColumn("at", F.col("at") + F.col("base"))
-    placed = materialize(placed.select("rid", "doc_id", "source", "sid", "size", "source_size", "target", "at"), "mix-placed")
+    placed = materialize(placed.select("rid", "doc_id", "source", "sid", "size", "source_size", "target", "quota", "at"), "mix-placed")
 
     # slots, ranked within their source
     shares = np.cumsum([target[s] for s in ordered])
-    per_chunk = -(-n_slots // CHUNKS)
-    chunks = spark.range(0, -(-n_slots // per_chunk), 1, min(64, CHUNKS))
-    slots = chunks.mapInPandas(_slots(shares / shares[-1], n_slots, per_chunk), "chunk long, sid int, local long")
-    counts = slots.groupBy("chunk", "sid").agg(F.count("*").alias("n"))
+    n_chunks = -(-n_slots // CHUNK_SLOTS)
+    chunks = spark.range(0, n_chunks, 1, min(n_chunks, max(64, n_chunks // 8)))
+    slots = chunks.mapInPandas(_slots(shares / shares[-1], n_slots, CHUNK_SLOTS), "chunk long, sid int, local long")
+    counts = materialize(slots.groupBy("chunk", "sid").agg(F.count("*").alias("n")), "mix-counts")
     earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("chunk", "sid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    sid_blocks = info.select("sid", "blocks")
-    ranked = slots.hint("merge").join(offsets, ["chunk", "sid"]).join(F.broadcast(sid_blocks), "sid").withColumn("rank", F.col("first") + F.col("local"))
-    times = (
-        ranked.where((F.col("blocks") > 0) & (F.col("rank") < max_epochs * F.col("blocks")))
-        .groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block"))
-        .agg(F.count("*").alias("times"))
-    )
-
-    # each document's share of the blocks that are taken
-    end = F.col("at") + F.col("size")
-    pieces = placed.where("size > 0").select(
-        "rid", "sid", "at", end.alias("end"), F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).alias("block")
+    need = info.select("sid", F.ceil(F.col("quota") / block).alias("need"))
+    ranked = slots.hint("merge").join(offsets, ["chunk", "sid"]).join(F.broadcast(need), "sid").withColumn("rank", F.col("first") + F.col("local"))
+    drawn = need.join(counts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    closing = drawn.where("n < need").select("sid", F.explode(F.sequence("n", F.col("need") - 1)).alias("rank"))
+    slots = ranked.where("rank < need").select("sid", F.col("rank").alias("block")).unionByName(closing.withColumnRenamed("rank", "block"))
+
+    # each document's share of the blocks, a round of its source's stream at a time; the last round ends with the quota
+    rounds = placed.where("size > 0").withColumn("last", F.floor((F.col("quota") - 1 - F.col("at")) / F.col("source_size"))).where("last >= 0")
+    rounds = rounds.select("rid", "sid", "size", "source_size", "quota", "at", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("round"))
+    rounds = rounds.withColumn("at", F.col("at") + F.col("round") * F.col("source_size")).withColumn("end", F.least("quota", F.col("at") + F.col("size")))
+    pieces = rounds.select(
+        "rid", "sid", "at", "end", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))).alias("block")
     )
     overlap = F.least("end", (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
-    taken = pieces.join(times, ["sid", "block"]).groupBy("rid").agg(F.sum(overlap * F.col("times")).alias("taken"))
+    taken = pieces.hint("merge").join(slots, ["sid", "block"]).groupBy("rid").agg(F.sum(overlap).alias("taken"))
     return placed.join(taken, "rid", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
     )
