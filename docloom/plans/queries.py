@@ -352,7 +352,7 @@ def agg06_top_issue_files(spark, d):
 
 @query
 def aud04_compact_buckets(spark, d):
-    c = R.chunks(spark, d).withColumn("bucket", audit.compact_bucket(F.substring("text", 1, 240), F.col("content_type"), F.col("section_title")))
+    c = R.chunks(spark, d).withColumn("bucket", audit.compact_bucket(F.col("text"), F.col("content_type"), F.col("section_title")))
     return c.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
