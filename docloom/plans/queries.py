@@ -46,7 +46,7 @@ def str03_squeeze(spark, d):
 
 @query
 def str04_match_forms(spark, d):
-    x = F.substring("text", 1, 80)
+    x = F.col("text")
     return _docs(spark, d).select("doc_id", T.match_form(x).alias("match_form"), T.heading_key(x).alias("heading_key"), T.source_form(x).alias("source_form"))
 
 
