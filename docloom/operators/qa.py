@@ -31,14 +31,25 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
 
 
 def benchmark_rows(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, query, expected): queries with the file of the first document that holds their start, if one does."""
-    starts = queries.select("query_id", "query", F.substring(T.squeeze(F.col("query")), 1, 60).alias("start"))
-    # documents are looked up by the words of the start's first sentence, not compared with every query
-    q = starts.withColumn("w", F.get(F.array_sort(F.filter(F.split("start", " "), lambda x: F.length(x) >= 8)), F.lit(0)))
-    words = chunks.select("entry_ord", "filename", "text", F.explode(F.array_distinct(F.split(T.squeeze(F.col("text")), " "))).alias("w"))
-    hit = q.join(words, "w").where(F.contains(T.squeeze(F.col("text")), F.col("start")))
+    """(query_id, query, expected): queries with the file of the first document that holds their whole text, if one does.
+
+    White space counts as one blank. A text's words other than its ends stand in a holder as whole words, so documents are looked
+    up by the rarest of them; texts of one or two words have none and are compared with every document.
+    """
+    flat = T.squeeze(F.col("query"))
+    q = queries.select("query_id", "query", flat.alias("flat"), F.split(flat, " ").alias("words"))
+    docs = chunks.select("entry_ord", "filename", T.squeeze(F.col("text")).alias("held"))
+    asked = q.where(F.size("words") > 2).select("query_id", F.explode(F.array_distinct(F.slice("words", 2, F.size("words") - 2))).alias("w"))
+    words = docs.select("entry_ord", F.explode(F.array_distinct(F.split("held", " "))).alias("w")).join(F.broadcast(asked.select("w").distinct()), "w", "left_semi")
+    rare = asked.join(words.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("query_id").agg(F.min(F.struct("n", "w"))["w"].alias("w"), F.count("*").alias("found"))
+    # a word that no document has rules its text out
+    rare = rare.join(asked.groupBy("query_id").agg(F.count("*").alias("of")), "query_id").where("found = of").select("query_id", "w")
+    near = words.join(F.broadcast(rare), "w").select("query_id", "entry_ord").distinct()
+    long = near.join(docs, "entry_ord").join(F.broadcast(q.select("query_id", "flat")), "query_id").where(F.contains("held", F.col("flat")))
+    short = docs.join(F.broadcast(q.where("size(words) <= 2 and flat <> ''")), F.contains("held", F.col("flat")))
+    hit = long.select("query_id", "entry_ord", "filename").unionByName(short.select("query_id", "entry_ord", "filename"))
     first = hit.groupBy("query_id").agg(F.min_by("filename", "entry_ord").alias("expected"))
-    return starts.select("query_id", "query").join(first, "query_id", "left")
+    return q.select("query_id", "query").join(first, "query_id", "left")
 
 
 def retrieval(rows: DataFrame, entries: DataFrame, top_k: int = 5) -> DataFrame:
