@@ -140,7 +140,7 @@ def prd01_rtf_quality(spark, d):
 
 @query
 def prd02_cid_artifacts(spark, d):
-    x = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("(cid:12)(cid:7) (CID:9)"), F.substring("text", 1, 40))).otherwise(F.col("text"))
+    x = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("(cid:12)(cid:7) (CID:9)"), F.col("text"))).otherwise(F.col("text"))
     n, issue = Q.cid_issue(x)
     return _docs(spark, d).select("doc_id", n.alias("cid_count"), issue.alias("issue"))
 
