@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 
 #: White space of the word contract: space, tab, LF, VT, FF, CR. Words are the runs between them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Spark setting by which a query's shuffle files go when it ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Materialized tables that have not been deleted.
+_LIVE: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "docloom-shared")
     return base.rstrip("/")
 
@@ -34,12 +41,43 @@ def materialize(df: DataFrame, label: str, options: dict[str, str] | None = None
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage at a replicated file set: a lost executor costs a re-read, never a recomputation of
-    everything before, and what follows plans on exact sizes.
+    everything before, and what follows plans on exact sizes. Shuffle files of the write go with it; the table stays until
+    ``release`` or ``release_unread``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.options(**({"compression": "zstd"} | (options or {}))).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.options(**({"compression": "zstd"} | (options or {}))).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    _LIVE.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _LIVE.discard(path)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "scratch_path", None)
+        if path in _LIVE:
+            _delete(t.sparkSession, path)
+
+
+def release_unread(docs: DataFrame) -> None:
+    """Delete every materialized table that ``docs`` doesn't read: what finished stages left behind."""
+    if _LIVE:
+        read = [f for f in docs.inputFiles() if "/docloom/" in f]
+        for path in [p for p in _LIVE if not any(p.split("/docloom/")[-1] in f for f in read)]:
+            _delete(docs.sparkSession, path)
 
 
 def text_or_empty(df: DataFrame, col: str = "text"):

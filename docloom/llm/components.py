@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
 
     Each round points every node at its smallest neighbour, follows the pointer twice more, and replaces both ends of every
     edge by where they point. Minima are pre-aggregated where the rows are; edges that have become loops or repeats go.
-    Chains shrink at least by half a round, stars vanish in one. Each round is a written table, so no lineage grows.
+    Chains shrink at least by half a round, stars vanish in one. Each round is a written table, so no lineage grows, and the
+    tables of a round go when the next stands.
     Null ends and self-links are ignored; an empty table gives an empty result.
     """
     left = materialize(
@@ -24,20 +25,22 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
         point = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
-        point = materialize(point, f"{label}-point")
+        near = jumped = materialize(point, f"{label}-point")
         for _ in range(2):
-            up = point.select(F.col("node").alias("to"), F.col("to").alias("up"))
-            point = point.join(up, "to").select("node", F.col("up").alias("to"))
-        point = materialize(point, f"{label}-jump")
+            up = near.select(F.col("node").alias("to"), F.col("to").alias("up"))
+            jumped = jumped.join(up, "to").select("node", F.col("up").alias("to"))
+        point = materialize(jumped, f"{label}-jump")
         moved = left.join(point.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
         moved = moved.join(point.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b").where("ta <> tb")
-        left = materialize(moved.select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b")).distinct(), f"{label}-edges")
+        rest = materialize(moved.select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b")).distinct(), f"{label}-edges")
         if mapping is None:
-            mapping = point.select("node", F.col("to").alias("component"))
+            mapping, done = point.select("node", F.col("to").alias("component")), None
         else:
-            step = point.select(F.col("node").alias("component"), F.col("to").alias("next"))
+            step, done = point.select(F.col("node").alias("component"), F.col("to").alias("next")), mapping
             mapping = mapping.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
         mapping = materialize(mapping, f"{label}-map")
+        release(left, near, point, done)
+        left = rest
     if mapping is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return mapping

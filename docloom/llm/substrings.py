@@ -5,13 +5,16 @@ many times; three facts bound the work.
 
 * Buckets. Equal strings have the same minimizer: the 16-byte gram with the smallest hash, the leftmost of equals, at the same
   place. So suffixes fall into buckets by their minimizer's gram, and a bucket with one occurrence needs no sorting. One short
-  row per minimizer (every 43 bytes or so) is dealt out to find the buckets that repeat.
+  row per minimizer (every 43 bytes or so) is dealt out to find the buckets that repeat. A count sketch of fixed size says
+  which grams are crowded: they are known to repeat, so their rows are dealt out at random and nobody counts them.
 * Blocks. Only the text around minimizers of repeated buckets is dealt out, by bucket, and sorted a block of whole buckets at a
-  time. Suffixes are compared to a depth of ``PERIOD`` bytes; longer ties are resolved by the ranks of the block's
-  difference-cover sample, which are computed once for the block: of any two suffixes with minimizers at the same residue,
-  a shift below ``PERIOD`` leads to two ranked ones. Memory is that of a block.
-* Crowded buckets are cut by document into sub-buckets. A string that repeats within its sub-bucket is settled there; the
-  first of each goes on to a second round, dealt out by its content.
+  time. Equal stretches around a minimizer are settled by their first; what differs is sorted. Suffixes are compared to a depth
+  of ``PERIOD`` bytes; longer ties are resolved by the ranks of the block's difference-cover sample, which are computed once
+  for the block: of any two suffixes with minimizers at the same residue, a shift below ``PERIOD`` leads to two ranked ones.
+  Memory is that of a block.
+* Crowded buckets are cut by place into sub-buckets, so that neither a common string nor one long document is a block of its
+  own. A string that repeats within its sub-bucket is settled there; the first of each goes on to a second round, dealt out by
+  its content.
 
 Copies of a whole document are settled by digest before any of this.
 """
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .grouping import group_starts, whole_groups
 from .ngram_join import MAX_BROADCAST_IDS, SKETCH_BITS, SKETCH_ROW_BITS, _scramble, _sum_sketch
 
@@ -38,6 +41,8 @@ SPAN = LENGTH - GRAM + 1
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Bytes of a document handled at once, occurrences in a sub-bucket and contexts in a block, about.
 PIECE, SUB_BUCKET, BLOCK_CONTEXTS = 4 << 20, 2_000, 6_000
+#: Occurrences above the median counter from which a gram is dealt out at random.
+CROWD = 2 * SUB_BUCKET
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -90,36 +95,42 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rows[i].astype("<i8").tobytes()], pa.binary())], ["row", "counts"])
 
 
-def crowded_counters(docs: DataFrame) -> np.ndarray:
-    """Which counters of a sketch of fixed size stand out; grams there need no counting to be known as repeated."""
+def gram_counts(docs: DataFrame) -> np.ndarray:
+    """Counters of a sketch of fixed size: an upper bound of how often a gram occurs, the same for all its occurrences."""
     rows = docs.select("text").mapInArrow(_sketch, "row int, counts binary").groupBy("row").applyInPandas(_sum_sketch, "row int, counts binary").collect()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows:
         at = r["row"] << SKETCH_ROW_BITS
         counts[at : at + (1 << SKETCH_ROW_BITS)] = np.frombuffer(r["counts"], "<i8")
-    middle = float(np.median(counts))
-    return counts > middle + 100 + 10 * np.sqrt(middle + 1.0)
+    return np.maximum(counts - int(np.median(counts)), 0).astype(np.uint32)
 
 
-def _grams(crowded):
+def _grams(counts):
+    """A row for each minimizer: gram, its place, the bytes before and after that its windows reach, and for crowded grams the
+    number of sub-buckets and a part at random."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = crowded.value
+        known = counts.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            docs, grams, starts = [], [], []
+            docs, grams, starts, spans = [], [], [], []
             for i, text in zip(ids, _bytes(batch, 1), strict=True):
                 if len(text) >= LENGTH:
-                    at, h, _, _ = minimizers(text)
+                    at, h, first, last = minimizers(text)
                     docs.append(np.full(len(at), i, np.int64))
                     grams.append(h)
                     starts.append(at)
+                    spans.append((at - first) << 8 | (at - last))
             if not docs:
                 continue
-            h = np.concatenate(grams)
-            common = known[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            d = np.concatenate(docs)
-            part = np.where(common, 1 + d % 1024, 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(part), pa.array(d), pa.array(np.concatenate(starts))], ["gram", "part", "doc_id", "start"])
+            h, d, at = np.concatenate(grams), np.concatenate(docs), np.concatenate(starts)
+            often = known[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            crowded = often > CROWD
+            part = np.where(crowded, 1 + (_scramble(d.view(np.uint64) ^ (at.view(np.uint64) << np.uint64(40))) & np.uint64(1023)).astype(np.int64), 0)
+            subs = np.where(crowded, -(-often // SUB_BUCKET), 0)
+            columns = [pa.array(h.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(d), pa.array(at)]
+            columns += [pa.array(np.concatenate(spans).astype(np.int32)), pa.array(subs.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["gram", "part", "doc_id", "start", "span", "subs"])
 
     return run
 
@@ -128,30 +139,33 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in whole_groups(batches, ["gram", "part"], 20_000):
         starts = group_starts(frame, ["gram", "part"])
         size = np.diff(starts)
-        keep = np.repeat((size > 1) | (frame["part"].to_numpy()[starts[:-1]] > 0), size)
+        crowded = frame["part"].to_numpy()[starts[:-1]] > 0
+        keep = np.repeat((size > 1) | crowded, size)
         if keep.any():
-            yield frame.loc[keep, ["gram", "doc_id", "start"]]
+            counted = np.repeat(np.where(crowded, 0, -(-size // SUB_BUCKET)), size)
+            frame["subs"] = np.where(counted > 0, counted, frame["subs"].to_numpy()).astype(np.int32)
+            yield frame.loc[keep, ["gram", "doc_id", "start", "span", "subs"]]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, grams): the text that the windows of each listed minimizer span."""
+    """Rows (gram, sub, doc_id, first, anchor, context): the text that the windows of each listed minimizer span."""
     for batch in batches:
-        ids, texts, listed = batch.column(0).to_pylist(), _bytes(batch, 1), batch.column(2).to_pylist()
-        for i, text, own in zip(ids, texts, listed, strict=True):
-            at, h, first, last = minimizers(text)
-            subs = {g["start"]: g["subs"] for g in own}
-            pick = np.flatnonzero(np.isin(at, np.fromiter(subs, np.int64, len(subs))))
-            sub = [subs[s] for s in at[pick].tolist()]
-            for a in range(0, len(pick), 4_096):
-                p = pick[a : a + 4_096]
-                n = len(p)
+        ids, texts, listed = batch.column(0).to_pylist(), _bytes(batch, 1), batch.column(2)
+        fields = {f: listed.values.field(f).to_numpy(zero_copy_only=False) for f in ("gram", "start", "span", "subs")}
+        ends = listed.offsets.to_numpy()
+        for i, text, a, z in zip(ids, texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            for lo in range(a, z, 4_096):
+                part = slice(lo, min(z, lo + 4_096))
+                gram, at, span, subs = (fields[f][part] for f in ("gram", "start", "span", "subs"))
+                first, last = at - (span >> 8), at - (span & 255)
+                mixed = _scramble(_scramble(at.astype(np.uint64)) ^ np.uint64(i & 0xFFFFFFFFFFFFFFFF))
+                sub = (mixed % np.maximum(subs, 1).astype(np.uint64)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h[p].view(np.int64)), pa.array(sub[a : a + n], pa.int32()), pa.array([i] * n, pa.int64()), pa.array(first[p]),
-                        pa.array((at[p] - first[p]).astype(np.int32)),
-                        pa.array([text[x : y + LENGTH] for x, y in zip(first[p].tolist(), last[p].tolist(), strict=True)], pa.binary()),
+                        pa.array(gram), pa.array(sub), pa.array(subs), pa.array(np.full(len(at), i, np.int64)), pa.array(first), pa.array((span >> 8).astype(np.int32)),
+                        pa.array([text[x:y] for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)], pa.binary()),
                     ],
-                    ["gram", "subs", "doc_id", "first", "anchor", "context"],
+                    ["gram", "sub", "subs", "doc_id", "first", "anchor", "context"],
                 )
 
 
@@ -225,6 +239,18 @@ def sort_block(contexts: list[bytes], anchor: np.ndarray, bucket: np.ndarray, do
     return owner, inner, repeated
 
 
+def _firsts(bucket: np.ndarray, anchor: np.ndarray, contexts: list[bytes], doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts are the earliest of their equals, and which of these stand in a bucket of different ones."""
+    keep = np.zeros(len(contexts), bool)
+    seen: set[tuple[int, int, bytes]] = set()
+    for i in np.lexsort((first, doc)).tolist():
+        key = (int(bucket[i]), int(anchor[i]), contexts[i])
+        if key not in seen:
+            seen.add(key)
+            keep[i] = True
+    return keep, keep & (np.bincount(bucket[keep], minlength=int(bucket[-1]) + 1)[bucket] > 1)
+
+
 def _sort_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of repeated window starts; of cut buckets also the windows that are first in their sub-bucket."""
     key = ["gram", "sub"]
@@ -237,21 +263,36 @@ def _sort_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 end += 1
             part = frame.iloc[starts[at] : starts[end]]
             bucket = np.repeat(np.arange(end - at), np.diff(starts[at : end + 1]))
-            contexts = part["context"].to_list()
-            doc, first = part["doc_id"].to_numpy(), part["first"].to_numpy()
-            owner, inner, repeated = sort_block(contexts, part["anchor"].to_numpy().astype(np.int64), bucket, doc, first)
-            edge = np.r_[True, (owner[1:] != owner[:-1]) | (repeated[1:] != repeated[:-1])]
-            cut = np.flatnonzero(edge)
-            length = np.diff(np.r_[cut, len(owner)])
-            hit = repeated[cut]
-            o, i = owner[cut[hit]], inner[cut[hit]]
-            if len(o):
-                yield pd.DataFrame({"doc_id": doc[o], "start": first[o] + i, "n": length[hit], "digest": None})
-            open_ = np.flatnonzero(~repeated & (part["subs"].to_numpy()[owner] > 1))
-            for a in range(0, len(open_), 50_000):
-                o, i = owner[open_[a : a + 50_000]], inner[open_[a : a + 50_000]]
-                digests = [hashlib.blake2b(contexts[x][y : y + LENGTH], digest_size=16).digest() for x, y in zip(o.tolist(), i.tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": doc[o], "start": first[o] + i, "n": 1, "digest": digests})
+            contexts, anchor = part["context"].to_list(), part["anchor"].to_numpy().astype(np.int64)
+            doc, first, cut_up = part["doc_id"].to_numpy(), part["first"].to_numpy(), part["subs"].to_numpy() > 1
+            count = np.array([len(c) for c in contexts]) - LENGTH + 1
+            keep, mixed = _firsts(bucket, anchor, contexts, doc, first)
+            if not keep.all():  # all windows of a later equal are repeated
+                yield pd.DataFrame({"doc_id": doc[~keep], "start": first[~keep], "n": count[~keep], "digest": None})
+            open_owner, open_inner = [], []
+            alone = np.flatnonzero(keep & ~mixed & cut_up)
+            if len(alone):
+                open_owner.append(np.repeat(alone, count[alone]))
+                open_inner.append(np.arange(count[alone].sum()) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone]))
+            pick = np.flatnonzero(mixed)
+            if len(pick):
+                owner, inner, repeated = sort_block([contexts[i] for i in pick.tolist()], anchor[pick], bucket[pick], doc[pick], first[pick])
+                owner = pick[owner]
+                cut = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (repeated[1:] != repeated[:-1])])
+                length = np.diff(np.r_[cut, len(owner)])
+                hit = repeated[cut]
+                o, i = owner[cut[hit]], inner[cut[hit]]
+                if len(o):
+                    yield pd.DataFrame({"doc_id": doc[o], "start": first[o] + i, "n": length[hit], "digest": None})
+                fresh = np.flatnonzero(~repeated & cut_up[owner])
+                open_owner.append(owner[fresh])
+                open_inner.append(inner[fresh])
+            if open_owner:
+                owner, inner = np.concatenate(open_owner), np.concatenate(open_inner)
+                for a in range(0, len(owner), 50_000):
+                    o, i = owner[a : a + 50_000], inner[a : a + 50_000]
+                    digests = [hashlib.blake2b(contexts[x][y : y + LENGTH], digest_size=16).digest() for x, y in zip(o.tolist(), i.tolist(), strict=True)]
+                    yield pd.DataFrame({"doc_id": doc[o], "start": first[o] + i, "n": 1, "digest": digests})
             at = end
 
 
@@ -307,24 +348,24 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     few = copies.count() <= MAX_BROADCAST_IDS
     single = docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
 
-    crowded = docs.sparkSession.sparkContext.broadcast(crowded_counters(single))  # 2 ** SKETCH_BITS bytes
-    grams = single.mapInArrow(_grams(crowded), "gram long, part int, doc_id long, start long")
+    counts = docs.sparkSession.sparkContext.broadcast(gram_counts(single))  # 4 * 2 ** SKETCH_BITS bytes
+    grams = single.mapInArrow(_grams(counts), "gram long, part int, doc_id long, start long, span int, subs int")
     grams = grams.repartition(width, "gram", "part").sortWithinPartitions("gram", "part")
-    repeated = materialize(grams.mapInPandas(_repeated, "gram long, doc_id long, start long"), "repeated-grams")
-    counts = repeated.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.ceil(F.col("n") / SUB_BUCKET).cast("int").alias("subs"))
-    listed = materialize(repeated.join(counts, "gram"), "listed-grams")
-    by_doc = listed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "subs")).alias("grams"))
+    repeated = materialize(grams.mapInPandas(_repeated, "gram long, doc_id long, start long, span int, subs int"), "repeated-grams")
+    by_doc = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "start", "span", "subs")).alias("grams"))
     held = single.hint("merge").join(by_doc, "doc_id").select("doc_id", "text", "grams")
-    contexts = held.mapInArrow(_contexts, "gram long, subs int, doc_id long, first long, anchor int, context binary")
-    contexts = contexts.withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("subs"))).repartition(width, "gram", "sub")
+    contexts = held.mapInArrow(_contexts, "gram long, sub int, subs int, doc_id long, first long, anchor int, context binary")
+    contexts = contexts.repartition(width, "gram", "sub")
     sorted_ = contexts.sortWithinPartitions("gram", "sub").mapInPandas(_sort_blocks, "doc_id long, start long, n long, digest binary")
     sorted_ = materialize(sorted_, "sorted-blocks")
+    release(repeated)
 
     runs = sorted_.where("digest is null").select("doc_id", "start", "n")
     rivals = sorted_.where("digest is not null").select("digest", F.struct("doc_id", "start").alias("at"))
     best = rivals.groupBy("digest").agg(F.min("at").alias("best"), F.count("*").alias("c")).where("c > 1")
     later = rivals.join(best, "digest").where("at <> best").select("at.doc_id", "at.start", F.lit(1).cast("long").alias("n"))
     by_doc = materialize(runs.union(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")
+    release(sorted_)
     few = by_doc.agg(F.sum(F.size("runs") + 2)).first()[0] or 0
     cut = docs.join(F.broadcast(by_doc) if few <= MAX_BROADCAST_IDS else by_doc, "doc_id").select("doc_id", "text", "runs")
     cut = cut.mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
