@@ -124,7 +124,7 @@ def _grams(counts):
             if not docs:
                 continue
             h, d, at = np.concatenate(grams), np.concatenate(docs), np.concatenate(starts)
-            often = known[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            often = known[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
             crowded = often > CROWD
             part = np.where(crowded, 1 + (_scramble(d.view(np.uint64) ^ (at.view(np.uint64) << np.uint64(40))) & np.uint64(1023)).astype(np.int64), 0)
             subs = np.where(crowded, -(-often // SUB_BUCKET), 0)
