@@ -8,11 +8,15 @@ near a border must be seen from both sides.
   share at least ``8/18`` of their joint size, hence one of the first ``n - need + 1`` shingles in any common order; that is
   the window that replicates a document. The order is by a count sketch of the whole corpus, so that shingles which many
   documents share come last and open crowded regions only where sets hold little else.
-* Crowded regions, again and again: the pivot is the smallest unfinished document; every member is compared with it. Members
-  within the radius join the pivot's component. What is left to compare are pairs of different components whose distances to
-  a common pivot differ by no more than the radius (the window), in a region that no longer holds the pivot.
-* The rest, in tiles of bounded size: pairs of different components in one region, under the windows of size, of known pivots
-  and of parity bitmaps (an upper bound of the overlap), are compared exactly.
+* A region's lead is its smallest document; members within its window of size are compared with it. Members within the radius
+  join its component, and a region of one component is settled.
+* Crowded regions are cut by size (sets of a similarity of 0.8 differ by a quarter at most, so a member is also seen by the next
+  band) and then into Voronoi cells around document pivots, again and again until a cell is small or no longer shrinks. The
+  space of the cells is that of the parity bitmaps under Hamming distance: a metric, every member's distances to the pivots are
+  exact in it, and no pair is farther apart there than its sets differ. A member goes to its nearest pivot and, by the
+  triangle inequality, to every cell whose pivot is no farther than that by twice what a partner may differ. A first round
+  compares members with their own pivots, a second one what is left of each cell.
+* What the windows leave, pairs of different components, is compared exactly on the words.
 
 Every window is a proven bound, so the join is exact. Equal sets are one class from the start. Sets are 64-bit shingle
 hashes.
@@ -27,8 +31,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, release
 from .components import connected_components
 from .grouping import group_starts, whole_groups
 
@@ -37,7 +42,11 @@ WORDS = 5
 SKETCH_BITS, SKETCH_ROW_BITS = 20, 14
 #: Shingles whose sketched count exceeds the mean counter by so many times its deviation are common.
 COMMON_DEVIATIONS = 6.0
-CROWDED, TILE, PIVOT_ROUNDS = 24, 256, 3
+#: Members from which a region is cut into cells, members of a cell that are compared with each other, pivots of a cut, and
+#: members of a tile: a band that no task should hold at once is dealt out in pairs of blocks.
+CROWDED, LEAF, PIVOTS, TILE = 24, 64, 12, 2_048
+#: Rows of a shingle that many documents share are joined under so many salts.
+SALTS = 32
 MAX_BROADCAST_IDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -155,13 +164,16 @@ def hash_set(s: np.ndarray) -> bytes:
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of sorted (region, rep) rows, those of regions with two members or more."""
+    """Of sorted (region, rep) rows, those of regions with two members or more, with their lead; common ones as they are."""
     for frame in whole_groups(batches, ["token", "part"], 20_000):
         starts = group_starts(frame, ["token", "part"])
         size = np.diff(starts)
-        keep = np.repeat((size > 1) | frame["part"].to_numpy()[starts[:-1]].astype(bool), size)
+        rep, n, part = frame["rep"].to_numpy(), frame["n"].to_numpy(), frame["part"].to_numpy()
+        order = np.lexsort((rep, np.repeat(np.arange(len(size)), size)))
+        lead = order[starts[:-1]]
+        keep = np.repeat((size > 1) | (part[starts[:-1]] > 0), size)
         if keep.any():
-            yield frame.loc[keep, ["token", "rep", "n"]]
+            yield frame.assign(members=np.repeat(size, size), lead=np.repeat(rep[lead], size), lead_n=np.repeat(n[lead], size)).loc[keep]
 
 
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,7 +253,7 @@ class SetJoin:
         self.width = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
     def verify(self, pairs: DataFrame, label: str) -> DataFrame:
-        """Exact overlaps of ``(a, b)``: a, b, inter, na, nb. Only the texts that pairs name are read again."""
+        """Those of the pairs ``(a, b)`` that link, compared exactly. Only the texts that pairs name are read again."""
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), f"{label}-ids")
         texts = self.docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
         small = ids.count() <= MAX_BROADCAST_IDS
@@ -250,48 +262,128 @@ class SetJoin:
         one = pairs.hint("merge").join(packed.select(F.col("rep").alias("b"), F.col("packed").alias("packed_b")), "b")
         both = one.hint("merge").join(packed.select(F.col("rep").alias("a"), F.col("packed").alias("packed_a")), "a")
         done = both.select("a", "b", "packed_a", "packed_b").mapInPandas(_compare, "a long, b long, inter long, na long, nb long")
-        return materialize(done, f"{label}-compared")
+        done = materialize(done.where("100 * inter >= 80 * (na + nb - inter)").select("a", "b"), f"{label}-links")
+        release(ids, packed)
+        return done
 
     def prune(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """Distinct pairs, smaller id first, that sizes and bitmaps leave possible."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        one = pairs.join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
-        two = one.join(reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
+        one = pairs.hint("merge").join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
+        two = one.hint("merge").join(reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
+        two = two.where("100 * least(na, nb) >= 80 * greatest(na, nb)")
         return two.mapInPandas(_near, "a long, b long")
 
 
-def _pairs_in_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components in one tile, under the windows of size, of the region's pivots and of the bitmaps."""
-    key = ["token", "i", "j"]
-    for frame in whole_groups(batches, key, 5_000):
-        starts = group_starts(frame, key)
-        out_a, out_b = [], []
-        rep, n, comp, block = (frame[c].to_numpy() for c in ("rep", "n", "comp", "block"))
-        dist = np.stack(frame["dist"].to_list()) if len(frame) else np.empty((0, 0))
-        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-            if hi - lo < 2:
+class Cells:
+    """Pairs of one tile that can be similar, found in Voronoi cells of parity bitmaps under Hamming distance."""
+
+    def __init__(self, rep, n, comp, host, block, bits: list[bytes]):
+        self.rep, self.n, self.comp, self.host, self.block, self.bits = rep, n, comp, host, block, bits
+        self.found: list[np.ndarray] = []
+
+    def pairs(self, pivots_only: bool) -> np.ndarray:
+        """Rows (a, b) of ids, the smaller first; with ``pivots_only`` members with their nearest pivots."""
+        widths = np.array([len(b) for b in self.bits])
+        for width in np.unique(widths):
+            index = np.flatnonzero(widths >= width)  # a pair is compared at the width of its narrower bitmap
+            self.narrow = np.zeros(len(widths), bool)
+            self.narrow[widths == width] = True
+            self.space = np.zeros((len(widths), width // 8), np.uint64)
+            self.space[index] = np.stack([_fold_bits(self.bits[i], width).view(np.uint64) for i in index.tolist()])
+            self._cut(index, pivots_only)
+        if not self.found:
+            return np.empty((0, 2), np.int64)
+        ids = self.rep[np.concatenate(self.found)]
+        return np.unique(np.sort(ids, axis=1), axis=0)
+
+    def _cut(self, index: np.ndarray, pivots_only: bool) -> None:
+        work = [index]
+        while work:
+            cell = work.pop()
+            if len(np.unique(self.comp[cell])) < 2:
                 continue
-            i, j = frame["i"].iat[lo], frame["j"].iat[lo]
-            left = np.flatnonzero(block[lo:hi] == i) + lo
-            right = left if i == j else np.flatnonzero(block[lo:hi] == j) + lo
-            small, large = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
-            ok = (comp[left][:, None] != comp[right][None, :]) & (100 * small >= 80 * large)
-            for k in range(dist.shape[1]):
-                gap = np.abs(dist[left, k][:, None] - dist[right, k][None, :])
-                ok &= ~(gap > 0.2 + 1e-9)  # unknown distances are NaN and rule nothing out
-            if i == j:
-                ok = np.triu(ok, 1)
-            a, b = np.nonzero(ok)
-            if not len(a):
+            if len(cell) <= LEAF and not pivots_only:
+                self._compare(cell)
                 continue
-            a, b = left[a] - lo, right[b] - lo
-            near = possible(a, b, n[lo:hi], frame["bits"].iloc[lo:hi].to_list())
-            out_a.append(rep[a[near] + lo])
-            out_b.append(rep[b[near] + lo])
-        if out_a:
-            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
-            if len(pairs):
-                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            pivots = cell[np.linspace(0, len(cell) - 1, min(PIVOTS, len(cell))).astype(np.int64)]
+            far = np.stack([np.bitwise_count(self.space[cell] ^ self.space[p]).sum(axis=1, dtype=np.int64) for p in pivots], axis=1)
+            own = far.argmin(axis=1)
+            if pivots_only:
+                self._keep(cell, pivots[own])
+                if len(cell) <= LEAF:
+                    continue
+            # a partner differs from a set of n members by a quarter of n at most
+            window = far[np.arange(len(cell)), own] + 2 * (self.n[cell] // 4)
+            parts = [cell[(own == k) | (far[:, k] <= window)] for k in range(len(pivots)) if (own == k).any()]
+            if sum(len(p) ** 2 for p in parts) > 0.75 * len(cell) ** 2:  # all at much the same distance: no pivot tells them apart
+                if not pivots_only:
+                    self._compare(cell)
+                continue
+            work.extend(p for p in parts if len(p) > 1)
+
+    def _compare(self, cell: np.ndarray) -> None:
+        cell = cell[np.argsort(self.n[cell], kind="stable")]
+        for at in range(0, len(cell), 256):
+            left = cell[at : at + 256]
+            for other in range(at, len(cell), 256):
+                right = cell[other : other + 256]
+                if 80 * self.n[right[0]] > 100 * self.n[left[-1]]:
+                    break
+                a, b = np.nonzero(np.triu(np.ones((len(left), len(right)), bool), 1) if at == other else self.comp[left][:, None] != self.comp[right][None, :])
+                self._keep(left[a], right[b])
+
+    def _keep(self, a: np.ndarray, b: np.ndarray) -> None:
+        n, m = self.n[a], self.n[b]
+        ok = (self.comp[a] != self.comp[b]) & (100 * np.minimum(n, m) >= 80 * np.maximum(n, m)) & (self.narrow[a] | self.narrow[b])
+        ok &= (self.host[a] | self.host[b]) & ((self.block[a] != self.block[b]) | (self.block[a] < 0))
+        a, b = a[ok], b[ok]
+        for at in range(0, len(a), 16_384):
+            x, y = a[at : at + 16_384], b[at : at + 16_384]
+            alone = np.bitwise_count(self.space[x] ^ self.space[y]).sum(axis=1, dtype=np.int64)
+            near = (self.n[x] + self.n[y] - alone) // 2 >= need(self.n[x], self.n[y])
+            if near.any():
+                self.found.append(np.stack([x[near], y[near]], axis=1))
+
+
+def _pairs_in_cells(pivots_only: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = ["token", "band", "i", "j"]
+        for frame in whole_groups(batches, key, 5_000):
+            starts = group_starts(frame, key)
+            rep, n, comp, host, block, i, j = (frame[c].to_numpy() for c in ("rep", "n", "comp", "host", "block", "i", "j"))
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if hi - lo < 2 or not host[lo:hi].any():
+                    continue
+                part = slice(lo, hi)
+                across = block[part] if i[lo] != j[lo] else np.full(hi - lo, -1)
+                pairs = Cells(rep[part], n[part], comp[part], host[part], across, frame["bits"].iloc[part].to_list()).pairs(pivots_only)
+                if len(pairs):
+                    yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _small_regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of sorted regions: pairs of different components and like sizes in small ones, the members of crowded ones (``b`` null)."""
+    for frame in whole_groups(batches, ["token"], 20_000):
+        starts = group_starts(frame, ["token"])
+        size = np.diff(starts)
+        rep, n, comp = (frame[c].to_numpy() for c in ("rep", "n", "comp"))
+        mixed = np.maximum.reduceat(comp, starts[:-1]) != np.minimum.reduceat(comp, starts[:-1]) if len(comp) else size > 0
+        crowded = np.flatnonzero(np.repeat(mixed & (size > CROWDED), size))
+        if len(crowded):
+            yield pd.DataFrame({"token": frame["token"].to_numpy()[crowded], "a": rep[crowded], "b": pd.array([None] * len(crowded), "Int64"), "members": np.repeat(size, size)[crowded]})
+        out = []
+        for m in range(3, CROWDED + 1):  # regions of one size together
+            rows = starts[:-1][mixed & (size == m)]
+            if len(rows):
+                x, y = (rows[:, None] + k[None, :] for k in np.triu_indices(m, 1))
+                ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= 80 * np.maximum(n[x], n[y]))
+                out.append(np.stack([rep[x[ok]], rep[y[ok]]], axis=1))
+        if out and sum(map(len, out)):
+            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+            yield pd.DataFrame({"token": 0, "a": pairs[:, 0], "b": pd.array(pairs[:, 1], "Int64"), "members": 0})
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -301,9 +393,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Edge cases: null and empty texts, and texts without words, have no shingles, link with nothing and are their own
     component; texts of fewer than five words are one shingle; equal texts link whatever their length; repeated rows and ids
-    are kept, a repeated id linking its texts' components; a null doc_id gets a null component and links nothing; an empty
-    table gives an empty result; other columns are ignored.
+    are kept, a repeated id linking its texts' components; a null doc_id gets a null component and links nothing; a doc_id
+    that is no integer is an error; an empty table gives an empty result; other columns are ignored.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     join = SetJoin(docs)
@@ -312,91 +406,100 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         docs.mapInArrow(_signatures(levels), "doc_id long, n long, key binary, bits binary, prefix array<long>, common array<boolean>"), "sets"
     )
     filled = signed.where("doc_id is not null and n > 0").select("doc_id", "key")
-    classes = materialize(filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "set-classes")
     # a repeated id may stand for several sets: the join works on ids only where each is one row
     if not filled.groupBy("doc_id").count().where("count > 1").isEmpty():
+        release(signed)
         return _with_row_ids(docs)
+    classes = materialize(filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "set-classes")
     copies = filled.join(classes.where("copies > 1"), "key").where("doc_id <> rep").select(F.col("doc_id").alias("rep"))
     copies = materialize(copies, "set-copies")
     few = copies.count() <= MAX_BROADCAST_IDS
     reps = signed.where("doc_id is not null and n > 0").withColumnRenamed("doc_id", "rep").join(F.broadcast(copies) if few else copies, "rep", "left_anti")
 
-    # first regions: single-shingle pivots; common ones are spread by document, as nobody needs to count them
+    # first regions: single-shingle pivots; common ones are spread by document
     rows = reps.select("rep", "n", F.explode(F.arrays_zip("prefix", "common")).alias("p"))
     spread = F.when(F.col("p.common"), 1 + F.pmod(F.xxhash64("rep"), F.lit(1024))).otherwise(0).cast("int")
-    regions = rows.select(F.col("p.prefix").alias("token"), spread.alias("part"), "rep", "n").repartition(join.width, "token", "part")
-    regions = materialize(regions.sortWithinPartitions("token", "part").mapInPandas(_shared, "token long, rep long, n long"), "regions")
-    sizes = materialize(regions.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1"), "region-sizes")
-    members = materialize(regions.join(sizes, "token"), "region-members")
-
-    # every member of a region with its pivot
-    members = members.where(F.col("rep") != F.col("pivot"))
-    first = members.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    slim = reps.select("rep", "n", "bits")
-    compared = join.verify(materialize(join.prune(first, slim), "pairs-0"), "round-0")
-    compared_all = [compared]
-
-    def links(tables: list[DataFrame]) -> DataFrame:
-        out = None
-        for t in tables:
-            own = t.where("100 * inter >= 80 * (na + nb - inter)").select("a", "b")
-            out = own if out is None else out.union(own)
-        return out
-
-    found = connected_components(links(compared_all), "sets-0")
-    # a region of two is done with its pivot
-    left = members.where("members > 2").select("token", "rep", "n", F.array(F.col("pivot")).alias("pivots"))
-    for k in range(1, PIVOT_ROUNDS + 1):
-        open_ = left.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        open_ = materialize(open_, f"open-{k}")
-        spans = open_.groupBy("token", "comp").agg(F.count("*").alias("m"), F.min("rep").alias("lead"))
-        mixed = spans.groupBy("token").agg(F.count("*").alias("comps"), F.sum("m").alias("members"), F.max_by("lead", F.struct(F.col("m"), -F.col("lead"))).alias("pivot")).where("comps > 1")
-        mixed = materialize(mixed, f"mixed-{k}")
-        left = materialize(open_.join(mixed, "token"), f"left-{k}")
-        if k > PIVOT_ROUNDS - 1 or left.isEmpty():
+    rows = rows.select(F.col("p.prefix").alias("token"), spread.alias("part"), "rep", "n").repartition(join.width, "token", "part")
+    region = "token long, part int, rep long, n long, members long, lead long, lead_n long"
+    regions = materialize(rows.sortWithinPartitions("token", "part").mapInPandas(_shared, region), "regions")
+    slim = materialize(reps.select("rep", "n", "bits"), "bitmaps")
+    ids = materialize(signed.select("doc_id", "n", "key"), "set-keys")
+    release(signed, copies)
+    spread_rows = regions.where("part > 0").select("token", "part", "rep", "n", F.pmod("part", F.lit(SALTS)).alias("salt"))
+    head = spread_rows.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("lead")).where("members > 1")
+    head = head.select("token", "members", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    wide = materialize(spread_rows.hint("merge").join(head, ["token", "salt"]).select("token", "part", "rep", "n", "members", "lead", "lead_n"), "wide-regions")
+    members = regions.where("part = 0").unionByName(wide)
+
+    # every member of a region with its lead
+    near_lead = members.where("rep <> lead and 100 * least(n, lead_n) >= 80 * greatest(n, lead_n)").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    pairs = materialize(join.prune(near_lead, slim), "lead-pairs")
+    links = [join.verify(pairs, "lead")]
+    release(pairs)
+    found = connected_components(links[0], "sets-lead")
+
+    # what a region still holds of different components; a region of two is done with its lead
+    def with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
+        side = comps.select(F.col("node").alias("rep"), "component")
+        side = F.broadcast(side) if comps.count() <= MAX_BROADCAST_IDS else side
+        return rows.join(side, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+    open_ = with_components(regions.where("part = 0 and members > 2").select("token", "rep", "n"), found)
+    open_ = open_.repartition(join.width, "token").sortWithinPartitions("token")
+    rest = materialize(open_.mapInPandas(_small_regions, "token long, a long, b long, members long"), "open-regions")
+    crowded = rest.where("b is null").select("token", F.col("a").alias("rep"), "members").unionByName(wide.where(f"members > {CROWDED}").select("token", "rep", "members"))
+    little = wide.where(f"members between 3 and {CROWDED}")
+    little = little.select("token", "rep", "n").join(little.select("token", F.col("rep").alias("b"), F.col("n").alias("m")), "token")
+    little = little.where("rep < b and 100 * least(n, m) >= 80 * greatest(n, m)").select(F.col("rep").alias("a"), "b")
+    crowded = materialize(_banded(crowded.hint("merge").join(slim, "rep")), "crowded")
+    for pivots_only in (True, False):
+        if crowded.isEmpty():
+            cells = None
             break
-        pivots = left.where((F.col("members") > CROWDED) & (F.col("rep") != F.col("pivot")))
-        lead = left.where("rep = pivot").select(F.col("token"), F.col("comp").alias("pivot_comp")).distinct()
-        outside = pivots.join(lead, "token").where("comp <> pivot_comp").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        more = join.verify(materialize(join.prune(outside, slim), f"pairs-{k}"), f"round-{k}")
-        compared_all.append(more)
-        found = connected_components(links(compared_all), f"sets-{k}")
-        done = left.where("members > %d and rep = pivot" % CROWDED).select("token", "rep")
-        left = left.join(done, ["token", "rep"], "left_anti").select("token", "rep", "n", F.when(F.col("members") > CROWDED, F.concat("pivots", F.array("pivot"))).otherwise(F.col("pivots")).alias("pivots"))
-        left = materialize(left, f"rest-{k}")
-
-    if not left.isEmpty():
-        # what no pivot settled, in tiles; distances to the region's pivots are windows where they were taken
-        known = None
-        for t in compared_all:
-            d = t.select("a", "b", (1.0 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
-            both = d.union(d.select("b", "a", "d"))
-            known = both if known is None else known.union(both)
-        known = known.groupBy(F.col("a").alias("pivot_0"), F.col("b").alias("rep")).agg(F.min("d").alias("d"))
-        rest = left.select("token", "rep", "n", "comp", "members", F.col("pivots")[0].alias("pivot_0"))
-        rest = rest.join(known, ["pivot_0", "rep"], "left").join(slim.select("rep", "bits"), "rep").withColumn("dist", F.array(F.coalesce("d", F.lit(float("nan")))))
-        rest = rest.withColumn("blocks", F.ceil(F.col("members") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "token"), F.col("blocks")).cast("int"))
-        mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda m: F.struct(F.least(m, F.col("block")).alias("i"), F.greatest(m, F.col("block")).alias("j")))
-        tiles = rest.select("token", "rep", "n", "bits", "comp", "dist", "block", F.explode(mates).alias("t")).select("token", "rep", "n", "bits", "comp", "dist", "block", "t.i", "t.j")
-        tiles = tiles.repartition(join.width, "token", "i", "j").sortWithinPartitions("token", "i", "j")
-        pairs = tiles.mapInPandas(_pairs_in_tiles, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        last = join.verify(materialize(pairs, "pairs-last"), "round-last")
-        compared_all.append(last)
-        found = connected_components(links(compared_all), "sets-last")
+        dealt = with_components(crowded, found).repartition(join.width, "token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
+        cells = dealt.mapInPandas(_pairs_in_cells(pivots_only), "a long, b long").distinct()
+        if pivots_only:
+            cells = materialize(cells, "pivot-pairs")
+            links.append(join.verify(cells, "pivots"))
+            release(cells, found)
+            found = connected_components(links[0].union(links[1]), "sets-pivots")
+    last = rest.where("b is not null").select("a", "b").union(little)
+    last = materialize(join.prune(last.union(cells) if cells is not None else last, slim), "last-pairs")
+    links.append(join.verify(last, "last"))
+    release(last, crowded, regions, wide, rest, slim, found)
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    found = connected_components(every, "sets-last")
+    release(*links)
 
     comp = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "key").join(comp, "key", "left")
+    out = ids.join(comp, "key", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, F.col("doc_id")).alias("component_id"))
 
 
+def _banded(members: DataFrame) -> DataFrame:
+    """Members of crowded regions in their band of sizes and the next one, in blocks that pair up to tiles.
+
+    Bands grow by more than a quarter, so a set and one that is at least 0.8 of its size are in one band or in neighbours.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26))).cast("int")
+    both = members.withColumn("b", band).withColumn("s", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("b") + F.col("s"))
+    blocks = F.ceil(F.col("members") / TILE).cast("int")
+    both = both.withColumn("host", F.col("s") == 0).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "token"), F.col("blocks")).cast("int"))
+    mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda m: F.struct(F.least(m, F.col("block")).alias("i"), F.greatest(m, F.col("block")).alias("j")))
+    tiled = both.withColumn("t", F.explode(mates))
+    return tiled.select("token", "band", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "rep", "n", "bits", "host", "block")
+
+
 def _with_row_ids(docs: DataFrame) -> DataFrame:
     """Ids that stand for several texts: join under row numbers, then link the rows of one id."""
     rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     by_row = materialize(jaccard_components(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row"), "by-row")
     named = rows.select("row", "doc_id").join(by_row, "row")
-    same = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("a"), F.collect_set("component_id").alias("c"))
-    joined = connected_components(same.select("a", F.explode("c").alias("b")), "row-ids")
+    same = named.where("doc_id is not null").select("doc_id", F.col("component_id").alias("b")).distinct()
+    joined = connected_components(same.join(same.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("a", "b"), "row-ids")
     whole = named.join(joined.withColumnRenamed("node", "component_id"), "component_id", "left").withColumn("c", F.coalesce("component", "component_id"))
     least = whole.groupBy("c").agg(F.min("doc_id").alias("least"))
     return whole.join(least, "c").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))

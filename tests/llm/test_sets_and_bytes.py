@@ -197,6 +197,30 @@ def test_hadamard_is_orthogonal_and_probes_differ():
     assert codes.shape == (5, 6) and all(len(set(r)) == 6 for r in codes.tolist())
 
 
+@pytest.mark.parametrize(("dim", "hashes"), [(64, 1), (64, 3), (64, 4), (768, 3), (768, 4)])
+def test_near_vectors_meet_in_buckets_of_any_number_of_hashes(dim, hashes):
+    from docloom.llm.embeddings import layout
+
+    n = next(10**k for k in range(3, 20) if layout(10**k, dim, 64)[0] == hashes)
+    tables = layout(n, dim, 64)[1]
+    rng = np.random.default_rng(dim + hashes)
+    x = rng.normal(size=(300, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.981 * x + math.sqrt(1 - 0.981**2) * z
+    a, b = (bucket_codes(v, tables, hashes, 2) for v in (x, y))
+    assert (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean() >= 0.95
+
+
+def test_embeddings_of_any_size_with_clashing_columns(spark):
+    rows = [(1, [1e200, 2e200, 3e200], 1, 5, 6), (2, [1e-200, 2e-200, 3e-200], 1, 5, 6), (3, [3.0, 2.0, 1.0], 1, 5, 6), (4, [float("inf"), 1.0, 1.0], 1, 5, 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links int, component_id int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
 def test_targets_stop_at_their_cap():
     assert fill_targets({"a": 1000, "b": 10, "c": 500}, {"a": 1, "b": 2, "c": 3}) == {"a": 370.0, "b": 30.0, "c": 1110.0}
     assert fill_targets({"a": 0, None: 7}, {"a": 1, None: 2}) == {"a": 0.0, None: 7.0}
@@ -225,3 +249,49 @@ def test_shingles_lower_only_ascii_and_split_only_on_ascii_white_space():
     assert len(shingles("Ä b c d e".encode())) == 1
     assert shingles("É b c d e".encode()).tolist() != shingles("é b c d e".encode()).tolist()
     assert len(shingles("a b c d e\x0bf".encode())) == 2
+
+
+def test_cells_find_every_similar_pair(monkeypatch):
+    from docloom.llm import ngram_join as nj
+
+    monkeypatch.setattr(nj, "LEAF", 6)
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(25):  # clusters of near copies, far from each other, and members of other sizes
+        base = rng.integers(0, 1 << 63, int(rng.integers(20, 400))).astype(np.uint64)
+        for _ in range(int(rng.integers(1, 25))):
+            s = base.copy()
+            swap = rng.random(len(s)) < rng.choice([0.0, 0.03, 0.08, 0.2])
+            s[swap] = rng.integers(0, 1 << 63, int(swap.sum())).astype(np.uint64)
+            sets.append(np.unique(s[: int(len(s) * rng.choice([1.0, 0.9]))]))
+    n = np.array([len(s) for s in sets])
+    cells = nj.Cells(np.arange(len(sets)) * 7, n, np.arange(len(sets)), np.ones(len(sets), bool), np.full(len(sets), -1), [nj.bitmap(s) for s in sets])
+    found = {tuple(p) for p in cells.pairs(False).tolist()}
+    links = {
+        (7 * i, 7 * j) for i, j in itertools.combinations(range(len(sets)), 2)
+        if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (n[i] + n[j] - k)
+    }
+    assert len(links) > 500 and links <= found and len(found) < 2 * len(links)
+    near = cells.pairs(True)
+    assert len(near) and set(near.ravel().tolist()) <= {7 * i for i in range(len(sets))}
+
+
+def test_jaccard_components_of_a_crowded_region(spark):
+    rng = random.Random(21)
+    vocab = [f"v{i}" for i in range(3000)]
+    passage = [rng.choice(vocab) for _ in range(90)]
+    rows = []
+    for k in range(150):  # all share the passage, which is most of each; some are near copies of others
+        tail = [rng.choice(vocab) for _ in range(rng.choice([4, 12, 30]))]
+        rows.append((k, " ".join(passage + tail)))
+        if k % 5 == 0:
+            rows.append((1000 + k, " ".join(passage[:-1] + ["zz"] + tail)))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    comp, size = brute_components(rows)
+    assert got == {i: (comp[i], size[i]) for i, _ in rows}
+
+
+def test_jaccard_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        jaccard_components(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
