@@ -19,12 +19,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, release
 from .components import connected_components
 from .grouping import group_starts, local_roots, whole_groups
 
-TILE = 512
+TILE, TABLES = 512, 8
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -72,15 +73,33 @@ def bucket_codes(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int
     return codes
 
 
+def unit(rows: list) -> np.ndarray:
+    """Vectors of length one in double precision; components are scaled first, so that no square overflows or vanishes."""
+    x = np.stack(rows).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def layout(n: int, dim: int, bucket_rows: int) -> tuple[int, int]:
+    """Hashes of a bucket and tables, for ``n`` vectors.
+
+    Hashes grow with the logarithm of the number of vectors, so that a bucket of unrelated ones holds about ``bucket_rows``;
+    tables grow with the hashes, as near vectors meet less often in a longer code.
+    """
+    width = 1 << max(1, dim - 1).bit_length()
+    hashes = max(1, round(math.log(max(2.0, n / bucket_rows)) / math.log(2 * width)))
+    return hashes, TABLES + TABLES // 2 * (hashes - 1)
+
+
 def _hash_rows(tables: int, hashes: int, probes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes = batch["embedding"].map(len).to_numpy()
             for d in np.unique(sizes):
                 part = batch[sizes == d]
-                x = np.stack(part["embedding"].to_list()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                codes = bucket_codes(x, tables, hashes, min(probes, hashes + 1))
+                codes = bucket_codes(unit(part["embedding"].to_list()), tables, hashes, min(probes, hashes + 1))
+                # 32 bits of each code: buckets that fall together are only larger
+                codes = (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pd.DataFrame({"rep": part["rep"], "label": part["label"], "copies": part["copies"], "embedding": part["embedding"], "codes": list(codes)})
 
     return run
@@ -114,9 +133,7 @@ def _tiles(threshold: float):
                 if hi - lo < 2:
                     continue
                 part = frame.iloc[lo:hi]
-                x = np.stack(part["embedding"].to_list()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                a, b = tile(part, x, np.stack(part["codes"].to_list()))
+                a, b = tile(part, unit(part["embedding"].to_list()), np.stack(part["codes"].to_list()))
                 if not len(a):
                     continue
                 rep, copies = part["rep"].to_numpy(), part["copies"].to_numpy()
@@ -133,17 +150,18 @@ def _tiles(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 8, probes: int = 2, bucket_rows: int = 64) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, probes: int = 2, bucket_rows: int = 64) -> DataFrame:
     """Links and components of vectors with equal labels: vec_id, n_links, component_id, kept.
 
-    The number of hashes follows the number of vectors, so that a bucket of unrelated vectors holds about ``bucket_rows``.
+    Hashes and tables follow the number of vectors (``layout``).
 
     Edge cases: a vector that is null, empty, zero or holds a null or non-finite component, and one without label, links with
     nothing and is kept as its own component; vectors of different lengths never link; equal vectors (repeated rows and
     repeated ids among them) are classes whose members all link; a null vec_id gets a null component and is kept; an empty
     table gives an empty result; other columns are ignored.
     """
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("long").alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     base = materialize(base.withColumn("class", F.when(good, F.sha2(F.to_json(F.struct("label", "embedding")).cast("binary"), 256))), "vectors")
@@ -151,8 +169,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 8
     classes = materialize(classes, "vector-classes")
     n = classes.count()
     dim = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
-    hashes = max(1, min(4, round(math.log(max(2.0, n / bucket_rows)) / math.log(2 * (1 << max(1, dim - 1).bit_length())))))
-    schema = "rep long, label long, copies long, embedding array<double>, codes array<long>"
+    hashes, tables = layout(n, dim, bucket_rows)
+    schema = f"rep long, label long, copies long, embedding {kind}, codes array<int>"
     hashed = classes.select("rep", "label", "copies", "embedding").mapInPandas(_hash_rows(tables, hashes, probes), schema)
     hashed = materialize(hashed.withColumn("dim", F.size("embedding")), "vector-codes")
 
@@ -168,6 +186,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 8
     key = [*bucket, "i", "j"]
     dealt = tiles.repartition(width, *key).sortWithinPartitions(*key)
     found = materialize(dealt.mapInPandas(_tiles(threshold), "rep long, links long, root long"), "vector-links")
+    release(hashed, sizes)
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors")
