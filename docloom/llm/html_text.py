@@ -7,8 +7,10 @@ nearest decided neighbours. Per row, one pass over the input, no exchange.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +29,8 @@ RAW_TAGS = frozenset("script style noscript template svg math iframe object canv
 OUT_TAGS = frozenset("nav footer aside form button dialog menu search fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that their class or id never puts out.
+NAMED_IN = HEADINGS | frozenset("body html article main p".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 OUT_NAMES = frozenset(
@@ -41,40 +45,111 @@ STOP_WORDS = frozenset(
     "el los las de del y en un una que es por con para su se al lo como más no".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
-    re.S,
+#: Words that say nothing beside a name of ``OUT_NAMES`` in one compound, as in ad-box or comment-list.
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons container content group inner items item left links link list main menu module outer panel "
+    "posts post right section site slot top unit wrap wrapper".split()
 )
+
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_NAME = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _named_out(value: str) -> bool:
+    """Whether a class or id names a part that is out: each of its tokens as a whole, the words of a compound together."""
+    for token in value.split():
+        parts = [p.lower() for p in _PART.findall(token)]
+        if any(p in OUT_NAMES for p in parts) and all(p in OUT_NAMES or p in NEUTRAL for p in parts):
+            return True
+    return False
+
+
 def _is_out(tag: str, attrs: str, in_main: bool) -> bool:
     if tag in OUT_TAGS or (tag == "header" and not in_main):
         return True
     if not attrs:
         return False
     for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if tag not in ("body", "html", "article", "main") and not OUT_NAMES.isdisjoint(_NAME.findall(value)):
+            if tag not in NAMED_IN and _named_out(value):
                 return True
         elif name == "role":
-            if value in OUT_ROLES:
+            if value.lower() in OUT_ROLES:
                 return True
         elif name == "style":
-            if "display:none" in value.replace(" ", ""):
+            if "display:none" in value.lower().replace(" ", ""):
                 return True
-        elif name == "hidden" or value == "true":
+        elif name == "hidden" or value.lower() == "true":
             return True
     return False
 
 
+def tags_of(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """The page as ``(text before, tag, closing, attributes)``, the rest of the text with an empty tag.
+
+    One scan from left to right: what a search has found missing up to the end of the page is not searched for again. Quoted
+    attribute values may hold ``>``; where quotes never close, the next ``>`` ends the tag, and where none is left, ``<`` is
+    text. The content of raw elements is passed over.
+    """
+    at, n, text_from = 0, len(page), 0
+    quotes = True
+    last_end = page.rfind(">")
+    unclosed: set[str] = set()
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield page[text_from:at], "!", False, ""
+            at = text_from = n if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at + 9)
+            yield page[text_from:at], "!", False, ""
+            at = text_from = n if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) if at < last_end else -1
+            yield page[text_from:at], "!", False, ""
+            at = text_from = n if end < 0 else end + 1
+            continue
+        m = _OPEN.match(page, at)
+        if m is None or m.end() > last_end:
+            at += 1
+            continue
+        closed = _QUOTED.match(page, m.end()) if quotes else None
+        if closed is None:
+            quotes = False
+        end = closed.end() - 1 if closed else page.find(">", m.end())
+        tag, closing, attrs = m[2].lower(), bool(m[1]), page[m.end() : end]
+        yield page[text_from:at], tag, closing, attrs
+        at = text_from = end + 1
+        if tag in RAW_TAGS and not closing and not attrs.endswith("/"):
+            stop = None if tag in unclosed else _raw_end(tag).search(page, at)
+            if stop is None:
+                unclosed.add(tag)
+                at = text_from = at if tag in ("head", "select", "noscript") else n
+            else:
+                at = text_from = stop.start() if stop[0][1:5].lower() == "body" else stop.end()
+    yield page[text_from:], "", False, ""
+
+
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>" + (r"|<body\b" if tag == "head" else ""), re.I)
+
+
 def blocks_of(page: str) -> list[dict]:
     """Text blocks in page order: raw text pieces, tag, place and length of linked text."""
     blocks: list[dict] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, opens a part that is out, opens a main part
+    opened: Counter = Counter()  # elements of the stack by tag, and those that are out
+    opened_out: Counter = Counter()
     out_depth = main_depth = link_depth = 0
     pieces: list[str] = []
     linked: list[str] = []
@@ -88,68 +163,53 @@ def blocks_of(page: str) -> list[dict]:
             blocks.append({"text": text, "tag": tag_now, "out": out_depth > 0, "main": main_depth > 0, "linked": len(links)})
         pieces, linked = [], []
 
-    def add(raw: str) -> None:
+    def pop() -> str:
+        nonlocal out_depth, main_depth
+        tag, was_out, was_main = stack.pop()
+        opened[tag] -= 1
+        opened_out[tag] -= was_out
+        out_depth -= was_out
+        main_depth -= was_main
+        return tag
+
+    for raw, tag, closing, attrs in tags_of(page):
         if raw:
             pieces.append(raw)
             if link_depth:
                 linked.append(raw)
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if tag in ("", "!"):
             continue
-        closing, attrs = bool(m[1] or m[4]), (m[3] or m[6] or "")
         if tag == "br":
             pieces.append(" ")
-            continue
-        if tag in RAW_TAGS:
-            if not closing and not attrs.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>" + (r"|<body\b" if tag == "head" else ""), re.I).search(page, at)
-                if end is None:
-                    at = at if tag in ("head", "select", "noscript") else n
-                else:
-                    at = end.start() if end[0][1:5].lower() == "body" else end.end()
-                if tag not in ("svg", "math", "canvas"):
-                    close()
-            continue
-        if tag in VOID_TAGS:
+        elif tag in RAW_TAGS:
+            if not closing and not attrs.endswith("/") and tag not in ("svg", "math", "canvas"):
+                close()
+        elif tag in VOID_TAGS:
             if tag == "hr":
                 close()
-            continue
-        if tag == "a":
+        elif tag == "a":
             link_depth = max(0, link_depth + (-1 if closing else 1))
-            continue
-        if tag not in BLOCK_TAGS and not (not closing and attrs and _is_out(tag, attrs, main_depth > 0)) and tag != "button":
-            if closing and any(t == tag for t, o, _ in stack if o):
-                pass  # the end of an inline part that is out
-            else:
+        elif (
+            tag in BLOCK_TAGS
+            or tag == "button"
+            or (closing and opened_out[tag])  # the end of an inline part that is out
+            or (not closing and attrs and _is_out(tag, attrs, main_depth > 0))
+        ):
+            close()
+            if closing:
+                if opened[tag]:
+                    while pop() != tag:
+                        pass
+                if tag in ("li", "p", "div", "nav", "ul"):
+                    link_depth = 0
+                tag_now = stack[-1][0] if stack else "body"
                 continue
-        close()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    for _, was_out, was_main in stack[k:]:
-                        out_depth -= was_out
-                        main_depth -= was_main
-                    del stack[k:]
-                    break
-            if tag in ("li", "p", "div", "nav", "ul"):
-                link_depth = 0
-            tag_now = stack[-1][0] if stack else "body"
-        else:
             if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                _, was_out, was_main = stack.pop()
-                out_depth -= was_out
-                main_depth -= was_main
+                pop()
             is_out, is_main = _is_out(tag, attrs, main_depth > 0), tag in MAIN_TAGS
             stack.append((tag, is_out, is_main))
+            opened[tag] += 1
+            opened_out[tag] += is_out
             out_depth += is_out
             main_depth += is_main
             tag_now = tag
@@ -179,6 +239,8 @@ def classify(blocks: list[dict]) -> list[bool]:
         else:
             label = "near" if b["main"] else "bad"
         labels.append(label)
+    if not has_main and "good" not in labels and not any(x == "near" for x in labels):
+        return [x == "short" for x in labels]  # nothing decided: what isn't out is all there is
     keep = []
     nearest = {1: [None] * len(blocks), -1: [None] * len(blocks)}
     for way, order in ((1, range(len(blocks))), (-1, range(len(blocks) - 1, -1, -1))):
