@@ -14,9 +14,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,6 @@ from .common import held_out, materialize
 
 #: Bounds of the fitting sample: labelled rows of each kind, in expectation.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 10_000
-MAX_TERMS = 5_000
 #: Toxic rows of the sample that must hold a term, and their share.
 MIN_DOCS, MIN_SHARE = 3, 0.005
 #: A term's share among toxic rows must be so many times its share among clean rows.
@@ -112,8 +113,12 @@ class Lexicon:
                 excused.append((start, end))
             else:
                 found[start] = max(weight, found.get(start, 0.0))
-        kept = [w for s, w in found.items() if not any(a <= s <= b for a, b in excused)]
-        return len(kept), float(sum(kept))
+        if excused:
+            excused.sort()
+            opens = [a for a, _ in excused]
+            reach = list(accumulate((b for _, b in excused), max))  # how far the phrases that start up to here go
+            found = {s: w for s, w in found.items() if (k := bisect_right(opens, s)) == 0 or reach[k - 1] < s}
+        return len(found), float(sum(found.values()))
 
     def features(self, text: str | None) -> tuple[int, float, float]:
         folded = fold(text or "")
@@ -163,8 +168,7 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
             if inside >= 0.8 * toxic[term]:
                 continue  # one word makes the stem: the word itself is surer
         kept[term] = math.log(ratio[term])
-    best = sorted(kept, key=lambda t: (-toxic[t] * kept[t], t))[:MAX_TERMS]
-    return {t: min(kept[t], 8.0) for t in sorted(best)}
+    return {t: min(kept[t], 8.0) for t in sorted(kept)}
 
 
 def fit_coefficients(rows: Iterable[tuple[tuple[int, float, float], int]]) -> tuple[float, float, float]:
@@ -185,7 +189,12 @@ def fit_coefficients(rows: Iterable[tuple[tuple[int, float, float], int]]) -> tu
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Learn terms and coefficients from labelled rows outside the held-out fold."""
+    """Learn terms and coefficients from labelled rows outside the held-out fold.
+
+    Edge cases: labels that are null or neither 0 nor 1 teach nothing; of conflicting labels of one id the toxic one holds; a
+    null id joins no document; a label of an id that several rows share teaches all of them; without toxic rows the lexicon is
+    empty. Ties between terms are broken by the term, so equal tables teach equal lexicons.
+    """
     usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("y"))
     usable = usable.groupBy("doc_id").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
