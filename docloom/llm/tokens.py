@@ -10,6 +10,7 @@ Offsets need the sums of the tasks before, one number for each file.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from array import array
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,23 @@ from .common import materialize
 
 END_ID = 1
 END_BYTES = END_ID.to_bytes(4, "little")
-#: Words whose ids are remembered by a Python worker; the memory is emptied when full.
-CACHE_WORDS = 1_000_000
+#: Longer chunks than this are not remembered.
+LONG_CHUNK = 200
+#: Characters of chunks, and of their pieces, whose ids a Python worker remembers; a memory is emptied when full.
+CACHE_CHARS = 4_000_000
+# The text preparation that chunks are independent under.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PREPARATION = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 WRITER = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -45,16 +62,20 @@ class WordEncoder:
     or unprintable characters go through its whole pipeline.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_chars: int = CACHE_CHARS):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        #: A file that prepares text another way goes through the library whole, text by text.
+        self.by_chunk = all(said.get(k) == v for k, v in PREPARATION.items())
         self.chunks: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
-        self.limit = cache_words
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.limit, self.held = cache_chars, 0
+        self.split = regex.compile(SPLIT).findall
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         self.byte_chars = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
@@ -62,6 +83,7 @@ class WordEncoder:
     def _piece(self, piece: str) -> bytes:
         mapped = piece.encode("utf-8").decode("latin-1").translate(self.byte_chars)
         known = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        self.held += len(piece)
         return known
 
     def _chunk(self, chunk: str) -> bytes:
@@ -77,17 +99,20 @@ class WordEncoder:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, the end id last."""
-        chunks = self.chunks
-        if len(chunks) > self.limit:
-            chunks.clear()
-            chunks[""] = b""
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        out = []
+        if not self.by_chunk:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + END_BYTES
+        chunks, out = self.chunks, []
         for chunk in text.replace("\n", " ").split(" "):
             known = chunks.get(chunk)
             if known is None:
-                known = chunks[chunk] = self._chunk(chunk)
+                if self.held > self.limit:
+                    chunks.clear()
+                    self.pieces.clear()
+                    chunks[""], self.held = b"", 0
+                known = self._chunk(chunk)
+                if len(chunk) <= LONG_CHUNK:
+                    chunks[chunk] = known
+                    self.held += len(chunk)
             out.append(known)
         out.append(END_BYTES)
         return b"".join(out)
@@ -105,7 +130,7 @@ def encoder(path: str) -> WordEncoder:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, task, row = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -113,43 +138,47 @@ def _encode(path: str):
                 ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), lists], ["doc_id", "n_tokens", "ids"])
+                place = [pa.array(np.full(len(ids), task, np.int32)), pa.array(np.arange(row, row + len(ids)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), lists, *place], ["doc_id", "n_tokens", "ids", "part", "row"])
+                row += len(ids)
 
     return run
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, label: str = "tokens") -> DataFrame:
-    """Encode every text and write ``(doc_id, n_tokens, ids)`` in ascending doc_id order; returns the files as a table."""
+    """Encode every text and write ``(doc_id, n_tokens, ids, part, row)`` in ascending doc_id order; returns the files as a table.
+
+    ``part`` and ``row`` are the place of an entry: the parts follow each other, and the rows of a part. Entries of one id are
+    in the order of a hash of their texts, so that an id that many rows share is no single part.
+    """
     spark = docs.sparkSession
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = texts.repartitionByRange(width, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialize(ordered.mapInArrow(_encode(tokenizer_path), "doc_id long, n_tokens int, ids array<int>"), label, WRITER)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    ordered = texts.repartitionByRange(width, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    return materialize(ordered.mapInArrow(_encode(tokenizer_path), "doc_id long, n_tokens int, ids array<int>, part int, row long"), label, WRITER)
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write the token files and describe each document from what is read back: doc_id, start, n_tokens, ids_crc32.
 
     Edge cases: null and empty texts are the end id alone; null ids come first; repeated ids keep one entry each, ordered by
-    text; an empty table writes and returns no rows; other columns are ignored. Special-token strings in a text become
-    their ids, as the library does by default.
+    a hash of the text; an empty table writes and returns no rows; other columns are ignored, whatever their names.
+    Special-token strings in a text become their ids, as the library does by default.
     """
-    tokens = write_tokens(docs, tokenizer_path)
-    return digests_of(tokens)
+    return digests_of(write_tokens(docs, tokenizer_path))
 
 
 def digests_of(tokens: DataFrame) -> DataFrame:
-    """Offsets and id checksums of a token table; both in one pass, in file order."""
+    """Offsets and id checksums of a token table; both in one pass, in the order of parts and rows."""
     spark = tokens.sparkSession
-    sums = tokens.groupBy(F.input_file_name().alias("file")).agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    # one row a file: bounded by the number of write tasks
-    files = sorted(sums.collect(), key=lambda r: (r["lo"] is not None, r["lo"] or 0, r["hi"] or 0))
+    # one row a part: as many as there were write tasks, however many documents
+    sums = sorted((r["part"], r["n"]) for r in tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     starts, at = [], 0
-    for r in files:
-        starts.append((r["file"], at))
-        at += r["n"]
-    base = spark.createDataFrame(starts, "file string, base long")
-    rows = tokens.withColumn("file", F.input_file_name()).withColumn("row", F.monotonically_increasing_id())
+    for part, n in sums:
+        starts.append((part, at))
+        at += n
+    base = spark.createDataFrame(starts, "part int, base long")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,11 +187,11 @@ def digests_of(tokens: DataFrame) -> DataFrame:
             ends = lists.offsets.to_numpy()
             crc = [zlib.crc32(flat[x:y].tobytes()) for x, y in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_tokens"), pa.array(crc, pa.int64()), b.column("file"), b.column("row")],
-                ["doc_id", "n_tokens", "ids_crc32", "file", "row"],
+                [b.column("doc_id"), b.column("n_tokens"), pa.array(crc, pa.int64()), b.column("part"), b.column("row")],
+                ["doc_id", "n_tokens", "ids_crc32", "part", "row"],
             )
 
-    done = rows.mapInArrow(digest, "doc_id long, n_tokens int, ids_crc32 long, file string, row long")
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = done.join(F.broadcast(base), "file").withColumn("start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)) + F.col("base"))
+    done = tokens.mapInArrow(digest, "doc_id long, n_tokens int, ids_crc32 long, part int, row long")
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = done.join(F.broadcast(base), "part").withColumn("start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)) + F.col("base"))
     return placed.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
