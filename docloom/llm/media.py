@@ -1,6 +1,7 @@
 """Operator 10: media columns. Texts as 8-bit WAV payloads, short-time Fourier transforms, peak-pair fingerprints.
 
-Everything is per row: one pass over the input, no exchange. Transforms run over ``GROUP_BYTES`` of payload, or one longer
+Everything is per row: one pass over the input writes the media column to the shared folder, one over the stored bytes works
+out the rest; no exchange. Transforms run over ``GROUP_BYTES`` of payload, or one longer
 document, in blocks of ``BLOCK`` frames, which bounds memory whatever the batch.
 """
 
@@ -13,10 +14,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 UNIT = 576
 RATE = 8000
 FRAME, HOP = 2 * UNIT, UNIT
@@ -31,6 +34,9 @@ SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
     "feature string, n_frames long, n_peaks long, fingerprint array<long>"
 )
+KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+#: Media pages: bytes as they are, no dictionaries, row groups of a set size.
+WRITER = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20)}
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -108,60 +114,67 @@ def pair_codes(doc: np.ndarray, t: np.ndarray, k: np.ndarray) -> tuple[np.ndarra
     return docs[order], codes[order]
 
 
-def media_rows(texts: list[str | None], keep_media: bool) -> list[tuple]:
-    """Texts through the stored form: payload, WAV, the payload read back, and features of what was read."""
-    media, sizes = [], []
-    for text in texts:
-        samples, n = payload(text)
-        media.append(write_wav(samples))
-        sizes.append(n)
-    back = [read_wav(m) for m in media]
+def media_rows(stored: list[bytes]) -> list[tuple]:
+    """The payload and its features from the stored bytes of each document."""
+    back = [read_wav(m) for m in stored]
     n_frames, doc, t, k = peaks(back)
-    n_peaks = np.bincount(doc, minlength=len(texts))
+    n_peaks = np.bincount(doc, minlength=len(back))
     in_doc, codes = pair_codes(doc, t, k)
-    cuts = np.searchsorted(in_doc, np.arange(len(texts) + 1))
+    cuts = np.searchsorted(in_doc, np.arange(len(back) + 1))
     rows = []
-    for i, (m, x) in enumerate(zip(media, back, strict=True)):
+    for i, (m, x) in enumerate(zip(stored, back, strict=True)):
         own = codes[cuts[i] : cuts[i + 1]]
         digest = hashlib.sha256(own.astype("<i8").tobytes()).hexdigest()
         feature = f"{n_frames[i]}:{n_peaks[i]}:{len(own)}:{digest}"
-        row = (
-            sizes[i], len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(m), hashlib.sha256(m).hexdigest(),
-            feature, int(n_frames[i]), int(n_peaks[i]), own,
-        )
-        rows.append((*row, m) if keep_media else row)
+        rows.append((len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature, int(n_frames[i]), int(n_peaks[i]), own))
     return rows
 
 
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1)
+        at = 0
+        while at < batch.num_rows:
+            end, sizes, media = at, [], []
+            held = 0
+            while end < batch.num_rows and held < GROUP_BYTES:
+                samples, n = payload(texts[end].as_py())
+                media.append(write_wav(samples))
+                sizes.append(n)
+                held += len(samples)
+                end += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            at = end
+
+
+def store_media(docs: DataFrame) -> DataFrame:
+    """The media table, written and read back: doc_id, n_bytes (of the text) and ``media``, the bytes of a WAV file."""
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return materialize(picked.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media", WRITER)
+
+
 def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     """Media form and fingerprint of every text.
 
-    Output: doc_id, sizes and digests, ``feature`` (a digest of the fingerprint), ``fingerprint`` (array of time-coded peak
-    pairs, ascending) and, with ``keep_media``, the WAV bytes as ``media``.
+    The media column is written to the shared folder; every other value is worked out from the stored bytes. Output: doc_id,
+    sizes and digests, ``feature`` (a digest of the fingerprint), ``fingerprint`` (array of time-coded peak pairs, ascending)
+    and, with ``keep_media``, the WAV bytes as ``media``.
 
     Edge cases: null and empty texts become one unit of 576 bytes 255; equal texts give equal values in every column but
     doc_id; null or repeated ids are kept; an empty table gives an empty result; columns other than doc_id and text are
-    ignored.
+    ignored. A WAV file holds 4 GB at most, and Spark's values 2 GB, so every text fits.
     """
 
-    def rows_of(ids: list, texts: list) -> pd.DataFrame:
-        out = pd.DataFrame([(i, *row) for i, row in zip(ids, media_rows(texts, keep_media), strict=True)], columns=names)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, held = [], [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                texts.append(text)
-                held += len(text or "")
-                if held >= GROUP_BYTES:
-                    yield rows_of(ids, texts)
-                    ids, texts, held = [], [], 0
-            if ids:
-                yield rows_of(ids, texts)
+            size = np.cumsum([len(m) for m in batch.column(2)])
+            cuts = [0, *np.flatnonzero(np.diff(size // GROUP_BYTES)) + 1, batch.num_rows] if batch.num_rows else [0]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(a, z - a)
+                rows = media_rows(part.column(2).to_pylist())
+                columns = [part.column(0), part.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(KINDS))]
+                yield pa.RecordBatch.from_arrays(columns + [part.column(2)] * keep_media, names)
 
     schema = SCHEMA + (", media binary" if keep_media else "")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return store_media(docs).mapInArrow(run, schema)
