@@ -1,28 +1,80 @@
 """Operator 6: personal data by format-preserving Feistel pseudonyms.
 
-Detectors find e-mail addresses, phone, card, account and social-security numbers, IPv4 addresses and dates, and check them
-(Luhn, mod 97, calendar, ranges). What passes is permuted within its format by a keyed Feistel network with cycle walking: a
-card number becomes another valid card number, a date another date, an address another address. Equal values become equal
-pseudonyms in every document, so links survive; without the key nothing leads back. Per row, one pass, no exchange.
+Detectors find e-mail addresses, phone, card, account and social-security numbers, IPv4 and IPv6 addresses and dates, and check
+them (Luhn, mod 97, calendar, country codes, ranges). What passes is brought to a normal form, so that two spellings of a value
+are one, and permuted within its format by a keyed Feistel network with cycle walking: a card number becomes another valid card
+number, a date another date, an address another address, written the way the original was. The permutation of a format is one
+cycle through all its values, so none is its own pseudonym. Equal values become equal pseudonyms in every document, so links
+survive; without the key nothing leads back. Per row, one pass, no exchange.
+
+The key is no part of the program: it is an argument here, and ``deployment_key`` finds or makes the one of a deployment.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
+import math
+import os
 import re
-from collections.abc import Iterator
+import secrets
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 ROUNDS = 8
-DEFAULT_KEY = b"docloom pseudonyms 1"
+#: Spark setting and environment variable that hold the key, in hexadecimal.
+KEY_SETTING, KEY_VARIABLE = "spark.docloom.pii.key", "DOCLOOM_PII_KEY"
 #: Dates move within these years.
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
-KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date")
+KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "ip6", "date")
+#: Values whose pseudonyms a Python worker remembers; the memory is emptied when full.
+CACHE_VALUES = 50_000
+
+# Month names, and country calling codes of one and two digits (all others have three).
+MONTHS = {
+    "en": "january february march april may june july august september october november december".split(),
+    "de": "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+    "en3": "jan feb mar apr may jun jul aug sep oct nov dec".split(),
+}
+ONE_DIGIT_CODES = frozenset("1 7".split())
+TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+
+
+def deployment_key(spark: SparkSession, name: str = "pii.key") -> bytes:
+    """The key of this deployment: from the Spark setting, the environment, or a file in the shared folder.
+
+    Where none is set, a random key is made once and kept in the shared folder, so that runs over the same folder agree and
+    nobody without access to it can lead pseudonyms back.
+    """
+    given = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING) or os.environ.get(KEY_VARIABLE)
+    if given:
+        return bytes.fromhex(given)
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docloom/{name}")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        draft = jvm.org.apache.hadoop.fs.Path(f"{where}.{secrets.token_hex(8)}")
+        out = files.create(draft, False)
+        out.write(bytearray(secrets.token_hex(32).encode()))
+        out.close()
+        files.setPermission(draft, jvm.org.apache.hadoop.fs.permission.FsPermission("600"))
+        if not files.rename(draft, where):  # another driver was first
+            files.delete(draft, False)
+    stream = files.open(where)
+    try:
+        return bytes.fromhex(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+    finally:
+        stream.close()
 
 
 class Feistel:
@@ -63,6 +115,28 @@ class Feistel:
         return x
 
 
+class OneCycle:
+    """A keyed permutation of 0 .. size - 1 that is a single cycle: steps of a keyed length in the order a Feistel network deals.
+
+    No value of two or more is its own image, and walking on from values outside a subset gives a permutation of the subset
+    with the same property.
+    """
+
+    def __init__(self, key: bytes, size: int, tweak: bytes = b""):
+        self.size = size
+        self.order = Feistel(key, size, tweak)
+        step = int.from_bytes(hashlib.blake2b(tweak + b"/step", key=key[:64], digest_size=32).digest(), "big") % max(1, size - 1) + 1
+        while math.gcd(step, size) != 1:
+            step = step % max(1, size - 1) + 1
+        self.step = step
+
+    def encrypt(self, x: int) -> int:
+        return self.order.decrypt((self.order.encrypt(x) + self.step) % self.size)
+
+    def decrypt(self, x: int) -> int:
+        return self.order.decrypt((self.order.encrypt(x) - self.step) % self.size)
+
+
 def luhn_digit(body: str) -> int:
     """The last digit that makes ``body`` and it pass Luhn's test."""
     total = 0
@@ -83,14 +157,26 @@ def _refill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+def american(national: str) -> bool:
+    """Whether ten digits are a number of the North American plan."""
+    return len(national) == 10 and national[0] >= "2" and national[3] >= "2"
+
+
 # Shapes of what is looked for.
+_MONTH_NAMES = "|".join(sorted({n for names in MONTHS.values() for n in names}, key=len, reverse=True))
+_DATE = (
+    r"\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
+    rf"|(?i:\d{{1,2}}(?:st|nd|rd|th|\.|er)? (?:de |of )?(?:{_MONTH_NAMES})\.?,? (?:de |del )?\d{{4}}|(?:{_MONTH_NAMES})\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}})"
+)
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d))"
+    rf"|(?P<date>(?<![\w./-])(?:{_DATE})(?![\w/-]|\.\d))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{1,4}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+(?!1\D)\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]|\.\d))"
+    r"|(?P<phone>(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+(?!1\D)\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]|\.\d)"
+    r"|(?<![\w.+-])[2-9]\d{2} [2-9]\d{2} \d{4}(?![\w]| ?\d|[.-]\d)|(?<![\w.+-])[2-9]\d{2}[2-9]\d{6}(?![\w]|[.-]\d))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))"
 )
 _MAYBE = re.compile(r"@|\d")
@@ -98,16 +184,20 @@ _MAYBE = re.compile(r"@|\d")
 
 @dataclass
 class Pseudonymizer:
-    key: bytes = DEFAULT_KEY
+    key: bytes
     kinds: tuple[str, ...] = KINDS
 
     def __post_init__(self):
-        self._permutations: dict[tuple[str, int], Feistel] = {}
+        if len(self.key) < 1:
+            raise ValueError("a key is needed")
+        self._permutations: dict[tuple[str, int], OneCycle] = {}
         self._known: dict[tuple[str, str], str | None] = {}
 
-    def permutation(self, kind: str, size: int) -> Feistel:
+    def permutation(self, kind: str, size: int) -> OneCycle:
         if (kind, size) not in self._permutations:
-            self._permutations[kind, size] = Feistel(self.key, size, f"{kind}/{size}".encode())
+            if len(self._permutations) > CACHE_VALUES:
+                self._permutations.clear()
+            self._permutations[kind, size] = OneCycle(self.key, size, f"{kind}/{size}".encode())
         return self._permutations[kind, size]
 
     def _digits(self, kind: str, digits: str) -> str:
@@ -131,11 +221,24 @@ class Pseudonymizer:
         it = iter(reversed(out))
         return "".join(next(it) if c.lower() in alphabet else c for c in local) + "@" + domain
 
-    def phone(self, text: str) -> str:
-        """Country and trunk codes stay, the rest of the digits is permuted."""
+    def phone(self, text: str) -> str | None:
+        """The country code stays, the national number is permuted; ten digits without a country code are North American.
+
+        However it is written, a number has one pseudonym. Numbers of the North American plan stay such numbers.
+        """
         digits = re.sub(r"\D", "", text)
-        country = len(re.match(r"\+(\d{1,3})(?=\D)", text)[1]) if re.match(r"\+\d{1,3}\D", text) else 2 if text[0] == "+" else 0
-        return _refill(text, digits[:country] + self._digits("phone", digits[country:]))
+        code = ""
+        if text[0] == "+":
+            code = digits[: 1 if digits[0] in ONE_DIGIT_CODES else 2 if digits[:2] in TWO_DIGIT_CODES else 3]
+            if digits[0] == "0" or not 7 <= len(digits) <= 15:
+                return None
+        national = digits[len(code) :]
+        kind = f"phone/{code or '1'}"
+        new = self._digits(kind, national)
+        if code in ("", "1") and len(national) == 10:
+            while american(new) != american(national):
+                new = self._digits(kind, new)
+        return _refill(text, code + new)
 
     def card(self, text: str) -> str | None:
         digits = re.sub(r"\D", "", text)
@@ -167,16 +270,41 @@ class Pseudonymizer:
         parts = text.split(".")
         if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
             return None
-        out = [Feistel(self.key, 256, f"ip/{'.'.join(parts[:i])}".encode()).encrypt(int(p)) for i, p in enumerate(parts)]
-        return ".".join(map(str, out))
+        return ".".join(str(self.permutation(f"ip/{'.'.join(parts[:i])}", 256).encrypt(int(p))) for i, p in enumerate(parts))
+
+    def ip6(self, text: str) -> str | None:
+        """Each group that is not zero is permuted by a key of the groups before it; zero groups stay."""
+        try:
+            groups = ipaddress.IPv6Address(text).exploded.split(":")
+        except ValueError:
+            return None
+        if sum(g != "0000" for g in groups) < 2:
+            return None
+        new = [g if g == "0000" else f"{self.permutation(f'ip6/{':'.join(groups[:i])}', 0xFFFF).encrypt(int(g, 16) - 1) + 1:04x}" for i, g in enumerate(groups)]
+        shown = text.split("::")
+        before, after = (shown[0].split(":") if shown[0] else []), (shown[1].split(":") if len(shown) > 1 and shown[1] else [])
+
+        def like(written: list[str], values: list[str]) -> str:
+            out = [v if len(w) == 4 and w[0] == "0" or v == "0000" and len(w) == 4 else v.lstrip("0") or "0" for w, v in zip(written, values, strict=True)]
+            return ":".join(out).upper() if text.upper() == text and text.lower() != text else ":".join(out)
+
+        head = like(before, new[: len(before)])
+        return head if len(shown) == 1 else f"{head}::{like(after, new[8 - len(after) :])}"
 
     def date(self, text: str) -> str | None:
-        ymd = {"-": (0, 1, 2), "/": (2, 0, 1), ".": (2, 1, 0)}[re.search(r"\D", text)[0]]
-        parts = [int(x) for x in re.split(r"\D", text)]
-        y, m, d = (parts[i] for i in ymd)
-        swapped = "/" in text and m > 12 >= d
-        if swapped:
-            m, d = d, m
+        """A day of another date, written the same way: order, signs, zeros, and the language and length of a month's name."""
+        fields = re.findall(r"\d+", text)
+        name = re.search(_MONTH_NAMES, text, re.I)
+        if name:
+            spoken = next(k for k, names in MONTHS.items() if name[0].lower() in names)
+            d, m, y = int(fields[0]), MONTHS[spoken].index(name[0].lower()) + 1, int(fields[1])
+            order = None
+        else:
+            order = ("y", "m", "d") if len(fields[0]) == 4 else ("d", "m", "y") if "." in text else ("m", "d", "y")
+            if order[0] == "m" and int(fields[0]) > 12 >= int(fields[1]):
+                order = ("d", "m", "y")
+            value = dict(zip(order, map(int, fields), strict=True))
+            y, m, d = value["y"], value["m"], value["d"]
         try:
             day = dt.date(y, m, d)
         except ValueError:
@@ -185,22 +313,24 @@ class Pseudonymizer:
             return None
         days = self.permutation("date", (LAST_DAY - FIRST_DAY).days + 1).encrypt((day - FIRST_DAY).days)
         new = FIRST_DAY + dt.timedelta(days=days)
-        if "-" in text:
-            return f"{new.year:04d}-{new.month:02d}-{new.day:02d}"
-        if "." in text:
-            return f"{new.day:02d}.{new.month:02d}.{new.year:04d}"
-        return f"{new.day:02d}/{new.month:02d}/{new.year:04d}" if swapped else f"{new.month:02d}/{new.day:02d}/{new.year:04d}"
+        if order is None:
+            word = MONTHS[spoken][new.month - 1]
+            word = word.upper() if name[0].isupper() else word.capitalize() if name[0][0].isupper() else word
+            out = text[: name.start()] + "\0" + text[name.end() :]
+            numbers = iter((str(new.day), f"{new.year:04d}"))
+            return re.sub(r"\d+", lambda _: next(numbers), out).replace("\0", word)
+        short = any(len(f) == 1 for f in fields)
+        parts = {"y": f"{new.year:04d}", "m": str(new.month) if short else f"{new.month:02d}", "d": str(new.day) if short else f"{new.day:02d}"}
+        numbers = iter(parts[o] for o in order)
+        return re.sub(r"\d+", lambda _: next(numbers), text)
 
     def pseudonym(self, kind: str, text: str) -> str | None:
         """The stand-in of one value; None where the value fails its checks."""
         known = self._known.get((kind, text), "")
         if known == "":
-            if len(self._known) > 200_000:
+            if len(self._known) > CACHE_VALUES:
                 self._known.clear()
-            known = getattr(self, kind)(text)
-            if known == text:  # a fixed point of the permutation would leave the value in the open
-                known = getattr(self, kind)(known) if kind in ("ip",) else known
-            self._known[kind, text] = known
+            known = self._known[kind, text] = getattr(self, kind)(text)
         return known
 
     def replace(self, text: str) -> tuple[str, list[str]]:
@@ -212,8 +342,9 @@ class Pseudonymizer:
         def sub(m: re.Match) -> str:
             kind = m.lastgroup
             new = self.pseudonym(kind, m[0]) if kind in self.kinds else None
-            if new is None and kind in ("card", "phone") and " " in m[0]:
-                return _PATTERN.sub(sub, m[0].split(" ", 1)[0]) + " " + _PATTERN.sub(sub, m[0].split(" ", 1)[1])
+            if new is None and kind in ("card", "phone", "iban") and " " in m[0]:
+                head, _, rest = m[0].partition(" ")  # a shorter value may stand inside
+                return _PATTERN.sub(sub, head) + " " + _PATTERN.sub(sub, rest)
             if new is None:
                 return m[0]
             found.append(kind)
@@ -222,7 +353,7 @@ class Pseudonymizer:
         return _PATTERN.sub(sub, text), found
 
 
-def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """All columns of ``docs`` with ``text`` rewritten, plus ``n_pii`` and ``pii_kinds`` (array, in order of place).
 
     Edge cases: null texts stay null and empty ones empty, with no values; equal texts give equal rows; a value that fails

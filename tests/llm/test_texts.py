@@ -69,6 +69,35 @@ def test_score_of_awkward_rows(spark):
     assert fit(df, empty).weights == {}
 
 
+def test_labels_that_conflict_repeat_or_lack_an_id(spark):
+    toxic = [(i, f"you are scum number{i}", 1) for i in range(40)]
+    clean = [(100 + i, f"a fine day number{i}", 0) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in toxic + clean] + [(None, "nice words")] * 3, "doc_id long, text string")
+    labels = [(i, y) for i, _, y in toxic + clean] + [(i, 0) for i, _, _ in toxic] + [(None, 1)] * 5 + [(120, None), (121, 7)]
+    a = fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    b = fit(docs.repartition(3), spark.createDataFrame(labels[::-1], "doc_id long, toxic int"))
+    assert a.weights == b.weights and "scum " in a.weights and a.coefficients == pytest.approx(b.coefficients)
+    assert a.score("scum of the earth")[1] >= 0.5 > a.score("a fine day")[1]
+
+
+def test_collect_equals_a_plain_search():
+    rng = random.Random(6)
+    lexicon = Lexicon({"trash ": 2.0, "pond": 1.5, "scum ": 3.0, "clown ": 1.0, "scu": 0.5}, ("trash can", "pond scum", "circus clown", "can of scum"))
+    for _ in range(300):
+        words = [rng.choice("trash can pond scum clown circus of ponder scumming a".split()) for _ in range(rng.randint(0, 30))]
+        folded = fold(" ".join(words))
+        spans = [(i, i + len(p) + 1) for p in lexicon.exceptions for i in range(len(folded)) if folded.startswith(f" {p} ", i)]
+        best = {}
+        for i in range(len(folded)):
+            for term, w in lexicon.weights.items():
+                if folded.startswith(" " + term, i) and not any(a <= i <= b for a, b in spans):
+                    best[i] = max(w, best.get(i, 0.0))
+        assert lexicon.collect(folded) == (len(best), pytest.approx(sum(best.values())))
+    start = __import__("time").perf_counter()
+    lexicon.collect(fold("trash can " * 100_000))
+    assert __import__("time").perf_counter() - start < 5
+
+
 # --- pages
 
 
@@ -87,6 +116,78 @@ def test_main_text_by_density_without_an_article():
     assert got == ["Short head", long.strip(), "Yes.", long.strip()]
 
 
+def test_main_text_keeps_what_only_looks_like_a_part_that_is_out():
+    page = """<article><h2 class="side-effects">Side effects</h2><p class="ad-hoc">An ad hoc word of it.</p><section id="related-work"><p>Related work is here.</p></section>
+    <p class="comment">A remark.</p><div class="comment-list"><p>Nice!</p></div><div class="adBox">buy</div><div class="share buttons">share</div></article>"""
+    assert main_text(page) == "Side effects\nAn ad hoc word of it.\nRelated work is here.\nA remark."
+    assert main_text("<body><p>Only one short block.</p></body>") == "Only one short block."
+    assert main_text("<body><nav><a href=1>menu</a></nav><p>Short.</p><footer>foot</footer></body>") == "Short."
+    assert main_text('<article title="a > b"><p>x &lt; y</p><p data-x="never closed>but text</p></article>') == "x < y\nbut text"
+
+
+def test_extraction_is_linear_on_broken_pages():
+    import time
+
+    for page in ("<a " * 350_000, "<div>" * 100_000 + "</p>" * 100_000, '<a x="' * 150_000, "<select>" * 100_000, "<!" * 500_000, "<p" * 500_000, "<b class=ad>" * 80_000 + "</b>" * 80_000, "<![CDATA[" * 100_000, "</" * 500_000 + ">", "<a '>" * 200_000):
+        start = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - start < 3, page[:12]
+
+
+def plain_main_text(page):
+    """The two passes over a parse of another kind, for pages of plain markup: html.parser instead of the scanner."""
+    from html.parser import HTMLParser
+
+    from docloom.llm import html_text as h
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.stack, self.text, self.raw = [], [], "", 0
+
+        def flush(self):
+            text = " ".join(self.text.split())
+            if text and "article" in self.stack and not {"nav", "footer", "aside", "form"} & set(self.stack):
+                self.out.append(text)
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.text += " "
+            elif tag in ("script", "style"):
+                self.raw += 1
+            elif tag in h.BLOCK_TAGS:
+                self.flush()
+                self.stack.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style"):
+                self.raw -= 1
+            elif tag in h.BLOCK_TAGS:
+                self.flush()
+                while tag in self.stack and self.stack.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.text += data
+
+    parser = Plain()
+    parser.feed(page)
+    parser.flush()
+    return "\n".join(parser.out)
+
+
+def test_extraction_equals_a_plain_parser_on_the_tables(spark, sf_dir):
+    from docloom.llm.common import table
+
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.collect()
+    got = {(r.page_id, r.url): r.text for r in extract(pages).collect()}
+    assert len(rows) == pages.count() and all(got[r.page_id, r.url] == plain_main_text(r.html or "") for r in rows)
+    assert extract(pages.limit(0)).count() == 0
+
+
 def test_extract_awkward_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (2, "u", "<p>open <!-- never closed"), (None, "u", "<article><p>x</p>" * 3), (3, "u", "<article>" + "<p>word</p>" * 5000)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -123,6 +224,56 @@ def test_token_files_round_trip(spark):
     assert token_digests(df.limit(0), public.path("word_bpe_49k.json")).count() == 0
 
 
+def test_other_tokenizer_files_go_through_the_library():
+    from docloom.llm.tokens import WordEncoder
+
+    enc = WordEncoder(public.path("byte_bpe_50k.json"))
+    assert not enc.by_chunk
+    for t in random_texts(100, 5):
+        assert np.frombuffer(enc(t), "<u4").tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_token_files_are_encoded_and_indexed(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from docloom.llm.tokens import write_tokens
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("ab cd efg hij the of".split()) for _ in range(rng.randint(0, 40)))) for i in range(30_000)]
+    table = write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), public.path("word_bpe_49k.json"))
+    files = sorted(glob.glob(table.scratch_path.removeprefix("file:") + "/*.parquet"))
+    last = None
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        if not meta.num_rows:
+            continue
+        assert meta.format_version == "2.6" or meta.format_version.startswith("2") or meta.num_row_groups >= 1
+        by = {meta.row_group(0).column(k).path_in_schema.split(".")[0]: meta.row_group(0).column(k) for k in range(meta.num_columns)}
+        assert all(by[c].has_column_index and by[c].has_offset_index for c in ("doc_id", "n_tokens"))
+        assert "DELTA_BINARY_PACKED" in by["doc_id"].encodings and {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(by["ids"].encodings)
+        got = pq.read_table(f, columns=["doc_id", "n_tokens"])  # metadata alone: the ids are not read
+        assert got.column_names == ["doc_id", "n_tokens"] and got["doc_id"].to_pylist() == sorted(got["doc_id"].to_pylist())
+        assert last is None or got["doc_id"][0].as_py() > last or got["doc_id"][-1].as_py() < last
+        last = got["doc_id"][-1].as_py()
+    assert table.where("doc_id between 100 and 110").select("n_tokens").count() == 11
+    plan = table.where("doc_id between 100 and 110").select("n_tokens")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(doc_id)" in plan and "ids" not in plan.split("ReadSchema")[-1]
+
+
+def test_tokens_of_null_and_shared_ids(spark):
+    from docloom.llm.tokens import token_digests
+
+    rows = [(None, "a b", 1), (None, None, 1), (7, "x y z", 1), (7, "q", 1), (7, "q", 1)] + [(8, f"w{i}", 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    got = sorted(token_digests(df, public.path("word_bpe_49k.json")).collect(), key=lambda r: r.start)
+    assert len(got) == len(rows) and [r.doc_id for r in got] == [None, None, 7, 7, 7] + [8] * 200
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and got[0].start == 0
+    again = sorted(token_digests(df.repartition(5), public.path("word_bpe_49k.json")).collect(), key=lambda r: r.start)
+    assert got == again
+
+
 # --- personal data
 
 
@@ -134,7 +285,7 @@ def test_feistel_permutes_and_inverts():
 
 
 def test_pseudonyms_keep_format_and_links():
-    p = Pseudonymizer()
+    p = Pseudonymizer(b"key")
     text = "mail a.b7@x.org, +1 (017) 555-7713 10.1.2.3 4111111111111111 4111111111111112 2024-02-29 2023-02-29 078-05-1120 DE89370400440532013000"
     new, kinds = p.replace(text)
     assert kinds == ["email", "phone", "ip", "card", "date", "ssn", "iban"]
@@ -146,13 +297,78 @@ def test_pseudonyms_keep_format_and_links():
     assert p.replace("no data in 1234567 or 3.14 words")[0] == "no data in 1234567 or 3.14 words"
 
 
+def test_pseudonyms_are_never_the_value_and_link_all_spellings():
+    for size in (2, 3, 10, 97, 256, 1000):
+        f = pii.OneCycle(b"key", size)
+        image = [f.encrypt(i) for i in range(size)]
+        assert sorted(image) == list(range(size)) and all(i != x and f.decrypt(x) == i for i, x in enumerate(image))
+    p = Pseudonymizer(b"key")
+    for i in range(256):
+        assert all(a != b for a, b in zip(f"{i}.{i}.0.255".split("."), p.ip(f"{i}.{i}.0.255").split(".")))
+    assert all(p.email(f"{a}@x.org") != f"{a}@x.org" for a in ("a", "b", "sn", "s.n", "x9"))
+
+    def digits(text):
+        return "".join(c for c in p.replace(text)[0] if c.isdigit())
+
+    forms = ["+15552345678", "+1 555 234 5678", "+1 (555) 234-5678", "555 234 5678", "5552345678", "(555) 234-5678", "555-234-5678", "555.234.5678"]
+    new = {digits(t)[-10:] for t in forms}
+    assert len(new) == 1 and pii.american(new.pop()) and digits("+15552345678")[0] == "1"
+    assert digits("+49 30 1234567") == digits("+49301234567") != "49301234567" and digits("+49301234567")[:2] == "49"
+    days = ["3/4/1999", "03/04/1999", "1999-03-04", "1999/03/04", "1999/3/4", "4.3.1999", "04.03.1999", "4 March 1999", "March 4, 1999", "4. März 1999", "4 de marzo de 1999", "4 mars 1999", "4 Mar 1999"]
+    back = set()
+    for t in days:
+        out, kinds = p.replace(f"on {t}.")
+        assert kinds == ["date"] and out != f"on {t}."
+        y, m, d = (int(x) for x in p.date("1999-03-04").split("-"))
+        numbers = [int(x) for x in __import__("re").findall(r"\d+", out)]
+        back.add((y in numbers, d in numbers))
+    assert back == {(True, True)}
+    six = ["2001:db8::8a2e:370:7334", "2001:0db8:0000:0000:0000:8a2e:0370:7334", "2001:DB8:0:0:0:8A2E:370:7334"]
+    import ipaddress
+
+    assert len({ipaddress.ip_address(p.replace(f"at {t} now")[0].split()[1]) for t in six}) == 1 and p.replace(f"at {six[0]} now")[0] != f"at {six[0]} now"
+    for t in ("at 12:30:45 std::vector ::1 a::b", "1234567890 and 0123456789 in 99/99/2000", "3.14.15 v1.2.3"):
+        assert p.replace(t) == (t, [])
+
+
+def test_detectors_equal_a_plain_scan():
+    """Values planted among words are all found, and nothing else, as a scan word by word says."""
+    rng = random.Random(12)
+    p, kinds = Pseudonymizer(b"key"), []
+    words = []
+    for _ in range(400):
+        kind = rng.choice(["word", "word", "email", "ip", "date", "card", "badcard", "ssn"])
+        body = "".join(rng.choice("0123456789") for _ in range(15))
+        word = {
+            "word": rng.choice(["lorem", "1999", "12,5", "v2.0", "a@b"]), "email": f"u{rng.randint(0, 99)}@mail.example.com", "ip": ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+            "date": f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", "card": body + str(luhn_digit(body)), "badcard": body + str((luhn_digit(body) + 1) % 10),
+            "ssn": f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+        }[kind]
+        words.append(word)
+        kinds += [kind] if kind not in ("word", "badcard") else []
+    out, found = p.replace(" ; ".join(words))
+    assert found == kinds
+    for a, b in zip(words, out.split(" ; "), strict=True):
+        assert (a == b) == (p.replace(a)[1] == []) and len(b) >= 3
+
+
+def test_deployment_key_is_kept_and_configurable(spark):
+    key = pii.deployment_key(spark, "test.key")
+    assert len(key) == 32 and pii.deployment_key(spark, "test.key") == key != pii.deployment_key(spark, "other.key")
+    spark.conf.set(pii.KEY_SETTING, "00ff")
+    try:
+        assert pii.deployment_key(spark) == b"\x00\xff"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_pseudonymize_rows(spark):
     df = spark.createDataFrame([(1, None, 9), (2, "", 9), (2, "a@b.de " * 5000, 9)], "doc_id long, text string, n_pii int")
-    got = pseudonymize(df)
+    got = pseudonymize(df, b"key")
     assert got.columns == ["doc_id", "text", "n_pii", "pii_kinds"]
     rows = got.collect()
     assert [r.n_pii for r in rows] == [0, 0, 5000] and rows[0].text is None and rows[1].text == ""
-    assert pseudonymize(df.limit(0)).count() == 0
+    assert pseudonymize(df.limit(0), b"key").count() == 0
 
 
 # --- SentencePiece
