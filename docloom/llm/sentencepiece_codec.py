@@ -29,8 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Stretches that a Python worker remembers, and characters indexed together.
-CACHE_STRETCHES, BATCH_CHARS = 600_000, 400_000
+#: Characters of stretches, and pairs of pieces, that a Python worker remembers (each memory has a young and an old half: what
+#: is met again moves to the young one, and the old one goes when that is full), and characters indexed together.
+CACHE_CHARS, CACHE_PAIRS, BATCH_CHARS = 4_000_000, 600_000, 200_000
+#: Longer stretches than this are traced and forgotten one by one; texts of so many characters are encoded together.
+LONG_STRETCH, GROUP_CHARS = 400, 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -108,6 +111,8 @@ class Codec:
         alone = "".join(re.escape(c) for c in "\n\t\x00" if c not in inner)
         self.cut = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
         self.fits: dict[int, bool] = {}
         alphabet = sorted({c for p in self.ids for c in p})
         self.letter = {ord(c): i + 1 for i, c in enumerate(alphabet)}
@@ -217,7 +222,31 @@ class Codec:
             if len(check):
                 ok[check] = self._fit(last[s[check]] * n + t[check])
             last[e[ok]] = t[ok]
-        return [self._back(points, last, int(a), int(z)) for a, z in zip(start, start + size, strict=True)]
+        return self._trace(points, last, start, start + size)
+
+    def _trace(self, points: np.ndarray, last: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[bytes]:
+        """Ids of each stretch from the last pieces, all stretches a piece at a time; odd and long ones each by itself."""
+        n, at = len(self.model.pieces), stop.copy()
+        single = stop - start > LONG_STRETCH
+        open_ = np.flatnonzero((stop > start) & ~single)
+        owners, steps = [open_[:0]], [last[:0]]
+        while len(open_):
+            t = last[at[open_]]
+            plain = t < n
+            single[open_[~plain]] = True
+            open_, t = open_[plain], t[plain]
+            owners.append(open_)
+            steps.append(t)
+            at[open_] -= self.size_of[t]
+            open_ = open_[at[open_] > start[open_]]
+        owner, ids = np.concatenate(owners)[::-1], np.concatenate(steps)[::-1]
+        order = np.argsort(owner, kind="stable")
+        flat = ids[order].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(owner, minlength=len(start)))
+        out = [flat[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for i in np.flatnonzero(single).tolist():
+            out[i] = self._back(points, last, int(start[i]), int(stop[i]))
+        return out
 
     def _back(self, points: np.ndarray, last: np.ndarray, start: int, at: int) -> bytes:
         out: list[int] = []
@@ -241,22 +270,35 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
-        if len(self.known) > CACHE_STRETCHES:
-            self.known.clear()
-        if len(self.fits) > 4 * CACHE_STRETCHES:
+        if len(self.fits) > CACHE_PAIRS:
             self.fits.clear()
         cut = [self.stretches(t) for t in texts]
-        new = list({s for own in cut for s in own if s not in self.known})
+        known, old = self.known, self.old
+        new, fresh = [], {s for own in cut for s in own if s not in known}
+        for s in fresh:
+            ids = old.get(s)
+            if ids is None:
+                new.append(s)
+            else:
+                known[s] = ids
+                self.held += len(s)
         at = 0
         while at < len(new):
             end, held = at, 0
             while end < len(new) and (end == at or held + len(new[end]) < BATCH_CHARS):
                 held += len(new[end]) + 1
                 end += 1
-            self.known.update(zip(new[at:end], self.segment(new[at:end]), strict=True))
+            known.update(zip(new[at:end], self.segment(new[at:end]), strict=True))
+            self.held += held
             at = end
-        known = self.known
-        return [b"".join([known[s] for s in own]) for own in cut]
+        out = [b"".join([known[s] for s in own]) for own in cut]
+        for s in new:
+            if len(s) > LONG_STRETCH:
+                del known[s]
+                self.held -= len(s) + 1
+        if self.held > CACHE_CHARS // 2:
+            self.known, self.old, self.held = {}, known, 0
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Text of ids: pieces joined, byte pieces as UTF-8, without the prefix that encoding put before the first word."""
@@ -290,8 +332,10 @@ def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            size = np.cumsum([len(t) for t in batch.column(1).fill_null("").cast(pa.binary())]) if batch.num_rows else np.empty(0, np.int64)
+            cuts = [0, *np.flatnonzero(np.diff(size // GROUP_CHARS)) + 1, batch.num_rows] if batch.num_rows else [0]
+            for at, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(at, stop - at)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = tool.encode_batch(texts)
                 back = [tool.decode(x) for x in ids]

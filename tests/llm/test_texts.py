@@ -388,6 +388,61 @@ def test_codec_is_the_library():
             assert own.decode(ids) == t
 
 
+def test_codec_of_long_stretches_and_small_memories(monkeypatch):
+    import sentencepiece
+
+    from docloom.llm import sentencepiece_codec as sp
+
+    monkeypatch.setattr(sp, "CACHE_CHARS", 400)
+    monkeypatch.setattr(sp, "BATCH_CHARS", 150)
+    path = public.path("piece_bpe_32k.model")
+    ref, own = sentencepiece.SentencePieceProcessor(model_file=path), sp.Codec(path)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("thequickбr中😀own") for _ in range(rng.choice([3, 300, 500, 6000]))) for _ in range(12)] + random_texts(60, 9)
+    for _ in range(2):
+        for a in range(0, len(texts), 9):
+            part = texts[a : a + 9]
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch(part)] == [ref.encode(t) for t in part]
+    assert own.held <= 400 + 600 and all(len(k) <= sp.LONG_STRETCH for k in own.known)
+
+
+def test_unigram_models_relax_to_the_best_sum():
+    """A byte-pair model read as a unigram one, against a plain dynamic program over scores."""
+    from docloom.llm import sentencepiece_codec as sp
+
+    load = sp.Model.load
+
+    class Unigram(sp.Model):
+        @classmethod
+        def load(cls, path):
+            m = load(path)
+            m.unigram = True
+            rng = random.Random(1)
+            m.scores = [-rng.uniform(1, 20) for _ in m.scores]
+            return m
+
+    before, sp.Model = sp.Model, Unigram
+    try:
+        codec = sp.Codec(public.path("piece_bpe_32k.model"))
+    finally:
+        sp.Model = before
+    worst = min(codec.score.values()) - 10.0
+    for text in ["the cat sat on the mat", "internationalization", "wörter über alles", "naïve 中 x", "a"]:
+        for s, ids in zip(codec.stretches(text), [codec.encode_batch([text])[0]] * 99):
+            pass
+        got = [np.frombuffer(x, "<u4").tolist() for x in codec.segment(codec.stretches(text))]
+        for stretch, own in zip(codec.stretches(text), got, strict=True):
+            best = [(0.0, 0)] + [(-1e18, 0)] * len(stretch)
+            for j in range(1, len(stretch) + 1):
+                for i in range(max(0, j - codec.longest), j):
+                    score = codec.score.get(stretch[i:j], worst if j - i == 1 else None)
+                    if score is not None and best[i][0] + score > best[j][0] + 1e-12:
+                        best[j] = (best[i][0] + score, i)
+            mine = sum(codec.model.scores[i] if codec.model.kinds[i] == 1 else 0.0 for i in own)
+            if all(c in codec.score for c in stretch):
+                assert mine == pytest.approx(best[-1][0])
+
+
 def test_encode_decode_rows(spark):
     from docloom.llm.sentencepiece_codec import encode_decode
 
