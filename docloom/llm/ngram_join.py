@@ -43,8 +43,9 @@ SKETCH_BITS, SKETCH_ROW_BITS = 20, 14
 #: Shingles whose sketched count exceeds the mean counter by so many times its deviation are common.
 COMMON_DEVIATIONS = 6.0
 #: Members from which a region is cut into cells, members of a cell that are compared with each other, pivots of a cut, and
-#: members of a tile: a band that no task should hold at once is dealt out in pairs of blocks.
-CROWDED, LEAF, PIVOTS, TILE = 24, 64, 12, 2_048
+#: members of a region that is cut into bands of sizes, and of a tile: a band that no task should hold at once is dealt out in
+#: pairs of blocks.
+CROWDED, LEAF, PIVOTS, BANDED, TILE = 24, 64, 12, 256, 2_048
 #: Rows of a shingle that many documents share are joined under so many salts.
 SALTS = 32
 MAX_BROADCAST_IDS = 1_000_000
@@ -259,8 +260,8 @@ class SetJoin:
         small = ids.count() <= MAX_BROADCAST_IDS
         named = texts.join(F.broadcast(ids) if small else ids, "rep")
         packed = materialize(named.mapInArrow(_packed, "rep long, packed binary"), f"{label}-texts", {"compression": "uncompressed"})
-        one = pairs.hint("merge").join(packed.select(F.col("rep").alias("b"), F.col("packed").alias("packed_b")), "b")
-        both = one.hint("merge").join(packed.select(F.col("rep").alias("a"), F.col("packed").alias("packed_a")), "a")
+        one = pairs.join(packed.select(F.col("rep").alias("b"), F.col("packed").alias("packed_b")), "b")
+        both = one.join(packed.select(F.col("rep").alias("a"), F.col("packed").alias("packed_a")), "a")
         done = both.select("a", "b", "packed_a", "packed_b").mapInPandas(_compare, "a long, b long, inter long, na long, nb long")
         done = materialize(done.where("100 * inter >= 80 * (na + nb - inter)").select("a", "b"), f"{label}-links")
         release(ids, packed)
@@ -347,43 +348,62 @@ class Cells:
 
 
 def _pairs_in_cells(pivots_only: bool):
+    """Pairs of different components that sizes and bitmaps leave possible, of sorted tiles; small ones many at a time."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = ["token", "band", "i", "j"]
-        for frame in whole_groups(batches, key, 5_000):
+        key = ["region", "band", "i", "j"]
+        for frame in whole_groups(batches, key, 10_000):
             starts = group_starts(frame, key)
             rep, n, comp, host, block, i, j = (frame[c].to_numpy() for c in ("rep", "n", "comp", "host", "block", "i", "j"))
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                if hi - lo < 2 or not host[lo:hi].any():
-                    continue
-                part = slice(lo, hi)
-                across = block[part] if i[lo] != j[lo] else np.full(hi - lo, -1)
-                pairs = Cells(rep[part], n[part], comp[part], host[part], across, frame["bits"].iloc[part].to_list()).pairs(pivots_only)
-                if len(pairs):
-                    yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            bits = frame["bits"].to_list()
+            size = np.diff(starts)
+            plain = (size <= CROWDED) & (i[starts[:-1]] == j[starts[:-1]])
+            found = []
+            if not pivots_only and plain.any():
+                pairs = np.concatenate([p for _, p in _pairs_of_small(starts[:-1], size, plain, n, comp)])
+                pairs = pairs[host[pairs[:, 0]] | host[pairs[:, 1]]]
+                found.append(rep[pairs[possible(pairs[:, 0], pairs[:, 1], n, bits)]])
+            for lo, hi in zip(starts[:-1][~plain].tolist(), starts[1:][~plain].tolist(), strict=True):
+                if host[lo:hi].any():
+                    part = slice(lo, hi)
+                    across = block[part] if i[lo] != j[lo] else np.full(hi - lo, -1)
+                    found.append(Cells(rep[part], n[part], comp[part], host[part], across, bits[part]).pairs(pivots_only))
+            if found and sum(map(len, found)):
+                pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
-def _small_regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of sorted regions: pairs of different components and like sizes in small ones, the members of crowded ones (``b`` null)."""
+def _pairs_of_small(first: np.ndarray, size: np.ndarray, pick: np.ndarray, n: np.ndarray, comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each two members of picked groups with different components and like sizes; groups of one size together."""
+    yield 0, np.empty((0, 2), np.int64)
+    for m in np.unique(size[pick & (size > 1)]).tolist():
+        rows = first[pick & (size == m)]
+        x, y = (rows[:, None] + k[None, :] for k in np.triu_indices(m, 1))
+        ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= 80 * np.maximum(n[x], n[y]))
+        yield m, np.stack([x[ok], y[ok]], axis=1)
+
+
+def _open_regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of sorted regions, the members that may still have a partner of another component.
+
+    Regions are named by what their members sum up to, so that the shingles of one shared passage name one region: rows that
+    fall together are the same work.
+    """
     for frame in whole_groups(batches, ["token"], 20_000):
         starts = group_starts(frame, ["token"])
         size = np.diff(starts)
         rep, n, comp = (frame[c].to_numpy() for c in ("rep", "n", "comp"))
-        mixed = np.maximum.reduceat(comp, starts[:-1]) != np.minimum.reduceat(comp, starts[:-1]) if len(comp) else size > 0
-        crowded = np.flatnonzero(np.repeat(mixed & (size > CROWDED), size))
-        if len(crowded):
-            yield pd.DataFrame({"token": frame["token"].to_numpy()[crowded], "a": rep[crowded], "b": pd.array([None] * len(crowded), "Int64"), "members": np.repeat(size, size)[crowded]})
-        out = []
-        for m in range(3, CROWDED + 1):  # regions of one size together
-            rows = starts[:-1][mixed & (size == m)]
-            if len(rows):
-                x, y = (rows[:, None] + k[None, :] for k in np.triu_indices(m, 1))
-                ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= 80 * np.maximum(n[x], n[y]))
-                out.append(np.stack([rep[x[ok]], rep[y[ok]]], axis=1))
-        if out and sum(map(len, out)):
-            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-            yield pd.DataFrame({"token": 0, "a": pairs[:, 0], "b": pd.array(pairs[:, 1], "Int64"), "members": 0})
+        if not len(rep):
+            continue
+        mixed = np.maximum.reduceat(comp, starts[:-1]) != np.minimum.reduceat(comp, starts[:-1])
+        keep = np.repeat(mixed & (size > CROWDED), size)
+        for _, pairs in _pairs_of_small(starts[:-1], size, mixed & (size <= CROWDED), n, comp):
+            keep[pairs.ravel()] = True
+        if keep.any():
+            name = np.add.reduceat(_scramble(rep.view(np.uint64)), starts[:-1]) ^ _scramble(size.astype(np.uint64))
+            yield pd.DataFrame({"region": np.repeat(name.view(np.int64), size)[keep], "rep": rep[keep], "members": np.repeat(size, size)[keep]})
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -445,28 +465,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         return rows.join(side, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
     open_ = with_components(regions.where("part = 0 and members > 2").select("token", "rep", "n"), found)
-    open_ = open_.repartition(join.width, "token").sortWithinPartitions("token")
-    rest = materialize(open_.mapInPandas(_small_regions, "token long, a long, b long, members long"), "open-regions")
-    crowded = rest.where("b is null").select("token", F.col("a").alias("rep"), "members").unionByName(wide.where(f"members > {CROWDED}").select("token", "rep", "members"))
-    little = wide.where(f"members between 3 and {CROWDED}")
-    little = little.select("token", "rep", "n").join(little.select("token", F.col("rep").alias("b"), F.col("n").alias("m")), "token")
-    little = little.where("rep < b and 100 * least(n, m) >= 80 * greatest(n, m)").select(F.col("rep").alias("a"), "b")
-    crowded = materialize(_banded(crowded.hint("merge").join(slim, "rep")), "crowded")
+    open_ = open_.repartition(join.width, "token").sortWithinPartitions("token").mapInPandas(_open_regions, "region long, rep long, members long")
+    open_ = open_.distinct().unionByName(wide.where("members > 2").select(F.col("token").alias("region"), "rep", "members"))
+    tiles = materialize(_banded(open_.hint("merge").join(slim, "rep")), "open-regions")
     for pivots_only in (True, False):
-        if crowded.isEmpty():
-            cells = None
-            break
-        dealt = with_components(crowded, found).repartition(join.width, "token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
-        cells = dealt.mapInPandas(_pairs_in_cells(pivots_only), "a long, b long").distinct()
+        some = tiles.where(f"members > {CROWDED}") if pivots_only else tiles
+        dealt = with_components(some, found).repartition(join.width, "region", "band", "i", "j").sortWithinPartitions("region", "band", "i", "j")
+        pairs = materialize(dealt.mapInPandas(_pairs_in_cells(pivots_only), "a long, b long").distinct(), "cell-pairs")
+        links.append(join.verify(pairs, "cells"))
+        release(pairs)
         if pivots_only:
-            cells = materialize(cells, "pivot-pairs")
-            links.append(join.verify(cells, "pivots"))
-            release(cells, found)
+            release(found)
             found = connected_components(links[0].union(links[1]), "sets-pivots")
-    last = rest.where("b is not null").select("a", "b").union(little)
-    last = materialize(join.prune(last.union(cells) if cells is not None else last, slim), "last-pairs")
-    links.append(join.verify(last, "last"))
-    release(last, crowded, regions, wide, rest, slim, found)
+    release(tiles, regions, wide, slim, found)
     every = links[0]
     for more in links[1:]:
         every = every.union(more)
@@ -480,17 +491,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def _banded(members: DataFrame) -> DataFrame:
-    """Members of crowded regions in their band of sizes and the next one, in blocks that pair up to tiles.
+    """Members of regions, those of large ones in their band of sizes and the next one, in blocks that pair up to tiles.
 
     Bands grow by more than a quarter, so a set and one that is at least 0.8 of its size are in one band or in neighbours.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26))).cast("int")
-    both = members.withColumn("b", band).withColumn("s", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("b") + F.col("s"))
-    blocks = F.ceil(F.col("members") / TILE).cast("int")
-    both = both.withColumn("host", F.col("s") == 0).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "token"), F.col("blocks")).cast("int"))
+    large = F.col("members") > BANDED
+    band = F.when(large, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26)))).otherwise(0).cast("int")
+    both = members.withColumn("own", band).withColumn("next", F.explode(F.when(large, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    both = both.withColumn("band", F.col("own") + F.col("next")).withColumn("host", F.col("next") == 0).withColumn("blocks", F.ceil(F.col("members") / TILE).cast("int"))
+    both = both.withColumn("block", F.pmod(F.xxhash64("rep", "region"), F.col("blocks")).cast("int"))
     mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda m: F.struct(F.least(m, F.col("block")).alias("i"), F.greatest(m, F.col("block")).alias("j")))
     tiled = both.withColumn("t", F.explode(mates))
-    return tiled.select("token", "band", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "rep", "n", "bits", "host", "block")
+    return tiled.select("region", "members", "band", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "rep", "n", "bits", "host", "block")
 
 
 def _with_row_ids(docs: DataFrame) -> DataFrame:
