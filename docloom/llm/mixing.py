@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, materialize, release
+from .ngram_join import MAX_BROADCAST_IDS
 
 PHI = (math.sqrt(5) - 1) / 2
 MIN_BLOCK = 16
@@ -29,14 +30,8 @@ CHUNK_SLOTS = 65_536
 BUCKET_ROWS, MAX_BUCKETS = 128, 65_536
 
 
-def cyclic_weights(sources: list[str | None]) -> dict[str | None, int]:
-    """1, 2, 3, 1, ... over sources in code point order, the null source last."""
-    ordered = sorted(s for s in sources if s is not None) + [None] * (None in sources)
-    return {s: 1 + i % 3 for i, s in enumerate(ordered)}
-
-
 def fill_targets(sizes: dict, weights: dict, max_epochs: int = 3) -> dict:
-    """Share the sum of ``sizes`` by weight; targets stop at ``max_epochs`` times their size and the excess is shared anew."""
+    """The plain form of ``water_level``: share the sum of ``sizes`` by weight; targets stop at ``max_epochs`` times their size and the excess is shared anew."""
     target = {s: 0.0 for s in sizes}
     active, left = [s for s in sizes if sizes[s] > 0], float(sum(sizes.values()))
     while active:
@@ -52,6 +47,38 @@ def fill_targets(sizes: dict, weights: dict, max_epochs: int = 3) -> dict:
     return target
 
 
+def _ranked_sources(sized: DataFrame, width: int) -> DataFrame:
+    """``source, source_size, sid``: sources with their place in code point order, the null source last; nothing is collected
+    but the row counts of ``width`` ranges."""
+    place = F.col("source").asc_nulls_last()
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    dealt = per.repartitionByRange(width, place).sortWithinPartitions(place)
+    dealt = materialize(dealt.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "mix-sources")
+    firsts, at = [], 0
+    for part, n in sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        firsts.append((part, at))
+        at += n
+    first = dealt.sparkSession.createDataFrame(firsts, "part int, first long")
+    return dealt.join(F.broadcast(first), "part").select("source", "source_size", "rows", (F.col("first") + F.col("row")).cast("int").alias("sid"))
+
+
+def water_level(sources: DataFrame, weight: Column, max_epochs: int) -> tuple[float, float] | None:
+    """Words, and the weight that shares them, of the sources whose target is below ``max_epochs`` times their size, when all words
+    are shared by weight and no target is above that. Each round is one sum over the table of sources; whoever is above stays
+    above. None where every source is."""
+    full = max_epochs * F.col("source_size")
+    level, above = None, -1
+    total = sources.agg(F.sum("source_size").alias("n")).first()["n"] or 0
+    while True:
+        over = full < F.lit(level[0]) * weight / F.lit(level[1]) if level else F.lit(False)
+        r = sources.where("source_size > 0").agg(F.sum(F.when(over, full)).alias("full"), F.sum(F.when(~over, weight)).alias("weight"), F.count_if(over).alias("above")).first()
+        if not r["weight"]:
+            return None
+        if r["above"] == above:
+            return level
+        level, above = (float(total - (r["full"] or 0)), float(r["weight"])), r["above"]
+
+
 def _slots(bounds: np.ndarray, n_slots: int, per_chunk: int):
     """Source index of each slot, a chunk of the schedule at a time."""
 
@@ -71,7 +98,7 @@ def _slots(bounds: np.ndarray, n_slots: int, per_chunk: int):
     return run
 
 
-def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 8, weights: dict | None = None) -> DataFrame:
+def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 8, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Words that the mix takes of each document.
 
     Input needs ``doc_id``, ``text`` and ``source``; other columns are ignored, whatever their names. Output, one row per
@@ -79,27 +106,29 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 8, weights: dict | Non
 
     Edge cases: null and empty texts have size 0 and take 0; a null source is a source of its own, last in order; repeated
     rows and repeated or null ids are mixed as separate documents; an empty table gives an empty result. Ties in the
-    shuffle are broken by id, then by row position. The per-source table (one row a source) is the only thing the driver
-    sees.
+    shuffle are broken by id, then by row position. Sources are a table: ranked, weighed (``weights`` in turn, in code point
+    order) and given targets where they are; the schedule's tasks get their cumulative shares, eight bytes a source.
     """
     spark = docs.sparkSession
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
     sized = materialize(sized.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
-    totals = {r["source"]: (r["words"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()}
-    sizes = {s: w for s, (w, _) in totals.items()}
-    weights = weights or cyclic_weights(list(sizes))
-    target = fill_targets(sizes, weights, max_epochs)
-    ordered = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    words, rows = sum(sizes.values()), sum(n for _, n in totals.values())
+    ranked_sources = _ranked_sources(sized, width)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("sid") % len(weights) + 1)
+    level = water_level(ranked_sources, weight, max_epochs)
+    full = F.col("source_size") * F.lit(float(max_epochs))
+    target = F.least(full, F.lit(level[0]) * weight / F.lit(level[1])) if level else full
+    info = ranked_sources.withColumn("target", F.when(F.col("source_size") > 0, target).otherwise(0.0)).withColumn("quota", F.floor(F.col("target") + 0.5))
+    info = materialize(info, "mix-targets")
+    totals = info.agg(F.sum("source_size").alias("words"), F.sum("rows").alias("rows"), F.count("*").alias("sources")).first()
+    words, rows = totals["words"] or 0, totals["rows"] or 0
+    few = totals["sources"] <= MAX_BROADCAST_IDS
+    small = (lambda t: F.broadcast(t)) if few else (lambda t: t)
     block = MIN_BLOCK
-    quota = [int(target[s] + 0.5) for s in ordered]
     n_slots = -(-words // block)
     buckets = min(max(1, rows // BUCKET_ROWS), MAX_BUCKETS)
-    info = spark.createDataFrame(
-        [(i, s, sizes[s], target[s], quota[i]) for i, s in enumerate(ordered)],
-        "sid int, source string, source_size long, target double, quota long",
-    )
-    known = sized.join(F.broadcast(info), sized["source"].eqNullSafe(info["source"])).drop(info["source"])
+    named = info.select(F.col("source").alias("name"), "sid", "source_size", "target", "quota")
+    known = sized.join(small(named), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     if not words:
         return known.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "source")
 
@@ -114,7 +143,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 8, weights: dict | Non
     placed = materialize(placed.select("rid", "doc_id", "source", "sid", "size", "source_size", "target", "quota", "at"), "mix-placed")
 
     # slots, ranked within their source
-    shares = np.cumsum([target[s] for s in ordered])
+    shares = np.cumsum(info.orderBy("sid").select("target").toArrow()["target"].to_numpy())  # eight bytes a source
     n_chunks = -(-n_slots // CHUNK_SLOTS)
     chunks = spark.range(0, n_chunks, 1, min(n_chunks, max(64, n_chunks // 8)))
     slots = chunks.mapInPandas(_slots(shares / shares[-1], n_slots, CHUNK_SLOTS), "chunk long, sid int, local long")
@@ -122,7 +151,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 8, weights: dict | Non
     earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("chunk", "sid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     need = info.select("sid", F.ceil(F.col("quota") / block).alias("need"))
-    ranked = slots.hint("merge").join(offsets, ["chunk", "sid"]).join(F.broadcast(need), "sid").withColumn("rank", F.col("first") + F.col("local"))
+    ranked = slots.hint("merge").join(offsets, ["chunk", "sid"]).join(small(need), "sid").withColumn("rank", F.col("first") + F.col("local"))
     drawn = need.join(counts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     closing = drawn.where("n < need").select("sid", F.explode(F.sequence("n", F.col("need") - 1)).alias("rank"))
     slots = ranked.where("rank < need").select("sid", F.col("rank").alias("block")).unionByName(closing.withColumnRenamed("rank", "block"))
@@ -136,6 +165,8 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 8, weights: dict | Non
     )
     overlap = F.least("end", (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
     taken = pieces.hint("merge").join(slots, ["sid", "block"]).groupBy("rid").agg(F.sum(overlap).alias("taken"))
+    taken = materialize(taken, "mix-taken")
+    release(counts, info)
     return placed.join(taken, "rid", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
     )
