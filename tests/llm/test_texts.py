@@ -498,3 +498,22 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
             assert all(k == v for k, v in comp.items())
     assert counts[0] > counts[1] > counts[2] == counts[3] and counts[4] == counts[5]
     assert {"doc_id", "n_tokens", "ids"} <= set(docs.columns)
+
+
+def test_pipeline_of_empty_and_awkward_documents(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from docloom.llm.common import materialize
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(1, None, "s"), (2, "", "s"), (None, "no id here", None), (None, None, None), (3, "mail a.b7@x.org today", "s"), (3, "another text of one id", "s"), (4, long, "t"), (5, long, "t"), (5, long, "t")]
+    for given in (rows, []):
+        docs = spark.createDataFrame([(*r, 7, "x") for r in given], "doc_id long, text string, source string, size int, gram string")
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, str(tmp_path)), f"awkward-{name}")
+            if name != "sentencepiece":
+                assert docs.columns == corpus_pipeline.COLUMNS
+            if name == "pii" and given:
+                kept = docs.collect()
+                assert sorted((r.doc_id or 0) for r in kept) == [0, 0, 1, 2, 3, 3, 4] and not any("a.b7@x.org" in (r.text or "") for r in kept)
+        assert (docs.count() == 0) == (not given)
