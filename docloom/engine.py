@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.functions.vocabulary import Rules
 from docloom.operators import audit, evidence, search, structure
 from docloom.sources import files
@@ -42,7 +43,7 @@ class Engine:
         name = F.regexp_extract("path", r"([^/]+)$", 1)
         built = structure.build(new).join(new.select("document_id", name.alias("filename"), "page_count", "encoding", "warnings"), "document_id")
         lead = F.get(F.filter("sections", lambda s: s["level"] > 0), F.lit(0))["title"]
-        built = built.withColumn("title", F.coalesce(lead, F.regexp_replace("filename", r"\.[^.]+$", "")))
+        built = built.withColumn("title", F.coalesce(lead, F.regexp_replace("filename", r"\.[^.]+$", ""))).withColumn("ingested", F.current_timestamp())
         built.write.mode("append").parquet(f"{self.root}/documents")
         return found.select("path", "status", "error_code", "error")
 
@@ -56,13 +57,16 @@ class Engine:
         return self.documents().where(F.col("document_id") == document_id)
 
     def chunks(self) -> DataFrame:
-        """Chunks in document order, the first of a source's repeats kept."""
-        c = self.documents().select("document_id", "filename", "title", F.explode("chunks").alias("c"))
-        c = c.select("document_id", "filename", F.col("document_id").alias("checksum"), "title", "c.*").withColumn("entry_ord", F.xxhash64("document_id", "chunk_id"))
-        return c
+        """Chunks with their place in the corpus, ``entry_ord``: by ingest, file name, document and order in the document."""
+        c = self.documents().select("document_id", "filename", "title", "ingested", F.explode("chunks").alias("c"))
+        place = F.concat_ws("|", F.date_format("ingested", "yyyyMMddHHmmssSSSSSS"), "filename", "document_id", F.lpad(F.col("c.chunk_order").cast("string"), 9, "0"))
+        return c.select(place.alias("entry_ord"), "document_id", "filename", F.col("document_id").alias("checksum"), "title", "c.*")
 
     def reindex(self) -> DataFrame:
-        search.index_entries(self.chunks()).write.mode("overwrite").parquet(f"{self.root}/index")
+        """Write the index anew: of chunks of one source and section that start alike the first, in order of place."""
+        key = [F.lower("filename"), F.col("checksum"), F.col("section_id"), T.phrase_form(F.substring("text", 1, 200))]
+        kept = search.first_wins(self.chunks(), key, [F.col("entry_ord")])
+        search.index_entries(kept).write.mode("overwrite").parquet(f"{self.root}/index")
         return self.corpus_stats()
 
     def entries(self) -> DataFrame:
@@ -85,21 +89,21 @@ class Engine:
         return search.ask(questions.where(F.length("query") >= 3), self.entries(), top_k, max_sentences)
 
     def requirements(self, min_score: float = 0.45, max_per_document: int | None = None, query: str | None = None) -> DataFrame:
-        """Candidates of blocks, chunks and tables, in that order of sources."""
+        """Candidates of blocks, chunks and tables, in that order of sources; ``source_id`` is the block, chunk or table."""
         d = self.documents()
         titles = F.map_from_entries(F.transform("sections", lambda s: F.struct(s["section_id"], s["title"])))
         d = d.withColumn("_titles", titles)
-        table_text = F.transform("tables", lambda t: F.struct(t["section_id"].alias("section_id"), t["page_num"].alias("page"), evidence.table_text(evidence.clean_rows(t["rows"])).alias("text")))
+        table_text = F.transform("tables", lambda t: F.struct(t["table_id"].alias("id"), t["section_id"].alias("section_id"), t["page_num"].alias("page"), evidence.table_text(evidence.clean_rows(t["rows"])).alias("text")))
         kinds = {
-            "block": (0, F.transform("blocks", lambda b: F.struct(b["section_id"].alias("section_id"), b["page_num"].alias("page"), b["text"].alias("text")))),
-            "chunk": (1, F.transform("chunks", lambda c: F.struct(c["section_id"].alias("section_id"), F.lit(None).cast("int").alias("page"), c["text"].alias("text")))),
+            "block": (0, F.transform("blocks", lambda b: F.struct(b["block_id"].alias("id"), b["section_id"].alias("section_id"), b["page_num"].alias("page"), b["text"].alias("text")))),
+            "chunk": (1, F.transform("chunks", lambda c: F.struct(c["chunk_id"].alias("id"), c["section_id"].alias("section_id"), F.lit(None).cast("int").alias("page"), c["text"].alias("text")))),
             "table": (2, table_text),
         }
         out = None
         for kind, (rank, items) in kinds.items():
             s = d.select("document_id", "filename", "_titles", F.posexplode(items).alias("pos", "x"))
             s = s.select(
-                "document_id", "filename", (F.lit(rank) * 1_000_000_000 + F.col("pos")).alias("ord"), F.lit(kind).alias("source_type"), "x.section_id",
+                "document_id", "filename", (F.lit(rank) * 1_000_000_000 + F.col("pos")).alias("ord"), F.lit(kind).alias("source_type"), F.col("x.id").alias("source_id"), "x.section_id",
                 F.col("_titles")[F.col("x.section_id")].alias("section_title"), "x.page", "x.text",
             )
             out = s if out is None else out.unionByName(s)

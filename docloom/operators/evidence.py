@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from functools import reduce
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,37 +21,63 @@ def literals(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+_SPACE = re.compile(r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_SENTENCE_END = re.compile(r"(?<=[.!?;]) ")
+
+
+def window_list(text: str | None, limit: int = WINDOW_CHARS) -> list[str]:
+    """Windows of one text: as many whole sentences as a window holds, and cuts of those that alone are too long."""
+    sentences = [s for s in _SENTENCE_END.split(_SPACE.sub(" ", text or "").strip(" ")) if s]
+    ends = list(accumulate((len(s) + 1 for s in sentences), initial=0))
+    out: list[str] = []
+    at = 0
+    while at < len(sentences):
+        stop = bisect_right(ends, ends[at] + limit + 1) - 1
+        if stop > at:
+            out.append(" ".join(sentences[at:stop]))
+        else:
+            out += [sentences[at][i : i + limit].strip(" ") for i in range(0, len(sentences[at]), limit)]
+            stop = at + 1
+        at = stop
+    return out
+
+
 def windows(text: Column, limit: int = WINDOW_CHARS) -> Column:
-    """Sentences packed into windows of at most ``limit`` characters; longer sentences are cut at that length."""
-    parts = F.filter(F.split(T.squeeze(text), r"(?<=[.!?;])\s+"), lambda s: s != "")
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(a, s):
-        flushed = F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
-        cuts = F.transform(F.sequence(F.lit(0), F.ceil(F.length(s) / limit).cast("int") - 1), lambda k: F.trim(F.substring(s, k * limit + 1, F.lit(limit))))
-        full = (a["open"] != "") & (F.length(a["open"]) + 1 + F.length(s) > limit)
-        packed = F.when(a["open"] != "", F.concat(a["open"], F.lit(" "), s)).otherwise(s)
-        return (
-            F.when(F.length(s) > limit, F.struct(F.concat(flushed, cuts).alias("done"), F.lit("").alias("open")))
-            .when(full, F.struct(flushed.alias("done"), s.alias("open")))
-            .otherwise(F.struct(a["done"].alias("done"), packed.alias("open")))
-        )
+    """Sentences packed into windows of at most ``limit`` characters; longer sentences are cut at that length.
+
+    An ordered fold: Spark's own is interpreted and copies what is packed at every sentence, so it runs on Arrow batches.
+    """
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([window_list(t, limit) for t in texts])
+
+    return F.pandas_udf(run, "array<string>")(text)
+
+
+def held_terms(low: Column, terms) -> Column:
+    """The terms that stand in ``low``, in order: one plain search each, which stays in generated code."""
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms])) if terms else literals(())
 
-    out = F.aggregate(parts, empty, add)
-    return F.when(out["open"] != "", F.concat(out["done"], F.array(out["open"]))).otherwise(out["done"])
 
+def classify_windows(sources: DataFrame, rules: Rules, squeezed: bool = False) -> DataFrame:
+    """Candidates of windows (columns document_id, filename, ord, source_type, section_id, section_title, page, text).
 
-def classify_windows(sources: DataFrame, rules: Rules) -> DataFrame:
-    """Candidates of windows (columns document_id, filename, ord, source_type, section_id, section_title, page, text)."""
-    out, hits, scores = sources.withColumn("_low", T.match_form(F.col("text"))), {}, []
+    Windows without any term go first; only what is left is looked at by category. ``squeezed`` says that texts have single
+    blanks already.
+    """
+    flat = F.col("text") if squeezed else T.squeeze(F.col("text"))
+    out, hits, scores = sources.withColumn("text", flat).withColumn("_low", T.fold_yo(F.col("text"))), {}, []
     low = F.col("_low")
-    for category, terms in rules.requirements.items():
-        found = F.filter(literals(terms), lambda t: F.contains(low, t))
+    every = sorted({t for terms in rules.requirements.values() for t in terms})
+    out = out.where(reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in every]) if every else F.lit(False))
+    out = out.withColumns({f"_{category}": held_terms(low, terms) for category, terms in rules.requirements.items()})
+    for category in rules.requirements:
+        found = F.col(f"_{category}")
         hits[category] = found
         scores.append(F.when(F.size(found) > 0, F.struct(F.lit(REQUIREMENT_SCORES[category]).alias("base"), F.lit(category).alias("category"))))
     best = F.array_max(F.array_compact(F.array(*scores)))
     terms = F.array_sort(F.array_distinct(F.concat(*hits.values())))
-    hints = F.size(F.filter(literals(DOMAIN_HINTS), lambda t: F.contains(low, t)))
+    hints = F.size(held_terms(low, DOMAIN_HINTS))
     is_table, titled = F.col("source_type") == "table", F.coalesce(F.col("section_title"), F.lit("")) != ""
     reasons = F.array_compact(
         F.array(
@@ -59,7 +91,7 @@ def classify_windows(sources: DataFrame, rules: Rules) -> DataFrame:
     )
     out = out.withColumn("best", best).withColumn("matched_terms", terms).withColumn("hints", hints).withColumn("reason_codes", F.array_sort(F.array_distinct(reasons)))
     out = out.where("best is not null").withColumn("category", F.col("best.category")).withColumn("score", F.round(F.least(score, F.lit(0.95)), 2))
-    return out.withColumn("text", T.squeeze(F.col("text"))).withColumn("snippet", T.preview(F.col("text"), 240)).drop("best", "hints", "_low")
+    return out.withColumn("snippet", T.preview(F.col("text"), 240)).drop("best", "hints", "_low", *(f"_{c}" for c in rules.requirements))
 
 
 def requirements(sources: DataFrame, rules: Rules, min_score: float = 0.45, max_per_document: int | None = None, query: str | None = None) -> DataFrame:
@@ -68,7 +100,7 @@ def requirements(sources: DataFrame, rules: Rules, min_score: float = 0.45, max_
         raise ValueError("max_per_document is 1 or more")
     split = sources.withColumn("w", F.explode(F.transform(windows(F.col("text")), lambda w, i: F.struct(i.alias("win"), w.alias("text")))))
     split = split.withColumn("win", F.col("w.win")).withColumn("text", F.col("w.text")).drop("w")
-    found = classify_windows(split, rules).where(F.col("score") >= min_score)
+    found = classify_windows(split, rules, squeezed=True).where(F.col("score") >= min_score)
     if query:
         hay = T.fold_yo(F.concat_ws(" ", "text", "category", "filename", F.coalesce("section_title", F.lit("")), F.array_join("matched_terms", " "), F.array_join("reason_codes", " ")))
         found = found.where(F.contains(hay, F.lit(query.lower().replace("ё", "е"))))
@@ -141,7 +173,7 @@ def rank_tables(records: DataFrame, min_score: float = 0.25, max_tables: int | N
     r = records.where(F.col("score") >= min_score)
     if category:
         r = r.where((F.col("category") == category) | F.array_contains("tags", category))
-    own = Window.partitionBy("document_id", "table_id", F.lower("snippet")).orderBy(F.monotonically_increasing_id())
+    own = Window.partitionBy("document_id", "table_id", F.lower("snippet")).orderBy(F.col("score").desc(), F.col("row_count").desc(), F.md5(F.to_json("rows").cast("binary")))
     r = r.withColumn("rn", F.row_number().over(own)).where("rn = 1").drop("rn")
     r = r.orderBy(F.col("score").desc(), F.size("matched_terms").desc(), F.col("row_count").desc(), F.lower("filename").desc(), F.col("table_id").desc())
     return r.limit(max_tables) if max_tables else r

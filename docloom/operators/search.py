@@ -62,38 +62,54 @@ def bm25(queries: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def composite(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """BM25 with bonuses for overlap, phrases and titles, and penalties for headings and repeats."""
+    """BM25 with bonuses for overlap, phrases and titles, and penalties for headings and repeats.
+
+    Pairs of queries and entries carry numbers and short forms only: (query_id, entry_ord, filename, checksum, same, bm25,
+    overlap, score), ``same`` being what repeats of a section's start share. Texts are fetched for the few pairs that can hold the
+    whole phrase: all its words but its first and last, which may be parts of longer ones, are terms of the entry.
+    """
     q = queries.select("query_id", T.phrase_form(F.col("query")).alias("phrase"), F.array_distinct(T.search_tokens(F.col("query"))).alias("asked"))
+    start = T.phrase_form(F.substring("text", 1, 200))
+    same = F.md5(F.to_json(F.struct(F.lower("filename").alias("f"), "checksum", "section_id", start.alias("s"))).cast("binary"))
     side = entries.select(
-        "entry_ord", "filename", "checksum", "section_id", "section_title", "title", "text", "clean", "terms", "penalty",
+        "entry_ord", "filename", "checksum", same.alias("same"), (F.size("terms") >= 25).alias("long"), "penalty",
         T.phrase_form(F.col("section_title")).alias("section_form"), T.phrase_form(F.col("title")).alias("title_form"),
     )
-    pairs = bm25(queries, entries).join(q, "query_id").join(side, "entry_ord")
+    pairs = bm25(queries, entries).join(q, "query_id")
+    likely = pairs.where((F.col("phrase") != "") & (F.col("overlap") >= F.size("asked") - 2)).select("query_id", "entry_ord", "phrase")
+    held = likely.join(entries.select("entry_ord", F.array_join("terms", " ").alias("said")), "entry_ord").where(F.contains("said", F.col("phrase")))
+    pairs = pairs.join(held.select("query_id", "entry_ord", F.lit(2.0).alias("held")), ["query_id", "entry_ord"], "left").join(side, "entry_ord")
     phrase = F.col("phrase") != ""
     bonus = (
         0.45 * F.col("overlap")
-        + F.when(phrase & F.contains(F.array_join("terms", " "), F.col("phrase")), 2.0).otherwise(0.0)
+        + F.coalesce("held", F.lit(0.0))
         + F.when(phrase & F.contains("section_form", F.col("phrase")), 1.0).otherwise(0.0)
         + F.when(phrase & F.contains("title_form", F.col("phrase")), 0.8).otherwise(0.0)
         + 0.25 * F.size(F.array_intersect("asked", F.split("section_form", " ")))
         + 0.15 * F.size(F.array_intersect("asked", F.split("title_form", " ")))
     )
-    score = (F.col("bm25") + bonus) * F.col("penalty") + F.when(F.size("terms") >= 25, 0.35).otherwise(0.0)
+    score = (F.col("bm25") + bonus) * F.col("penalty") + F.when(F.col("long"), 0.35).otherwise(0.0)
     # sums of doubles depend on the order of rows: places are compared as far as they are sure
-    return pairs.withColumn("score", F.round(score, 8)).where("score > 0")
+    scored = pairs.withColumn("score", F.round(score, 8)).where("score > 0")
+    return scored.select("query_id", "entry_ord", "filename", "checksum", "same", "bm25", "overlap", "score")
 
 
 def search(queries: DataFrame, entries: DataFrame, top_k: int = 5) -> DataFrame:
-    """Ranked hits: repeats of a source's section start dropped, at most three of a source, the best ``top_k``."""
+    """Ranked hits: repeats of a source's section start dropped, at most three of a source, the best ``top_k``.
+
+    Ranks are taken on pairs without texts; snippets are made of the texts of the ranked entries alone.
+    """
     if not 1 <= top_k <= 20:
         raise ValueError("top_k is 1 to 20")
-    scored = composite(queries, entries)
-    best = [F.col("score").desc(), F.col("entry_ord")]
-    key = [F.lower("filename"), F.col("checksum"), F.col("section_id"), T.phrase_form(F.substring("text", 1, 200))]
-    first = scored.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", *key).orderBy(*best))).where("rn = 1")
-    few = first.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "checksum").orderBy(*best))).where(F.col("rn") <= PER_SOURCE)
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= top_k)
-    return ranked.select("query_id", "rank", "entry_ord", "filename", F.round("score", 4).alias("score"), T.snippet(F.col("clean"), F.col("asked")).alias("snippet"))
+    best = F.struct((-F.col("score")).alias("s"), "entry_ord")
+    first = composite(queries, entries).groupBy("query_id", "same").agg(F.min(F.struct(best.alias("b"), "filename", "checksum")).alias("x"))
+    first = first.select("query_id", F.col("x.b.entry_ord").alias("entry_ord"), (-F.col("x.b.s")).alias("score"), "x.filename", "x.checksum")
+    order = [F.col("score").desc(), F.col("entry_ord")]
+    few = first.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "checksum").orderBy(*order))).where(F.col("rn") <= PER_SOURCE)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= top_k)
+    asked = queries.select("query_id", F.array_distinct(T.search_tokens(F.col("query"))).alias("asked"))
+    shown = ranked.select("query_id", "rank", "entry_ord", "filename", "score").join(asked, "query_id").join(entries.select("entry_ord", "clean"), "entry_ord")
+    return shown.select("query_id", "rank", "entry_ord", "filename", F.round("score", 4).alias("score"), T.snippet(F.col("clean"), F.col("asked")).alias("snippet"))
 
 
 def ask(questions: DataFrame, entries: DataFrame, top_k: int = 5, max_sentences: int = 4) -> DataFrame:

@@ -6,9 +6,9 @@ Written against the operators' definitions, from small SQL builders for the shar
 from __future__ import annotations
 
 from docloom.functions.vocabulary import DOCUMENT_EXTENSIONS, DOMAIN_HINTS, PLACEHOLDERS, REQUIREMENT_SCORES, STANDALONE_TITLES, STEM_SUFFIXES, STOP_WORDS, TABLE_LIKE_TERMS
-from docloom.operators import audit, qa
+from docloom.operators import audit, evidence, qa
 
-from .tables import RULES
+from .tables import RULES, SHEET_KEYS
 
 SP = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]+"
@@ -112,7 +112,7 @@ SQL: dict[str, str] = {}
 SQL["str01_normalize_lines"] = f"select doc_id, {lines('text')} as normalized from documents"
 SQL["str02_token_estimate"] = rf"select doc_id, greatest(1, {count('text', r'[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+')}) as tokens from documents"
 SQL["str03_squeeze"] = f"select doc_id, {squeeze('text')} as flat from documents"
-SQL["str04_match_forms"] = f"select doc_id, {form('x')} as match_form, {heading_key('x')} as heading_key, {source_form('x')} as source_form from (select doc_id, substr(text, 1, 80) as x from documents)"
+SQL["str04_match_forms"] = f"select doc_id, {form('x')} as match_form, {heading_key('x')} as heading_key, {source_form('x')} as source_form from (select doc_id, text as x from documents)"
 SQL["str05_tokens"] = f"select doc_id, len(t) as n_tokens, array_to_string(t, ' ') as tokens from (select doc_id, {tokens('text')} as t from documents)"
 SQL["str06_stems"] = f"select word, {stem('word')} as stem from (select distinct unnest({tokens('text')}) as word from benchmark)"
 SQL["str07_search_tokens"] = f"select doc_id, len(t) as n, len(list_distinct(t)) as n_distinct from (select doc_id, {terms('text')} as t from documents)"
@@ -148,7 +148,7 @@ w as (select *, coalesce(round(len(list_filter(k, lambda x: length(x) >= 2 and r
 select doc_id, char_count, printable_ratio, control_ratio, symbol_noise_ratio, alpha_ratio, word_like_token_ratio, repeated_symbol_run_count,
 case when char_count = 0 then 'empty_text' when char_count >= 40 and printable_ratio < 0.88 then 'low_printable_ratio' when char_count >= 40 and control_ratio >= 0.06 then 'excessive_control_chars'
 when char_count >= 80 and symbol_noise_ratio >= 0.35 and alpha_ratio < 0.35 then 'binary_like_symbol_density' when char_count >= 80 and word_like_token_ratio < 0.18 and symbol_noise_ratio >= 0.22 then 'low_word_quality' end as issue from w"""
-SQL["prd02_cid_artifacts"] = rf"""with c as (select doc_id, {lines("case when doc_id % 3 = 0 then '(cid:12)(cid:7) (CID:9)' || substr(text, 1, 40) else text end")} as t from documents),
+SQL["prd02_cid_artifacts"] = rf"""with c as (select doc_id, {lines("case when doc_id % 3 = 0 then '(cid:12)(cid:7) (CID:9)' || text else text end")} as t from documents),
 f as (select doc_id, t, regexp_extract_all(t, '(?i)\(cid:\d+\)') as k from c)
 select doc_id, len(k) as cid_count, case when len(k) >= 3 and length(array_to_string(k, '')) / greatest(length(t), 1) >= 0.35 then 'cid_artifact_dominated_fragment'
 when len(k) >= 8 and len(k) / greatest(length(t), 1) * 100 >= 8 then 'excessive_cid_artifact_density' end as issue from f"""
@@ -208,7 +208,9 @@ s2 as (select *, coalesce(list_position(list_transform(w, lambda x: list_contain
 s3 as (select *, greatest(0, length(array_to_string(w[1:hit], ' ')) - 106) as a from s2), s4 as (select *, least(length(clean), a + 320) as b from s3)
 select query_id, rank::int as rank, {squeeze("case when a > 0 then '...' else '' end || trim(substr(clean, a + 1, b - a)) || case when b < length(clean) then '...' else '' end")} as snippet from s4"""
 SQL["set01_first_wins"] = f"""with {CHUNKS} select entry_ord, filename from (select *, row_number() over (partition by lower(filename), checksum, section_id, {phrase('substr(text, 1, 200)')} order by entry_ord) as rn from chunks) where rn = 1"""
-SQL["snk03_upsert_latest"] = "select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rn from events) where rn = 1"
+SQL["snk03_upsert_latest"] = f"""with {_ENTRIES}, again as (select * from entries where entry_ord % 3 = 0)
+select entry_ord, document_id, 2::bigint as version, n_tokens from again union all
+select entry_ord, document_id, 1::bigint, n_tokens from entries where coalesce(checksum, '') not in (select coalesce(checksum, '') from again)"""
 SQL["snk04_manifest"] = f"with {CHUNKS} select document_id, lower(filename) as filename, checksum, 'processed' as status from (select *, row_number() over (partition by checksum, lower(filename) order by entry_ord desc) as rn from chunks) where rn = 1"
 SQL["snk07_duplicate_files"] = f"with {CHUNKS} select document_id, filename, rn::int as rn from (select *, row_number() over (partition by checksum, lower(filename) order by entry_ord) as rn from chunks) where rn > 1"
 
@@ -229,7 +231,7 @@ SQL["agg06_issue_counts"] = f"with {_ISSUED} select issue, count(*) as n from (s
 SQL["agg06_lengths"] = f"with {CHUNKS}, n as (select length({squeeze('text')})::int as n from chunks) select count(*) as total, round(avg(n), 2) as avg_len, median(n) as median_len, min(n) as min_len, max(n) as max_len from n"
 SQL["agg06_top_issue_files"] = f"""with {_ISSUED}, p as (select filename, sum(len(issues))::bigint as issues, count(*) as chunks from issued group by filename)
 select * from (select *, (row_number() over (order by issues desc, filename))::int as rank from p) where rank <= 10"""
-SQL["aud04_compact_buckets"] = rf"""with {CHUNKS}, f as (select *, {squeeze('substr(text, 1, 240)')} as flat from chunks), l as (select *, replace(lower(flat), 'ß', 'ss') as low from f),
+SQL["aud04_compact_buckets"] = rf"""with {CHUNKS}, f as (select *, {squeeze('text')} as flat from chunks), l as (select *, replace(lower(flat), 'ß', 'ss') as low from f),
 b as (select case when content_type = 'text' and flat <> '' and length(flat) < 250 then case when {any_in('low', audit.SERVICE_TERMS)} then 'service_or_boilerplate'
 when {any_in('low', ('содержание', 'оглавление', 'table of contents'))} or regexp_matches(flat, '{audit.TOC_PATTERN}') then 'toc_or_list_fragment'
 when regexp_matches(low, '{audit.FORMULA_PATTERN}') or {any_in('low', audit.FORMULA_TERMS)} then 'formula_or_calculation_micro_evidence'
@@ -244,9 +246,10 @@ SQL["agg11_batch_summary"] = f"""with {CHUNKS}, s as (select *, case when row_nu
 select filename, status, count(*) as n, sum(length(text))::bigint as chars from s group by all"""
 SQL["rnk08_preview_limits"] = f"""with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda s: {squeeze('s')} <> '') as ls from documents)
 select doc_id, len(ls) as total, least(len(ls), 3) as shown, len(ls) > 3 as truncated, array_to_string(list_transform(ls[1:3], lambda s: {preview('s', 60)}), '|') as preview from l"""
-_T = "(select p_brand as table_id, list([p_name, p_type, p_size::varchar, p_retailprice::decimal(12,2)::varchar] order by p_partkey) as body from part where p_partkey % 20 = 0 group by p_brand)"
-SQL["str17_table_row_texts"] = f"""with r as (select table_id, len(body) + 1 as row_count, unnest(body) as row, unnest(range(len(body))) as pos from {_T})
-select table_id, (pos + 2)::int as row_index, row_count, 5 as column_count, 'Таблица ' || table_id || '. Лист: Sheet 1. Раздел: Document > Parts' || chr(10) || 'Строка ' || (pos + 2) || ' из ' || row_count || '.' || chr(10)
+_T = f"""(select case when sheet = 1 then p_brand else p_brand || ' ' || sheet end as table_id, p_brand as filename, 'Sheet ' || sheet as sheet,
+list([p_name, p_type, p_size::varchar, p_retailprice::decimal(12,2)::varchar] order by p_partkey) as body from (select *, p_partkey // {SHEET_KEYS} + 1 as sheet from part) group by p_brand, sheet)"""
+SQL["str17_table_row_texts"] = f"""with r as (select table_id, sheet, len(body) + 1 as row_count, unnest(body) as row, unnest(range(len(body))) as pos from {_T})
+select table_id, (pos + 2)::int as row_index, row_count, 5 as column_count, 'Таблица ' || table_id || '. Лист: ' || sheet || '. Раздел: Document > Parts' || chr(10) || 'Строка ' || (pos + 2) || ' из ' || row_count || '.' || chr(10)
 || 'Колонки: part name: ' || row[1] || '; type: ' || row[2] || '; size: ' || row[3] || '; retail price: ' || row[4] as text from r"""
 SQL["stc04_table_rows"] = f'select table_id, len(body) as rows, 2 as "first", (len(body) + 1)::int as "last" from {_T}'
 _HEAD = "part name type size retail price"
@@ -258,20 +261,20 @@ def _table_sql() -> str:
         gains = [f"case when contains('{_HEAD}', {q(w)}) then 0.34 when contains(low, {q(w)}) then 0.14 else 0.0 end" for w in (x.lower().replace("ё", "е") for x in words)]
         per.append(f"struct_pack(score := round({' + '.join(gains)}, 2), category := {q(category)})")
         matched += [f"case when contains('{_HEAD}', {q(w.lower().replace('ё', 'е'))}) or contains(low, {q(w.lower().replace('ё', 'е'))}) then {q(w)} end" for w in words]
-    return f"""tt as (select table_id, len(body) + 1 as row_count, array_to_string(list_transform(body, lambda r: array_to_string(r, ' | ')), ' ') as body_text from {_T}),
+    return f"""tt as (select table_id, filename, len(body) + 1 as row_count, array_to_string(list_transform(body, lambda r: array_to_string(r, ' | ')), ' ') as body_text from {_T}),
 lo as (select *, {form('body_text')} as low from tt), pe as (select *, [{', '.join(per)}] as per, list_sort(list_distinct(list_filter([{', '.join(matched)}], lambda x: x is not null))) as matched from lo),
 be as (select *, list_max(list_transform(per, lambda p: p.score)) as best from pe),
-ev as (select table_id, row_count, 4 as column_count, 'part name|type|size|retail price' as headers, case when best > 0 then list_filter(per, lambda p: p.score = best)[1].category else 'unknown' end as category,
+ev as (select table_id, filename, row_count, 4 as column_count, 'part name|type|size|retail price' as headers, case when best > 0 then list_filter(per, lambda p: p.score = best)[1].category else 'unknown' end as category,
 case when best > 0 then array_to_string(list_sort(list_transform(list_filter(per, lambda p: p.score > 0), lambda p: p.category)), '|') else 'unknown' end as tags,
 round(least(0.08 + least(best, 0.68) + 0.12 + 0.06 + 0.04, 0.95), 2) as score, array_to_string(matched, '|') as terms, len(matched) as n_terms, {preview("'" + _HEAD + " ' || body_text", 280)} as snippet from be)"""
 
 
-SQL["evd03_table_evidence"] = f"with {_table_sql()} select * exclude (n_terms) from ev"
-SQL["rnk06_ranked_tables"] = f"with {_table_sql()} select table_id, category, score, row_count from ev where score >= 0.25 order by score desc, n_terms desc, row_count desc, lower(table_id) desc limit 10"
+SQL["evd03_table_evidence"] = f"with {_table_sql()} select * exclude (n_terms, filename) from ev"
+SQL["rnk06_ranked_tables"] = f"with {_table_sql()} select table_id, category, score, row_count from ev where score >= 0.25 order by score desc, n_terms desc, row_count desc, lower(filename) desc, table_id desc limit 10"
 SQL["agg04_table_summary"] = f"with {_table_sql()} select category, count(*) as n from ev where score >= 0.25 group by category"
 
-_BENCH = f"""bs as (select item_id as query_id, text as query, substr({squeeze('text')}, 1, 60) as start from benchmark), bw as (select *, list_sort(list_filter(string_split(start, ' '), lambda x: length(x) >= 8))[1] as w from bs),
-dw as (select doc_id, source, {squeeze('text')} as flat from documents), ex as (select query_id, arg_min(source, doc_id) as expected from bw join dw on w is not null and contains(flat, start) and list_contains(string_split(flat, ' '), w) group by query_id)"""
+_BENCH = f"""bs as (select item_id as query_id, text as query, {squeeze('text')} as start from benchmark),
+dw as (select doc_id, source, {squeeze('text')} as flat from documents), ex as (select query_id, arg_min(source, doc_id) as expected from bs join dw on start <> '' and contains(flat, start) group by query_id)"""
 _EVAL = f"""{_RANKED}, {_BENCH}, top as (select query_id, rank, filename, expected from r3 left join ex using (query_id) where rank <= 5),
 per as (select query_id, count(*) as n_hits, min(case when k <> '' and (k = f or contains(f, k) or (f <> '' and contains(k, f))) then rank end)::int as best_rank from
 (select *, {key('expected')} as k, {key('filename')} as f from top) group by query_id),
@@ -301,23 +304,76 @@ union all select 'r' || r_regionkey, 'Document > ' || r_name from region union a
 SQL["rnk07_hit_at_k"] = f"with {_EVAL} select query_id, best_rank is not null and best_rank <= 1 as hit_at_1, best_rank is not null and best_rank <= 3 as hit_at_3, best_rank is not null and best_rank <= 5 as hit_at_5 from res where expected <> ''"
 SQL["rnk09_top_hits"] = f"with {_RANKED} select query_id, string_agg(filename, '|' order by rank) as top from r3 where rank <= 3 group by query_id"
 _FILE = r"regexp_extract(url, '([^/?#]+)(?:[?#].*)?$', 1)"
-_WANT = f"""f as (select page_id as file_id, {_FILE} as filename from pages), w as (select distinct case when page_id % 3 = 0 then {_FILE} else upper({_FILE}) || '.PDF' end as expected from pages where page_id % 3 <> 2
+_WANT = f"""f as (select page_id as file_id, {_FILE} as filename from pages), w as (select distinct case when page_id % 3 = 0 then {_FILE} else upper({_FILE}) || '.PDF' end as expected from pages
 union select 'absent report 77' union select 'en')"""
-SQL["set02_selection"] = f"""with {_WANT}, b as (select distinct file_id, filename from f where lower(filename) in (select lower(expected) from w) or file_id % 2 = 0)
+SQL["set02_selection"] = f"""with {_WANT}, b as (select distinct file_id, filename from f)
 select file_id, filename from (select *, row_number() over (partition by filename order by file_id) as rn from b) where rn = 1"""
 _CONTAINED = 8
 _TIERS = f"""{_WANT}, e as (select expected, {key('expected')} as k, {key("regexp_extract(expected, '^([^,]+)', 1)")} as alt from w), fk as (select file_id, filename, {key('filename')} as fkey from f),
-ks as (select distinct expected, unnest([k, alt]) as k from e), t as (
+ks as (select distinct expected, greatest(length(k), length(alt)) as longest, unnest([k, alt]) as k from e), t as (
 select expected, file_id, 1 as tier from e join fk on lower(trim(expected)) = lower(filename) and trim(expected) <> ''
 union select expected, file_id, 2 from ks join fk on k = fkey and k <> ''
-union select expected, file_id, 3 from ks join fk on k <> '' and fkey <> '' and ((contains(fkey, k) and length(k) >= {_CONTAINED} and len(list_intersect(string_split(k, ' '), string_split(fkey, ' '))) > 0) or (contains(k, fkey) and length(fkey) >= {_CONTAINED} and len(list_intersect(string_split(k, ' '), string_split(fkey, ' '))) > 0))
+union select expected, file_id, 3 from ks join fk on k <> '' and fkey <> '' and longest >= {_CONTAINED} and (contains(fkey, k) or contains(k, fkey))
 union select expected, file_id, 4 from ks join fk on len(list_filter(string_split(k, ' '), lambda x: not list_contains({lst(('book', 'chapter', 'section', 'table', 'книга', 'раздел', 'таблица', 'том'))}, x))) >= 3
 and len(list_filter(string_split(k, ' '), lambda x: not list_contains({lst(('book', 'chapter', 'section', 'table', 'книга', 'раздел', 'таблица', 'том'))}, x) and not list_contains(string_split(fkey, ' '), x))) = 0),
 bt as (select expected, min(tier) as tier from t group by 1), n as (select expected, tier, count(distinct file_id) as n_files from t join bt using (expected, tier) group by all),
 mm as (select expected, case when n_files is null then 'missing' when n_files = 1 then 'matched' else 'ambiguous' end as status,
-coalesce(['exact_filename', 'normalized_filename_or_stem', 'containment', 'token_subset'][tier], 'none') as method, coalesce(n_files, 0) as n_files from e left join n using (expected))"""
+coalesce(['exact_filename', 'normalized_filename_or_stem', 'bounded_contains', 'token_subset'][tier], case when k = '' and alt = '' then 'empty' else 'none' end) as method, coalesce(n_files, 0) as n_files from e left join n using (expected))"""
 SQL["jn05_match_files"] = f"with {_TIERS} select distinct expected, status, method, n_files from mm"
 SQL["agg09_coverage"] = f"with {_TIERS} select status, method, count(*) as n from (select distinct * from mm) group by all"
+# requirement windows: sentences packed by their cumulative lengths, a window a step
+_WINDOWS = rf"""recursive s0 as (select doc_id, list_filter(string_split(regexp_replace({squeeze('text')}, '([.!?;]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as ss from documents),
+se as (select doc_id, ss, list_transform(range(len(ss) + 1), lambda n: coalesce(list_sum(list_transform(ss[1:n], lambda x: length(x) + 1)), 0)::bigint) as ends from s0),
+wk as (select doc_id, 0::bigint as a0, greatest(1, len(list_filter(ends, lambda x: x <= ends[1] + {evidence.WINDOW_CHARS} + 1)) - 1)::bigint as z0, len(ss) as n from se where len(ss) > 0 union all
+select wk.doc_id, wk.z0, greatest(wk.z0 + 1, len(list_filter(se.ends, lambda x: x <= se.ends[wk.z0 + 1] + {evidence.WINDOW_CHARS} + 1)) - 1)::bigint, wk.n from wk join se on wk.doc_id = se.doc_id where wk.z0 < wk.n),
+wp as (select wk.doc_id, a0, case when z0 > a0 + 1 or length(ss[a0 + 1]) <= {evidence.WINDOW_CHARS} then [array_to_string(ss[a0 + 1:z0], ' ')]
+else list_transform(range((length(ss[a0 + 1]) + {evidence.WINDOW_CHARS} - 1) // {evidence.WINDOW_CHARS}), lambda i: trim(substr(ss[a0 + 1], (i * {evidence.WINDOW_CHARS} + 1)::bigint, {evidence.WINDOW_CHARS}))) end as ws from wk join se on wk.doc_id = se.doc_id),
+wu as (select doc_id, a0, unnest(ws) as w, unnest(range(len(ws))) as piece from wp), wn as (select doc_id, w, (row_number() over (partition by doc_id order by a0, piece) - 1)::int as win from wu)"""
+SQL["str15_requirement_windows"] = f"""with {_WINDOWS} select d.doc_id, coalesce(n, 0)::int as n_windows, coalesce(longest, 0)::int as longest from documents d
+left join (select doc_id, count(*) as n, max(length(w)) as longest from wn group by doc_id) using (doc_id)"""
+
+
+def _requirements_sql(query: str = "") -> str:
+    """Requirement candidates: categories of windows, the first of equal texts of a section, ranked within a document."""
+    lists = {c: f"list_filter({lst(terms)}, lambda x: contains(low, x))" for c, terms in RULES.requirements.items()}
+    base = ", ".join(f"case when len(h_{i}) > 0 then struct_pack(base := {REQUIREMENT_SCORES[c]}::double, category := {q(c)}) end" for i, c in enumerate(lists))
+    every = "list_sort(list_distinct(" + "".join(f"list_concat(h_{i}, " for i in range(len(lists))) + "[]::VARCHAR[]" + ")" * len(lists) + "))"
+    why = ", ".join(f"case when len(h_{i}) > 0 then {q(c + '_marker')} end" for i, c in enumerate(lists))
+    hay = f"where contains({yo("concat_ws(' ', w, category, filename, coalesce(section_title, ''), array_to_string(terms, ' '), array_to_string(reasons, ' '))")}, {q(query.lower().replace('ё', 'е'))})" if query else ""
+    return f"""{_WINDOWS}, lw as (select wn.doc_id, win, w, {yo('w')} as low, source as filename, lang as section_id, case when wn.doc_id % 2 = 0 then lang end as section_title from wn join documents d on wn.doc_id = d.doc_id),
+hs as (select *, {', '.join(f'{v} as h_{i}' for i, v in enumerate(lists.values()))}, len(list_filter({lst(DOMAIN_HINTS)}, lambda x: contains(low, x))) as hints, coalesce(section_title, '') <> '' as titled from lw),
+bs0 as (select *, list_max(list_filter([{base}], lambda x: x is not null)) as best, {every} as terms,
+list_sort(list_distinct(list_filter([{why}, case when hints > 0 then 'domain_hint' end, case when titled then 'section_context' end], lambda x: x is not null))) as reasons from hs),
+rq0 as (select *, best.category as category, round(least(best.base + least(0.12::double, 0.03::double * (len(terms) - 1)) + least(0.12::double, 0.04::double * hints) + case when titled then 0.02::double else 0.0::double end, 0.95::double), 2) as score from bs0 where best is not null),
+rq1 as (select *, row_number() over (partition by doc_id, section_id, lower(w) order by win) as rn from (select * from rq0 where score >= 0.45) {hay}),
+rq as (select *, (row_number() over (partition by doc_id order by score desc, len(terms) desc, filename desc, win))::int as rank from rq1 where rn = 1)"""
+
+
+SQL["evd01_requirements"] = f"with {_requirements_sql()} select doc_id::varchar as document_id, win, category, array_to_string(terms, '|') as terms, array_to_string(reasons, '|') as reasons, score from rq"
+SQL["rnk05_requirements_per_document"] = f"with {_requirements_sql()} select doc_id::varchar as document_id, rank, category, score from rq where rank <= 2"
+SQL["agg03_requirements_summary"] = f"with {_requirements_sql()} select category, count(*) as n, count(distinct doc_id) as documents from rq group by category"
+SQL["prd11_query_filter"] = f"with {_requirements_sql('license')} select doc_id::varchar as document_id, win, category, score from rq"
+_PROC = f"""pr as (select doc_id as k, doc_id::varchar as document_id, source, lang, text, doc_id % 11 <> 0 as has_s, doc_id % 13 <> 0 as has_b, doc_id % 17 <> 0 as has_c,
+case doc_id % 3 when 1 then 'table' when 2 then 'image' else 'paragraph' end as kind, case when doc_id % 4 <> 0 then (doc_id % 4)::int end as page from documents where doc_id % 7 <> 0)"""
+SQL["src13_typed_documents"] = """select doc_id, doc_id % 7 <> 0 as is_object, case when doc_id % 7 <> 0 then doc_id::varchar end as document_id, case when doc_id % 7 <> 0 and doc_id % 11 <> 0 then 2 else 0 end as n_sections,
+case when doc_id % 7 <> 0 and doc_id % 13 <> 0 then 1 else 0 end as n_blocks, case when doc_id % 7 <> 0 and doc_id % 3 = 1 then 1 else 0 end as n_tables, case when doc_id % 7 <> 0 and doc_id % 17 <> 0 then 1 else 0 end as n_chunks,
+case when doc_id % 7 <> 0 and doc_id % 13 <> 0 and doc_id % 4 <> 0 then (doc_id % 4)::int end as page from documents"""
+SQL["aud01_chunk_records"] = rf"""with {_PROC}, a as (select *, k % 5 <> 0 and has_s as sec, {squeeze('text')} as flat, case when has_b and kind = 'table' then 't1' end as table_id, case when has_b then page end as pg from pr where has_c),
+b as (select *, case when not has_b then 'unknown' when kind = 'image' then 'image' when kind = 'table' then case when contains(lower(flat), 'строка') or contains(lower(flat), 'row') then 'table_row' else 'table' end else 'text' end as ct,
+case when sec then {squeeze("'Part ' || lang")} end as st, lower(flat) as low from a),
+f as (select *, list_sort(list_filter([case when flat = '' then 'empty_or_whitespace_text' when length(flat) < 120 then 'short_chunk' end, case when not sec then 'missing_section' end, case when pg is null then 'missing_page' end,
+case when low <> '' and (regexp_matches(low, '\|.+\||;.*;|(?:^|[^\p{{L}}\p{{N}}_])(?:row|column) +\d+(?:[^\p{{L}}\p{{N}}_]|$)') or {any_in('low', TABLE_LIKE_TERMS)}) then 'table_like_text' end,
+case when ct = 'unknown' then 'unknown_content_type' end, case when has_b and kind = 'image' then 'image_or_ocr_limited' end], lambda x: x is not null)) as fl from b)
+select document_id, ct as content_type, 'pdf' as source_type, st as section_title, case when sec then 'Document>' || st else '' end as path, pg as page_start, pg as page_end, table_id, case when table_id is not null and sec then st end as table_title,
+case when table_id is not null then 'A,B' else '' end as headers, case when table_id is not null then 2 end as row_count,
+concat_ws(' - ', source || '.pdf', case when table_id is not null then 'table t1' when sec then 'Document > ' || st end, case when pg is not null then 'page ' || pg end) as location_label, array_to_string(fl, ',') as flags,
+((not sec)::int + (pg is null)::int + list_contains(fl, 'short_chunk')::int + (list_contains(fl, 'table_like_text') and table_id is null)::int + (ct = 'image' or list_contains(fl, 'image_or_ocr_limited'))::int + (ct = 'unknown')::int) as notes,
+length(substr(flat, 1, 300))::int as preview from f"""
+SQL["prd04_ocr_candidates"] = f"""with {_PROC}, s as (select *, coalesce(case when has_b and kind <> 'image' then length(trim(text)) end, 0) = 0 as nt from pr),
+g as (select *, list_filter([case when nt then 'no_text' end, case when not has_b then 'no_blocks' end, case when not has_c then 'no_chunks' end], lambda x: x is not null) as sg from s)
+select document_id, len(sg) >= 2 as ocr_candidate, case when len(sg) >= 2 then 'pdf_without_text' end as reason, array_to_string(sg, ',') as signals from g"""
+SQL["agg14_ocr_summary"] = """select count(*) as files, count_if(turn % 5 > 2)::bigint as success, count_if(turn % 5 = 0)::bigint as "empty", count_if(turn % 5 = 1)::bigint as unsupported, count_if(turn % 5 = 2)::bigint as failed,
+coalesce(round(avg(case when turn % 5 > 2 then length(text) end), 2), 0.0) as avg_text_chars from conversations"""
 _F = [q(x) for x in qa.FAILURES]
 _DIAG = f"""i as (select conv_id, turn, conv_id % 10 as k, text, case conv_id % 10 when 9 then 'Таблица: ' || text when 8 then text || ' scanned' else text end as question,
 case when conv_id % 10 = 0 then ' ' else 'Doc ' || (conv_id % 10) || '.pdf' end as expected, case when conv_id % 10 = 5 then 'no_hits' end as reason,

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import quality as Q
 from docloom.functions import text as T
-from docloom.operators import audit, evidence, matching, qa, search, structure
+from docloom.operators import audit, evidence, export, matching, qa, search, structure
+from docloom.operators.staging import staged, staged_path
+from docloom.sources import processed
+from docloom.streaming import ingest
 
 from . import tables as R
 
@@ -181,7 +184,8 @@ def prd12_numeric_like(spark, d):
 
 
 def _entries(spark, d):
-    return search.index_entries(R.chunks(spark, d))
+    """The index, written once: every search reads it several times."""
+    return staged(search.index_entries(R.chunks(spark, d)), "index")
 
 
 @query
@@ -237,9 +241,13 @@ def set01_first_wins(spark, d):
 
 @query
 def snk03_upsert_latest(spark, d):
-    e = R.table(spark, d, "events")
-    order = Window.partitionBy("user_id", "event_type").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return e.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("user_id", "event_type", "event_id", "value")
+    """The index after two batches: all documents, then a third of them anew; a batch replaces the entries of its sources."""
+    path = staged_path(spark, "upserted")
+    first = R.chunks(spark, d).withColumn("version", F.lit(1).cast("long"))
+    again = first.where(F.col("entry_ord") % 3 == 0).withColumn("version", F.lit(2).cast("long"))
+    ingest.upsert(first, path)
+    ingest.upsert(again.unionByName(again.withColumn("version", F.lit(0).cast("long"))), path)
+    return ingest.read_index(spark, path).select("entry_ord", "document_id", "version", "n_tokens")
 
 
 @query
@@ -382,6 +390,57 @@ def rnk08_preview_limits(spark, d):
     return _docs(spark, d).select("doc_id", F.size(lines).alias("total"), F.least(F.size(lines), F.lit(3)).alias("shown"), (F.size(lines) > 3).alias("truncated"), F.array_join(F.transform(F.slice(lines, 1, 3), lambda s: T.preview(s, 60)), "|").alias("preview"))
 
 
+# --- processed documents -----------------------------------------------------------------------------------------------
+
+
+def _processed(spark, d):
+    """Documents as processed JSON of an old kind: some files are no objects, some lack sections, some hold a table or an image."""
+    k, empty = F.col("doc_id"), F.lit(None)
+    kind = F.when(k % 3 == 1, "table").when(k % 3 == 2, "image").otherwise("paragraph")
+    sections = F.array(
+        F.struct(F.lit("s1").alias("section_id"), F.lit("Document").alias("title"), F.lit(0).alias("level"), empty.cast("string").alias("parent_id")),
+        F.struct(F.lit("s2").alias("section_id"), F.concat(F.lit(" Part  "), "lang").alias("title"), F.lit(1).alias("level"), F.lit("s1").alias("parent_id")),
+    )
+    blocks = F.array(F.struct(F.lit("b1").alias("block_id"), kind.alias("type"), F.when(k % 3 != 2, F.col("text")).alias("text"), F.when(k % 4 != 0, (k % 4).cast("int")).alias("page_num")))
+    tables = F.when(k % 3 == 1, F.array(F.struct(F.lit("t1").alias("table_id"), F.lit(2).alias("n_rows"), F.lit(2).alias("n_cols"), F.array(F.array(F.lit("A"), F.lit(" B ")), F.array(F.lit("1"), F.lit("2"))).alias("rows"))))
+    chunk = F.struct(F.lit("c1").alias("chunk_id"), F.when(k % 5 != 0, "s2").alias("section_id"), F.array(F.lit("b1"), F.lit(" ")).alias("block_ids"), F.lit(0).alias("order"), F.col("text").alias("text"))
+    whole = F.to_json(
+        F.struct(
+            F.struct(k.cast("string").alias("document_id"), F.col("source").alias("title")).alias("metadata"), F.struct(F.concat("source", F.lit(".pdf")).alias("filename"), F.lit(".pdf").alias("extension")).alias("source"),
+            F.when(k % 11 != 0, sections).alias("sections"), F.when(k % 13 != 0, blocks).alias("blocks"), tables.alias("tables"), F.when(k % 17 != 0, F.array(chunk)).alias("chunks"),
+        )
+    )
+    return processed.typed(_docs(spark, d).select("doc_id", F.when(k % 7 == 0, F.lit("[1, 2]")).otherwise(whole).alias("json")))
+
+
+@query
+def src13_typed_documents(spark, d):
+    p = _processed(spark, d)
+    return p.select("doc_id", "is_object", F.col("metadata.document_id").alias("document_id"), *[F.size(c).alias(f"n_{c}") for c in processed.LISTS], F.get("blocks", F.lit(0))["page_num"].alias("page"))
+
+
+@query
+def aud01_chunk_records(spark, d):
+    r = export.chunk_records(_processed(spark, d).where("is_object"))
+    return r.select(
+        "document_id", "content_type", "source_type", "section_title", F.array_join("section_path", ">").alias("path"), "page_start", "page_end", "table_id", "table_title", F.array_join("table_headers", ",").alias("headers"),
+        "row_count", "location_label", F.array_join("quality_flags", ",").alias("flags"), F.size("handoff_notes").alias("notes"), F.length("text_preview").alias("preview"),
+    )
+
+
+@query
+def prd04_ocr_candidates(spark, d):
+    c = processed.ocr_candidates(_processed(spark, d).where("is_object"))
+    return c.withColumn("signals", F.array_join("signals", ","))
+
+
+@query
+def agg14_ocr_summary(spark, d):
+    t = R.table(spark, d, "conversations")
+    status = F.when(F.col("turn") % 5 == 0, "empty").when(F.col("turn") % 5 == 1, "unsupported").when(F.col("turn") % 5 == 2, "engine_failed").otherwise("success")
+    return processed.ocr_summary(t.select(status.alias("status"), "text"))
+
+
 # --- matching and evaluation -------------------------------------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import quality as Q
 from docloom.functions.vocabulary import KNOWN_IMAGE_SUFFIXES, SUPPORTED_SUFFIXES
 
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1251", "cp866")
@@ -179,15 +180,21 @@ def read_pdf(content: bytes) -> Extracted:
     except ImportError:
         raise SourceError("missing_dependency", "pdfplumber is not installed") from None
     blocks: list[dict] = []
+    warnings: list[str] = []
     with pdfplumber.open(io.BytesIO(content)) as pdf:
         for n, page in enumerate(pdf.pages, 1):
             blocks += [block("paragraph", p.strip(), n) for p in (page.extract_text() or "").split("\n\n") if p.strip()]
-            for rows in page.extract_tables():
+            try:
+                tables = page.extract_tables() or []
+            except Exception:  # a page's tables may be beyond the library; its text is not
+                tables = []
+                warnings.append(f"Table extraction failed on page {n}.")
+            for rows in tables:
                 rows = [[(c or "").strip() for c in r] for r in rows]
                 if any(any(r) for r in rows):
                     blocks.append(block("table", None, n, rows))
             blocks += [block("image", None, n) for _ in page.images]
-        return blocks, len(pdf.pages), None, []
+        return blocks, len(pdf.pages), None, warnings
 
 
 def read_xls(content: bytes) -> Extracted:
@@ -241,4 +248,27 @@ def extract(files: DataFrame, readers: dict | None = None) -> DataFrame:
             out["page_count"] = out["page_count"].astype("Int32")
             yield out
 
-    return files.select(F.sha2("content", 256).alias("document_id"), "path", "content").mapInPandas(run, SCHEMA)
+    return gated(files.select(F.sha2("content", 256).alias("document_id"), "path", "content").mapInPandas(run, SCHEMA))
+
+
+def gated(found: DataFrame) -> DataFrame:
+    """Extracted files with the quality gates applied: RTF texts that are noise lose their blocks, PDF paragraphs of glyph numbers
+    go; both leave a warning, and so does a PDF without any text."""
+    rtf, pdf = F.col("extractor") == "rtf", F.col("extractor") == "pdf"
+    text = F.array_join(F.transform("raw_blocks", lambda b: F.coalesce(b["text"], F.lit(""))), "\n\n")
+    noise = Q.rtf_issue(Q.rtf_metrics(F.col("_text")))
+    out = found.withColumn("_text", F.when(rtf, text)).withColumn("_noise", F.when(rtf & (F.col("_text") != ""), noise))
+    bad = F.filter("raw_blocks", lambda b: (b["kind"] == "paragraph") & Q.cid_issue(b["text"])[1].isNotNull())
+    out = out.withColumn("_bad", F.when(pdf, bad))
+    out = out.withColumn(
+        "raw_blocks",
+        F.when(F.col("_noise").isNotNull(), F.slice("raw_blocks", 1, 0)).when(pdf, F.filter("raw_blocks", lambda b: (b["kind"] != "paragraph") | Q.cid_issue(b["text"])[1].isNull())).otherwise(F.col("raw_blocks")),
+    )
+    lost = F.transform(F.col("_bad"), lambda b: F.concat(F.lit("PDF text fragment skipped: "), Q.cid_issue(b["text"])[1]))
+    bare = pdf & F.col("error_code").isNull() & ~F.exists("raw_blocks", lambda b: b["kind"] == "paragraph")
+    none = F.array().cast("array<string>")
+    warnings = F.concat(
+        F.coalesce("warnings", none), F.when(F.col("_noise").isNotNull(), F.array(F.concat(F.lit("RTF text skipped: "), "_noise"))).otherwise(none), F.coalesce(lost, none),
+        F.when(bare, F.array(F.lit("PDF text extraction produced empty text; OCR may be required."))).otherwise(none),
+    )
+    return out.withColumn("warnings", warnings).drop("_text", "_noise", "_bad")

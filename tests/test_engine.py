@@ -136,7 +136,7 @@ def test_match_tiers(spark):
     asked = ["Report 2024.PDF", "Проект - ПДВ", "Инвентаризация Эко Агро", "Агро по Эко Инвентаризация", "nothing here", "same", ""]
     got = {r.expected: (r.status, r.method) for r in matching.match_files(spark.createDataFrame([(a,) for a in asked], "expected string"), f).collect()}
     assert got["Report 2024.PDF"] == ("matched", "exact_filename") and got["Проект - ПДВ"] == ("matched", "normalized_filename_or_stem")
-    assert got["Инвентаризация Эко Агро"] == ("matched", "containment") and got["same"] == ("ambiguous", "normalized_filename_or_stem")
+    assert got["Инвентаризация Эко Агро"] == ("matched", "bounded_contains") and got["same"] == ("ambiguous", "normalized_filename_or_stem")
     assert got["nothing here"][0] == got[""][0] == "missing"
 
 
@@ -154,10 +154,42 @@ def test_stream_replaces_entries_of_a_source(spark, tmp_path):
     changed = (*ROWS[1][:-1], "replaced text of this source", 2)
     spark.createDataFrame([changed], schema).write.mode("append").parquet(src)
     run()
-    got = {r.checksum: r.text for r in spark.read.parquet(index).collect()}
+    got = {r.checksum: r.text for r in ingest.read_index(spark, index).collect()}
     assert len(got) == 3 and got["c1"] == "replaced text of this source" and got["c0"] == ROWS[0][-1]
 
 
+def test_a_failed_upsert_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    schema, index = CHUNKS + ", version long", str(tmp_path / "index")
+    assert ingest.read_index(spark, index) is None
+    ingest.upsert(spark.createDataFrame([(*r, 1) for r in ROWS[:3]], schema), index)
+    before = sorted(r.text for r in ingest.read_index(spark, index).collect())
+    monkeypatch.setattr(ingest, "_replace_current", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        ingest.upsert(spark.createDataFrame([(*ROWS[0][:-1], "half written", 2)], schema), index)
+    assert sorted(r.text for r in ingest.read_index(spark, index).collect()) == before
+
+
+def test_mixed_chunks_are_text_and_table_chunks_are_tables():
+    d = structure.build_document([raw("paragraph", "Text before the table.", 1), raw("table", "A caption", 1, [["A", "B"], ["1", "2"]])])
+    assert [c["content_type"] for c in d["chunks"]] == ["text", "table_row"]
+    d = structure.build_document([raw("table", "A caption", 1, [["A", "B"], ["1", "2"]])])
+    assert [c["content_type"] for c in d["chunks"]] == ["table", "table_row"] and d["chunks"][0]["table_id"] == "tbl-1"
+
+
+def test_parts_of_long_blocks():
+    s = ["Word " * 30 + "end.", "Second one.", "x" * 700 + ".", "Tail of it."]
+    text = " ".join(s)
+    assert structure.parts_of("short") == ["short"] and structure.parts_of("y" * 400) == ["y" * 320, "y" * 80]
+    assert structure.parts_of(text) == [" ".join(s[:2]), "x" * 320, "x" * 320, "x" * 60 + ".", "Tail of it."]
+
+
+def test_section_paths_of_deep_trees_and_cycles(spark):
+    rows = [("d", f"s{i}", f"s{i - 1}" if i else None, f"t{i}") for i in range(23)] + [("c", "a", "b", "A"), ("c", "b", "a", "B"), ("c", "x", "a", "X"), ("c", "me", "me", "M"), ("e", "o", "gone", "O")]
+    got = {(r.document_id, r.section_id): r.path for r in structure.section_paths(spark.createDataFrame(rows, "document_id string, section_id string, parent_id string, title string")).collect()}
+    assert got["d", "s22"] == [f"t{i}" for i in range(23)] and got["d", "s0"] == ["t0"]
+    assert got["c", "a"] == ["B", "A"] and got["c", "x"] == ["B", "A", "X"] and got["c", "me"] == ["M"] and got["e", "o"] == ["O"]
+
+
 def test_registry_has_sql_for_known_queries():
     import __spark_entry__ as e
 
