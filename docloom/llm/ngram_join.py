@@ -45,7 +45,7 @@ COMMON_DEVIATIONS = 6.0
 #: Members from which a region is cut into cells, members of a cell that are compared with each other, pivots of a cut, and
 #: members of a region that is cut into bands of sizes, and of a tile: a band that no task should hold at once is dealt out in
 #: pairs of blocks.
-CROWDED, LEAF, PIVOTS, BANDED, TILE = 24, 64, 12, 256, 2_048
+CROWDED, LEAF, PIVOTS, BANDED, TILE = 24, 64, 12, 256, 512
 #: Rows of a shingle that many documents share are joined under so many salts.
 SALTS = 32
 MAX_BROADCAST_IDS = 1_000_000
