@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,7 +168,7 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.cumsum([len(m) for m in batch.column(2)])
+            size = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False))
             cuts = [0, *np.flatnonzero(np.diff(size // GROUP_BYTES)) + 1, batch.num_rows] if batch.num_rows else [0]
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 part = batch.slice(a, z - a)

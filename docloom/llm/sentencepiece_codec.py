@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -332,7 +333,7 @@ def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model_path)
         for batch in batches:
-            size = np.cumsum([len(t) for t in batch.column(1).fill_null("").cast(pa.binary())]) if batch.num_rows else np.empty(0, np.int64)
+            size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
             cuts = [0, *np.flatnonzero(np.diff(size // GROUP_CHARS)) + 1, batch.num_rows] if batch.num_rows else [0]
             for at, stop in zip(cuts[:-1], cuts[1:], strict=True):
                 part = batch.slice(at, stop - at)

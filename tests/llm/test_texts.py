@@ -77,7 +77,7 @@ def test_labels_that_conflict_repeat_or_lack_an_id(spark):
     a = fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     b = fit(docs.repartition(3), spark.createDataFrame(labels[::-1], "doc_id long, toxic int"))
     assert a.weights == b.weights and "scum " in a.weights and a.coefficients == pytest.approx(b.coefficients)
-    assert a.score("scum of the earth")[1] >= 0.5 > a.score("a fine day")[1]
+    assert a.score("you are scum number1")[1] >= 0.5 > a.score("a fine day")[1]
 
 
 def test_collect_equals_a_plain_search():
