@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions.vocabulary import Rules
-from docloom.operators import audit, evidence, search, structure
-from docloom.sources import files
+from docloom.operators import audit, evidence, export, search, structure
+from docloom.sources import files, processed
+
+#: Fields of a processed chunk that chunks of this engine leave to be worked out.
+UNSAID = {
+    "document_id": "string", "table_title": "string", "table_headers": "array<string>", "table_column_values": "map<string,string>", "table_context": "string", "row_count": "int",
+    "column_count": "int", "source_filename": "string", "source_type": "string",
+}
 
 
 class Engine:
@@ -54,7 +60,53 @@ class Engine:
         return found
 
     def document(self, document_id: str) -> DataFrame:
-        return self.documents().where(F.col("document_id") == document_id)
+        """One document, nested; an unknown id is a ``KeyError``."""
+        found = self.documents().where(F.col("document_id") == document_id)
+        if found.isEmpty():
+            raise KeyError(f"no document {document_id}")
+        return found
+
+    def list_documents(self, limit: int = 50, after: str | None = None) -> DataFrame:
+        """A page of documents by id: those after ``after``, with their counts."""
+        if not 1 <= limit <= 1000:
+            raise ValueError("limit is 1 to 1000")
+        d = self.documents().where(F.col("document_id") > after) if after else self.documents()
+        counts = [F.size(c).alias(f"n_{c}") for c in ("sections", "blocks", "tables", "images", "chunks")]
+        return d.select("document_id", "filename", "title", "page_count", "encoding", *counts).orderBy("document_id").limit(limit)
+
+    def processed(self) -> DataFrame:
+        """Documents in the shape of processed JSON (``sources.processed``)."""
+        null = lambda t: F.lit(None).cast(t)
+        blocks = F.transform(
+            "blocks",
+            lambda b: F.struct(
+                b["block_id"].alias("block_id"), b["type"].alias("type"), b["text"].alias("text"), b["section_id"].alias("section_id"), b["page_num"].alias("page_num"), null("int").alias("page_start"),
+                null("int").alias("page_end"), F.when(b["type"] == "table", b["ref"]).alias("table_id"),
+                F.struct(null("string").alias("table_id"), null("string").alias("sheet_name"), null("int").alias("page_num"), null("int").alias("page_start"), null("int").alias("page_end")).alias("metadata"),
+            ),
+        )
+        chunks = F.transform(
+            "chunks",
+            lambda c: F.struct(
+                *[c[f].alias(f) for f in ("chunk_id", "section_id", "section_title", "section_path", "block_ids", "text", "page_start", "page_end", "content_type", "table_id", "table_row_index")],
+                c["chunk_order"].alias("order"), *[null(t).alias(f) for f, t in UNSAID.items()],
+            ),
+        )
+        extension = F.lower(F.regexp_extract("filename", r"(\.[^.]+)$", 1))
+        chars = F.aggregate("blocks", F.lit(0).cast("bigint"), lambda n, b: n + F.length(F.coalesce(b["text"], F.lit(""))))
+        return self.documents().select(
+            F.struct("document_id", "title", null("string").alias("language")).alias("metadata"),
+            F.struct("filename", extension.alias("extension"), F.col("document_id").alias("checksum_sha256"), null("bigint").alias("size_bytes")).alias("source"),
+            F.struct(chars.alias("text_char_count"), null("boolean").alias("ocr_candidate"), null("string").alias("ocr_candidate_reason"), "warnings", "encoding", extension.alias("extractor"), "page_count").alias("processing_info"),
+            "sections", blocks.alias("blocks"), "tables", chunks.alias("chunks"),
+        )
+
+    def chunk_records(self, max_chunks: int | None = None, include_text: bool = False) -> DataFrame:
+        """Hand-off records of all chunks."""
+        return export.chunk_records(self.processed(), max_chunks, include_text)
+
+    def ocr_candidates(self) -> DataFrame:
+        return processed.ocr_candidates(self.processed())
 
     def chunks(self) -> DataFrame:
         """Chunks with their place in the corpus, ``entry_ord``: by ingest, file name, document and order in the document."""

@@ -214,3 +214,13 @@ def test_engine_end_to_end(spark, tmp_path):
     assert {r.category for r in e.requirements().collect()} == {"obligation"}
     assert e.table_evidence().count() == 0 and e.snapshot().first().documents == 2
     assert e.splitter_audit().first().documents == 2 and e.chunk_audit().count() >= 2 and e.manifest().count() == 2
+    assert [r.filename for r in e.list_documents().orderBy("filename").collect()] == ["a.txt", "b.txt"] and e.list_documents(1).count() == 1
+    first = e.list_documents(1).first().document_id
+    assert e.list_documents(5, first).count() == 1 and e.document(first).count() == 1
+    with pytest.raises(KeyError):
+        e.document("none")
+    records = {r.filename: r for r in e.chunk_records().collect()}
+    assert records["a.txt"].section_path == ["Document", "1. Нормы"] and records["a.txt"].content_type == "text" and records["a.txt"].source_type == "txt"
+    assert not any(r.ocr_candidate for r in e.ocr_candidates().collect())
+    places = [r.entry_ord for r in e.chunks().orderBy("entry_ord").collect()]
+    assert len(set(places)) == len(places) and {r.source_id[:3] for r in e.requirements().collect()} <= {"blk", "chk", "tbl"}
