@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ def share(text: Column, pattern: str) -> Column:
     return F.round(F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1)), 3)
 
 
-def rtf_metrics(text: Column) -> dict[str, Column]:
-    clean = normalize_lines(F.coalesce(text, F.lit("")))
+def rtf_metrics(text: Column, normalized: bool = False) -> dict[str, Column]:
+    """Measures of a text; seven expressions read it, so a caller with a normalised column at hand says so."""
+    clean = text if normalized else normalize_lines(F.coalesce(text, F.lit("")))
     tokens = F.regexp_extract_all(clean, F.lit(f"({TOKEN})"), F.lit(1))
     words = F.filter(tokens, lambda t: (F.length(t) >= 2) & t.rlike(r"\p{L}"))
     return {
@@ -86,10 +89,10 @@ def heading_level(text: Column) -> Column:
     return F.when(mark != "", F.least(F.length(F.regexp_replace(mark, r"[^.]", "")) + 1, F.lit(6))).otherwise(1)
 
 
-def is_table_like(text: Column) -> Column:
-    low = F.lower(squeeze(text))
+def is_table_like(text: Column, squeezed: bool = False) -> Column:
+    low = F.lower(text if squeezed else squeeze(text))
     shape = low.rlike(r"\|.+\||;.*;|(?:^|[^\p{L}\p{N}_])(?:row|column) +\d+(?:[^\p{L}\p{N}_]|$)")
-    return (low != "") & (shape | F.exists(F.array(*[F.lit(t) for t in TABLE_LIKE_TERMS]), lambda t: F.contains(low, t)))
+    return (low != "") & (shape | reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in TABLE_LIKE_TERMS]))
 
 
 def ocr_issue(text: Column) -> Column:

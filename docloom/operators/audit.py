@@ -32,12 +32,13 @@ def _any(text: Column, terms: tuple[str, ...]) -> Column:
 
 def quality_flags(chunks: DataFrame) -> DataFrame:
     """Chunks with ``quality_flags`` (sorted) and ``handoff_notes``; needs text, section_id, page_start, content_type, table_id."""
-    flat = T.squeeze(F.col("text"))
+    staged = chunks.withColumn("_flat", T.squeeze(F.col("text")))  # a column of its own: what is used twice is worked out once
+    flat = F.col("_flat")
     flags = F.array_sort(
         F.array_compact(
             F.array(
                 F.when(flat == "", "empty_or_whitespace_text").when(F.length(flat) < SHORT, "short_chunk"), F.when(F.col("section_id").isNull(), "missing_section"),
-                F.when(F.col("page_start").isNull(), "missing_page"), F.when(Q.is_table_like(F.col("text")), "table_like_text"),
+                F.when(F.col("page_start").isNull(), "missing_page"), F.when(Q.is_table_like(flat, squeezed=True), "table_like_text"),
                 F.when(F.col("content_type") == "unknown", "unknown_content_type"), F.when(F.col("content_type") == "image", "image_or_ocr_limited"),
             )
         )
@@ -53,27 +54,29 @@ def quality_flags(chunks: DataFrame) -> DataFrame:
             F.when(F.col("content_type") == "unknown", "content type could not be classified from current metadata"),
         )
     )
-    return chunks.withColumn("quality_flags", flags).withColumn("handoff_notes", notes)
+    return staged.withColumn("quality_flags", flags).withColumn("handoff_notes", notes).drop("_flat")
 
 
 def issue_codes(chunks: DataFrame, short: int = SHORT, long: int = LONG) -> DataFrame:
     """Flagged chunks with ``issues``, in order of ISSUES. Repeats are counted by text digest, not by text."""
     if not 0 <= short <= long:
         raise ValueError("thresholds are 0 or more and in order")
-    flat = T.squeeze(F.col("text"))
-    own = F.sha2(flat.cast("binary"), 256)
-    repeated = chunks.select(own.alias("digest")).groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
-    c = chunks.withColumn("digest", own).join(repeated, "digest", "left")
-    n, words = F.length(flat), F.regexp_count(flat, F.lit("[^ ]+"))
+    flat = F.col("_flat")
+    c = chunks.withColumn("_flat", T.squeeze(F.col("text")))
+    measured = {"digest": F.sha2(flat.cast("binary"), 256), "_n": F.length(flat), "_words": F.regexp_count(flat, F.lit("[^ ]+")), "_colon": flat.endswith(":")}
+    c = c.withColumns(measured).drop("_flat")
+    repeated = c.select("digest").groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
+    c = c.join(repeated, "digest", "left")
+    n, words = F.col("_n"), F.col("_words")
     rich = F.col("content_type").isin("table", "table_row") & F.col("table_id").isNotNull()
     has = lambda f: F.array_contains("quality_flags", f)
-    low = (n > 0) & ((F.col("content_type") == "heading") | ((n <= short) & (words <= 6)) | ((words <= 8) & flat.endswith(":")))
+    low = (n > 0) & ((F.col("content_type") == "heading") | ((n <= short) & (words <= 6)) | ((words <= 8) & F.col("_colon")))
     tests = [
         n == 0, (n > 0) & (n < short), n > long, has("missing_section") | F.col("section_id").isNull(), has("missing_page") | F.col("page_start").isNull(),
         has("table_like_text") & ~rich, has("unknown_content_type") | (F.col("content_type") == "unknown"), low, F.col("copies").isNotNull() & (n > 0),
         has("image_or_ocr_limited"),
     ]
-    return c.withColumn("issues", F.array_compact(F.array(*[F.when(t, i) for t, i in zip(tests, ISSUES, strict=True)]))).drop("digest", "copies")
+    return c.withColumn("issues", F.array_compact(F.array(*[F.when(t, i) for t, i in zip(tests, ISSUES, strict=True)]))).drop("digest", "copies", "_n", "_words", "_colon")
 
 
 def issue_counts(issued: DataFrame) -> DataFrame:

@@ -137,8 +137,9 @@ def str20_table_questions(spark, d):
 
 @query
 def prd01_rtf_quality(spark, d):
-    m = Q.rtf_metrics(F.col("text"))
-    return _docs(spark, d).select("doc_id", *[v.alias(k) for k, v in m.items()], Q.rtf_issue(m).alias("issue"))
+    m = Q.rtf_metrics(F.col("clean"), normalized=True)
+    measured = _docs(spark, d).select("doc_id", T.normalize_lines(F.coalesce("text", F.lit(""))).alias("clean")).select("doc_id", *[v.alias(k) for k, v in m.items()])
+    return measured.withColumn("issue", Q.rtf_issue({k: F.col(k) for k in m}))
 
 
 @query
