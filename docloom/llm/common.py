@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 #: White space of the word contract: space, tab, LF, VT, FF, CR. Words are the runs between them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Spark setting by which a query's shuffle files go when it ends.
-CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark settings of a write that cuts a plan: shuffle files go when it ends, and Python workers see batches of few rows, so that
+#: long texts don't add up.
+CUT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 #: Materialized tables that have not been deleted.
 _LIVE: set[str] = set()
 
@@ -46,12 +48,14 @@ def materialize(df: DataFrame, label: str, options: dict[str, str] | None = None
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(CLEAN_SHUFFLES, "false")
-    spark.conf.set(CLEAN_SHUFFLES, "true")
+    before = {k: spark.conf.get(k) for k in CUT}
+    for k, v in CUT.items():
+        spark.conf.set(k, v)
     try:
         df.write.options(**({"compression": "zstd"} | (options or {}))).parquet(path)
     finally:
-        spark.conf.set(CLEAN_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _LIVE.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -80,6 +84,30 @@ def release_unread(docs: DataFrame) -> None:
             _delete(docs.sparkSession, path)
 
 
+def give_back() -> None:
+    """Hand memory that is free in this Python worker back to the system: workers outlive their tasks and share an executor's limit."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run):
+    """A batch function that gives memory back when its partition is done."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def text_or_empty(df: DataFrame, col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

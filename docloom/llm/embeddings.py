@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release
+from .common import materialize, release, tidied
 from .components import connected_components
 from .grouping import group_starts, local_roots, whole_groups
 
@@ -171,7 +171,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, probes: int = 2
     dim = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
     hashes, tables = layout(n, dim, bucket_rows)
     schema = f"rep long, label long, copies long, embedding {kind}, codes array<int>"
-    hashed = classes.select("rep", "label", "copies", "embedding").mapInPandas(_hash_rows(tables, hashes, probes), schema)
+    hashed = classes.select("rep", "label", "copies", "embedding").mapInPandas(tidied(_hash_rows(tables, hashes, probes)), schema)
     hashed = materialize(hashed.withColumn("dim", F.size("embedding")), "vector-codes")
 
     spread = hashed.select("rep", "label", "dim", F.explode(F.array_distinct("codes")).alias("code"))
@@ -185,7 +185,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, probes: int = 2
     width = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = [*bucket, "i", "j"]
     dealt = tiles.repartition(width, *key).sortWithinPartitions(*key)
-    found = materialize(dealt.mapInPandas(_tiles(threshold), "rep long, links long, root long"), "vector-links")
+    found = materialize(dealt.mapInPandas(tidied(_tiles(threshold)), "rep long, links long, root long"), "vector-links")
     release(hashed, sizes)
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 LONG, SHORT = 200, 70
 STOP_HIGH, STOP_LOW, LINKS_HIGH = 0.30, 0.15, 0.33
 
@@ -287,4 +289,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield out.assign(text=text, n_chars=[len(t) for t in text])
 
     picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return picked.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return picked.mapInPandas(tidied(run), "page_id long, url string, text string, n_chars long")

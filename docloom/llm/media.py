@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidied
 
 UNIT = 576
 RATE = 8000
@@ -151,7 +151,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_media(docs: DataFrame) -> DataFrame:
     """The media table, written and read back: doc_id, n_bytes (of the text) and ``media``, the bytes of a WAV file."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(picked.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media", WRITER)
+    return materialize(picked.mapInArrow(tidied(_store), "doc_id long, n_bytes long, media binary"), "media", WRITER)
 
 
 def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
@@ -178,4 +178,4 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
 
     schema = SCHEMA + (", media binary" if keep_media else "")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return store_media(docs).mapInArrow(run, schema)
+    return store_media(docs).mapInArrow(tidied(run), schema)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize, release
+from .common import WORD_PATTERN, materialize, release, tidied
 from .ngram_join import MAX_BROADCAST_IDS
 
 PHI = (math.sqrt(5) - 1) / 2
@@ -146,7 +146,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 8, weights: tuple[int,
     shares = np.cumsum(info.orderBy("sid").select("target").toArrow()["target"].to_numpy())  # eight bytes a source
     n_chunks = -(-n_slots // CHUNK_SLOTS)
     chunks = spark.range(0, n_chunks, 1, min(n_chunks, max(64, n_chunks // 8)))
-    slots = chunks.mapInPandas(_slots(shares / shares[-1], n_slots, CHUNK_SLOTS), "chunk long, sid int, local long")
+    slots = chunks.mapInPandas(tidied(_slots(shares / shares[-1], n_slots, CHUNK_SLOTS)), "chunk long, sid int, local long")
     counts = materialize(slots.groupBy("chunk", "sid").agg(F.count("*").alias("n")), "mix-counts")
     earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("chunk", "sid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release
+from .common import materialize, release, tidied
 from .components import connected_components
 from .grouping import group_starts, whole_groups
 
@@ -110,7 +110,7 @@ def common_levels(docs: DataFrame) -> np.ndarray:
 
     A table of fixed size: ``2 ** SKETCH_BITS`` bytes on the driver and the executors, whatever the corpus.
     """
-    partial = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sketch, "row int, counts binary")
+    partial = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidied(_sketch), "row int, counts binary")
     rows = partial.groupBy("row").applyInPandas(_sum_sketch, "row int, counts binary").collect()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows:
@@ -259,10 +259,10 @@ class SetJoin:
         texts = self.docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
         small = ids.count() <= MAX_BROADCAST_IDS
         named = texts.join(F.broadcast(ids) if small else ids, "rep")
-        packed = materialize(named.mapInArrow(_packed, "rep long, packed binary"), f"{label}-texts", {"compression": "uncompressed"})
+        packed = materialize(named.mapInArrow(tidied(_packed), "rep long, packed binary"), f"{label}-texts", {"compression": "uncompressed"})
         one = pairs.join(packed.select(F.col("rep").alias("b"), F.col("packed").alias("packed_b")), "b")
         both = one.join(packed.select(F.col("rep").alias("a"), F.col("packed").alias("packed_a")), "a")
-        done = both.select("a", "b", "packed_a", "packed_b").mapInPandas(_compare, "a long, b long, inter long, na long, nb long")
+        done = both.select("a", "b", "packed_a", "packed_b").mapInPandas(tidied(_compare), "a long, b long, inter long, na long, nb long")
         done = materialize(done.where("100 * inter >= 80 * (na + nb - inter)").select("a", "b"), f"{label}-links")
         release(ids, packed)
         return done
@@ -273,7 +273,7 @@ class SetJoin:
         one = pairs.hint("merge").join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
         two = one.hint("merge").join(reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
         two = two.where("100 * least(na, nb) >= 80 * greatest(na, nb)")
-        return two.mapInPandas(_near, "a long, b long")
+        return two.mapInPandas(tidied(_near), "a long, b long")
 
 
 class Cells:
@@ -423,7 +423,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     join = SetJoin(docs)
     levels = spark.sparkContext.broadcast(common_levels(docs))  # 2 ** SKETCH_BITS bytes
     signed = materialize(
-        docs.mapInArrow(_signatures(levels), "doc_id long, n long, key binary, bits binary, prefix array<long>, common array<boolean>"), "sets"
+        docs.mapInArrow(tidied(_signatures(levels)), "doc_id long, n long, key binary, bits binary, prefix array<long>, common array<boolean>"), "sets"
     )
     filled = signed.where("doc_id is not null and n > 0").select("doc_id", "key")
     # a repeated id may stand for several sets: the join works on ids only where each is one row
@@ -441,7 +441,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spread = F.when(F.col("p.common"), 1 + F.pmod(F.xxhash64("rep"), F.lit(1024))).otherwise(0).cast("int")
     rows = rows.select(F.col("p.prefix").alias("token"), spread.alias("part"), "rep", "n").repartition(join.width, "token", "part")
     region = "token long, part int, rep long, n long, members long, lead long, lead_n long"
-    regions = materialize(rows.sortWithinPartitions("token", "part").mapInPandas(_shared, region), "regions")
+    regions = materialize(rows.sortWithinPartitions("token", "part").mapInPandas(tidied(_shared), region), "regions")
     slim = materialize(reps.select("rep", "n", "bits"), "bitmaps")
     ids = materialize(signed.select("doc_id", "n", "key"), "set-keys")
     release(signed, copies)
@@ -465,13 +465,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         return rows.join(side, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
     open_ = with_components(regions.where("part = 0 and members > 2").select("token", "rep", "n"), found)
-    open_ = open_.repartition(join.width, "token").sortWithinPartitions("token").mapInPandas(_open_regions, "region long, rep long, members long")
+    open_ = open_.repartition(join.width, "token").sortWithinPartitions("token").mapInPandas(tidied(_open_regions), "region long, rep long, members long")
     open_ = open_.distinct().unionByName(wide.where("members > 2").select(F.col("token").alias("region"), "rep", "members"))
     tiles = materialize(_banded(open_.hint("merge").join(slim, "rep")), "open-regions")
     for pivots_only in (True, False):
         some = tiles.where(f"members > {CROWDED}") if pivots_only else tiles
         dealt = with_components(some, found).repartition(join.width, "region", "band", "i", "j").sortWithinPartitions("region", "band", "i", "j")
-        pairs = materialize(dealt.mapInPandas(_pairs_in_cells(pivots_only), "a long, b long").distinct(), "cell-pairs")
+        pairs = materialize(dealt.mapInPandas(tidied(_pairs_in_cells(pivots_only)), "a long, b long").distinct(), "cell-pairs")
         links.append(join.verify(pairs, "cells"))
         release(pairs)
         if pivots_only:

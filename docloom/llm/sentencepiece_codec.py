@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 SPACE = "▁"
 #: Characters of stretches, and pairs of pieces, that a Python worker remembers (each memory has a young and an old half: what
 #: is met again moves to the young one, and the old one goes when that is full), and characters indexed together.
@@ -355,4 +357,4 @@ def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_
     schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
     schema += ", ids array<int>" * keep_ids + ", decoded string" * keep_text
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), schema)

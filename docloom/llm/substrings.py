@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, tidied
 from .grouping import group_starts, whole_groups
 from .ngram_join import MAX_BROADCAST_IDS, SKETCH_BITS, SKETCH_ROW_BITS, _scramble, _sum_sketch
 
@@ -97,7 +97,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gram_counts(docs: DataFrame) -> np.ndarray:
     """Counters of a sketch of fixed size: an upper bound of how often a gram occurs, the same for all its occurrences."""
-    rows = docs.select("text").mapInArrow(_sketch, "row int, counts binary").groupBy("row").applyInPandas(_sum_sketch, "row int, counts binary").collect()
+    rows = docs.select("text").mapInArrow(tidied(_sketch), "row int, counts binary").groupBy("row").applyInPandas(_sum_sketch, "row int, counts binary").collect()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows:
         at = r["row"] << SKETCH_ROW_BITS
@@ -349,14 +349,14 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     single = docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
 
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(single))  # 4 * 2 ** SKETCH_BITS bytes
-    grams = single.mapInArrow(_grams(counts), "gram long, part int, doc_id long, start long, span int, subs int")
+    grams = single.mapInArrow(tidied(_grams(counts)), "gram long, part int, doc_id long, start long, span int, subs int")
     grams = grams.repartition(width, "gram", "part").sortWithinPartitions("gram", "part")
-    repeated = materialize(grams.mapInPandas(_repeated, "gram long, doc_id long, start long, span int, subs int"), "repeated-grams")
+    repeated = materialize(grams.mapInPandas(tidied(_repeated), "gram long, doc_id long, start long, span int, subs int"), "repeated-grams")
     by_doc = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "start", "span", "subs")).alias("grams"))
     held = single.hint("merge").join(by_doc, "doc_id").select("doc_id", "text", "grams")
-    contexts = held.mapInArrow(_contexts, "gram long, sub int, subs int, doc_id long, first long, anchor int, context binary")
+    contexts = held.mapInArrow(tidied(_contexts), "gram long, sub int, subs int, doc_id long, first long, anchor int, context binary")
     contexts = contexts.repartition(width, "gram", "sub")
-    sorted_ = contexts.sortWithinPartitions("gram", "sub").mapInPandas(_sort_blocks, "doc_id long, start long, n long, digest binary")
+    sorted_ = contexts.sortWithinPartitions("gram", "sub").mapInPandas(tidied(_sort_blocks), "doc_id long, start long, n long, digest binary")
     sorted_ = materialize(sorted_, "sorted-blocks")
     release(repeated)
 
@@ -368,7 +368,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     release(sorted_)
     few = by_doc.agg(F.sum(F.size("runs") + 2)).first()[0] or 0
     cut = docs.join(F.broadcast(by_doc) if few <= MAX_BROADCAST_IDS else by_doc, "doc_id").select("doc_id", "text", "runs")
-    cut = cut.mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = cut.mapInArrow(tidied(_cut), "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not keep_bytes:
         cut = cut.drop("kept")
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidied
 
 END_ID = 1
 END_BYTES = END_ID.to_bytes(4, "little")
@@ -156,7 +156,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, label: str = "tokens") ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
     ordered = texts.repartitionByRange(width, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
-    return materialize(ordered.mapInArrow(_encode(tokenizer_path), "doc_id long, n_tokens int, ids array<int>, part int, row long"), label, WRITER)
+    return materialize(ordered.mapInArrow(tidied(_encode(tokenizer_path)), "doc_id long, n_tokens int, ids array<int>, part int, row long"), label, WRITER)
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -191,7 +191,7 @@ def digests_of(tokens: DataFrame) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_crc32", "part", "row"],
             )
 
-    done = tokens.mapInArrow(digest, "doc_id long, n_tokens int, ids_crc32 long, part int, row long")
+    done = tokens.mapInArrow(tidied(digest), "doc_id long, n_tokens int, ids_crc32 long, part int, row long")
     inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = done.join(F.broadcast(base), "part").withColumn("start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)) + F.col("base"))
     return placed.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize
+from .common import give_back, held_out, materialize, tidied
 
 #: Bounds of the fitting sample: labelled rows of each kind, in expectation.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 10_000
@@ -207,10 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     if not n.get(1):
         return Lexicon({})
     least = max(MIN_DOCS, math.ceil(MIN_SHARE * n[1]))
-    in_toxic = sample.where("y = 1").select("text").mapInPandas(_count_terms(None), "term string, n long")
+    in_toxic = sample.where("y = 1").select("text").mapInPandas(tidied(_count_terms(None)), "term string, n long")
     toxic = {r["term"]: r["n"] for r in in_toxic.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
     known = frozenset(toxic)
-    in_clean = sample.where("y = 0").select("text").mapInPandas(_count_terms(known), "term string, n long")
+    in_clean = sample.where("y = 0").select("text").mapInPandas(tidied(_count_terms(known)), "term string, n long")
     clean = {r["term"]: r["n"] for r in in_clean.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     lexicon = Lexicon(choose_terms(toxic, clean, n[1], n.get(0, 0)))
 
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
             f = [lexicon.features(t) for t in batch["text"]]
             yield pd.DataFrame({"hits": [x[0] for x in f], "total": [x[1] for x in f], "rate": [x[2] for x in f], "y": batch["y"]})
 
-    rows = sample.select("text", "y").mapInPandas(features, "hits long, total double, rate double, y int").collect()
+    rows = sample.select("text", "y").mapInPandas(tidied(features), "hits long, total double, rate double, y int").collect()
     lexicon.coefficients = fit_coefficients(((r["hits"], r["total"], r["rate"]), r["y"]) for r in rows)
     return lexicon
 
@@ -240,6 +240,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def _scorer(lexicon: Lexicon):
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = [lexicon.score(t) for t in texts]
+        give_back()
         return pd.DataFrame({"score": [s for _, s in rows], "n_hits": [h for h, _ in rows]})
 
     return run
