@@ -16,6 +16,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Spark settings of a write that cuts a plan: shuffle files go when it ends, and Python workers see batches of few rows, so that
 #: long texts don't add up.
 CUT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: What modules remember in a Python worker between partitions, by module.
+MEMORIES: dict[str, dict] = {}
 #: Materialized tables that have not been deleted.
 _LIVE: set[str] = set()
 
@@ -98,10 +100,19 @@ def give_back() -> None:
         pass
 
 
+def forget_others(owner: str) -> None:
+    """Empty what modules other than ``owner`` remember in this Python worker: a worker serves one stage after the other."""
+    for name, memory in MEMORIES.items():
+        if name != owner:
+            memory.clear()
+
+
 def tidied(run):
-    """A batch function that gives memory back when its partition is done."""
+    """A batch function that starts without other stages' memories and gives memory back when its partition is done."""
+    owner = run.__module__
 
     def wrapped(batches):
+        forget_others(owner)
         yield from run(batches)
         give_back()
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, shared_dir
+from .common import forget_others, give_back, shared_dir
 
 ROUNDS = 8
 #: Spark setting and environment variable that hold the key, in hexadecimal.
@@ -364,6 +364,7 @@ def pseudonymize(docs: DataFrame, key: bytes, kinds: tuple[str, ...] = KINDS) ->
 
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = [(None, []) if t is None else worker.replace(t) for t in texts]
+        forget_others(__name__)
         give_back()
         return pd.DataFrame({"text": [t for t, _ in rows], "kinds": [k for _, k in rows]})
 

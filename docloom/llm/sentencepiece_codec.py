@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied
+from .common import MEMORIES, tidied
 
 SPACE = "▁"
 #: Characters of stretches, and pairs of pieces, that a Python worker remembers (each memory has a young and an old half: what
@@ -313,6 +313,7 @@ class Codec:
 
 
 _CODECS: dict[str, Codec] = {}
+MEMORIES[__name__] = _CODECS
 
 
 def codec(path: str) -> Codec:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, tidied
+from .common import MEMORIES, materialize, tidied
 
 END_ID = 1
 END_BYTES = END_ID.to_bytes(4, "little")
@@ -119,6 +119,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+MEMORIES[__name__] = _ENCODERS
 
 
 def encoder(path: str) -> WordEncoder:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, held_out, materialize, tidied
+from .common import forget_others, give_back, held_out, materialize, tidied
 
 #: Bounds of the fitting sample: labelled rows of each kind, in expectation.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 10_000
@@ -240,6 +240,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def _scorer(lexicon: Lexicon):
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = [lexicon.score(t) for t in texts]
+        forget_others(__name__)
         give_back()
         return pd.DataFrame({"score": [s for _, s in rows], "n_hits": [h for h, _ in rows]})
 
