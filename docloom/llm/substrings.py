@@ -11,7 +11,8 @@ many times; three facts bound the work.
   time. Equal stretches around a minimizer are settled by their first; what differs is sorted. Suffixes are compared to a depth
   of ``PERIOD`` bytes; longer ties are resolved by the ranks of the block's difference-cover sample, which are computed once
   for the block: of any two suffixes with minimizers at the same residue, a shift below ``PERIOD`` leads to two ranked ones.
-  Memory is that of a block.
+  Memory is that of a block. Text that repeats throughout has several times its bytes in contexts, so they are dealt out in
+  rounds, by gram, and the shuffle files of one round go before the next.
 * Crowded buckets are cut by place into sub-buckets, so that neither a common string nor one long document is a block of its
   own. A string that repeats within its sub-bucket is settled there; the first of each goes on to a second round, dealt out by
   its content.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,8 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 PIECE, SUB_BUCKET, BLOCK_CONTEXTS = 4 << 20, 2_000, 6_000
 #: Occurrences above the median counter from which a gram is dealt out at random.
 CROWD = 2 * SUB_BUCKET
+#: Bytes of a context, about; one round deals out contexts of as many bytes as the documents have.
+CONTEXT_BYTES = 150
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -352,20 +356,18 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     grams = single.mapInArrow(tidied(_grams(counts)), "gram long, part int, doc_id long, start long, span int, subs int")
     grams = grams.repartition(width, "gram", "part").sortWithinPartitions("gram", "part")
     repeated = materialize(grams.mapInPandas(tidied(_repeated), "gram long, doc_id long, start long, span int, subs int"), "repeated-grams")
-    by_doc = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "start", "span", "subs")).alias("grams"))
-    held = single.hint("merge").join(by_doc, "doc_id").select("doc_id", "text", "grams")
-    contexts = held.mapInArrow(tidied(_contexts), "gram long, sub int, subs int, doc_id long, first long, anchor int, context binary")
-    contexts = contexts.repartition(width, "gram", "sub")
-    sorted_ = contexts.sortWithinPartitions("gram", "sub").mapInPandas(tidied(_sort_blocks), "doc_id long, start long, n long, digest binary")
-    sorted_ = materialize(sorted_, "sorted-blocks")
+    size = signed.agg(F.sum("n_bytes")).first()[0] or 0
+    rounds = max(1, -(-repeated.count() * CONTEXT_BYTES // max(1, size)))
+    sorted_ = [_sorted_round(single, repeated, r, rounds, width) for r in range(rounds)]
     release(repeated)
 
-    runs = sorted_.where("digest is null").select("doc_id", "start", "n")
-    rivals = sorted_.where("digest is not null").select("digest", F.struct("doc_id", "start").alias("at"))
+    every = reduce(DataFrame.union, sorted_)
+    runs = every.where("digest is null").select("doc_id", "start", "n")
+    rivals = every.where("digest is not null").select("digest", F.struct("doc_id", "start").alias("at"))
     best = rivals.groupBy("digest").agg(F.min("at").alias("best"), F.count("*").alias("c")).where("c > 1")
     later = rivals.join(best, "digest").where("at <> best").select("at.doc_id", "at.start", F.lit(1).cast("long").alias("n"))
     by_doc = materialize(runs.union(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")
-    release(sorted_)
+    release(*sorted_)
     few = by_doc.agg(F.sum(F.size("runs") + 2)).first()[0] or 0
     cut = docs.join(F.broadcast(by_doc) if few <= MAX_BROADCAST_IDS else by_doc, "doc_id").select("doc_id", "text", "runs")
     cut = cut.mapInArrow(tidied(_cut), "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
@@ -385,6 +387,16 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     return rest.union(gone)
 
 
+def _sorted_round(docs: DataFrame, repeated: DataFrame, r: int, rounds: int, width: int) -> DataFrame:
+    """The buckets of one round, sorted. Equal strings agree on their gram and so on their round."""
+    own = repeated.where(F.pmod("gram", F.lit(rounds)) == r)
+    by_doc = own.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "start", "span", "subs")).alias("grams"))
+    held = docs.hint("merge").join(by_doc, "doc_id").select("doc_id", "text", "grams")
+    contexts = held.mapInArrow(tidied(_contexts), "gram long, sub int, subs int, doc_id long, first long, anchor int, context binary")
+    contexts = contexts.repartition(-(-width // rounds), "gram", "sub").sortWithinPartitions("gram", "sub")
+    return materialize(contexts.mapInPandas(tidied(_sort_blocks), "doc_id long, start long, n long, digest binary"), "sorted-blocks")
+
+
 def _with_ordered_rows(docs: DataFrame, keep_bytes: bool) -> DataFrame:
     """Rows without an id of their own: number them in order of (doc_id, text) and work under the numbers."""
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -131,6 +131,24 @@ def test_repeat_removal_in_crowded_buckets(spark, monkeypatch):
     assert got == brute_removal(rows)
 
 
+def test_text_that_repeats_throughout_is_dealt_out_in_rounds(spark, monkeypatch):
+    from docloom.llm import substrings
+
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(i, base[: rng.randint(2500, 2900)] + f"own end {i}") for i in range(40)]
+    dealt, write = [], substrings.materialize
+
+    def recorded(df, label):
+        out = write(df, label)
+        dealt.append(label)
+        return out
+
+    monkeypatch.setattr(substrings, "materialize", recorded)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_removal(rows) and dealt.count("sorted-blocks") >= 3
+
+
 def test_repeat_removal_without_own_ids(spark):
     rng = random.Random(1)
     t = "".join(rng.choice("abcdef") for _ in range(150))
