@@ -9,8 +9,11 @@ from .vocabulary import DOCUMENT_EXTENSIONS, PLACEHOLDERS, STEM_SUFFIXES, STOP_W
 
 #: White space of every script and the separators that Java's \s leaves out.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: Runs of it that are not one blank already.
+RUN = r"(?: [\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}&&[^ ]][\s\x1c-\x1f\x85\p{Z}]*)"
 WORD = r"[\p{L}\p{N}_]+"
-STEM = f"^(.{{4,}}?)(?:{'|'.join(STEM_SUFFIXES)})$"
+#: The last letter is looked at first, as most words of other languages end in none of these.
+STEM = f"^(?=.*[{''.join(sorted({x[-1] for x in STEM_SUFFIXES}))}]$)(.{{4,}}?)(?:{'|'.join(STEM_SUFFIXES)})$"
 
 
 def strip(text: Column) -> Column:
@@ -29,11 +32,11 @@ def token_estimate(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """All white space, no-break spaces too, to single blanks; null to the empty text."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), RUN, " "))
 
 
 def fold_yo(text: Column) -> Column:
-    return F.translate(F.lower(text), "ё", "е")
+    return F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
 
 
 def match_form(text: Column) -> Column:
@@ -126,30 +129,45 @@ def is_upper(text: Column) -> Column:
     return (F.upper(text) == text) & (F.lower(text) != text)
 
 
-def with_clean(df: DataFrame, text: str = "text", out: str = "clean") -> DataFrame:
-    """``df`` with squeezed lines as one line: blanks and consecutive repeats dropped, of two equal halves the first.
+def with_clean(df: DataFrame, text: str = "text", out: str = "clean", mirrored: str | None = None) -> DataFrame:
+    """``df`` with squeezed lines as one line: blanks and consecutive repeats dropped, of two equal halves the first; with
+    ``mirrored`` also a column of that name, whether there were two.
 
     Array functions are interpreted and evaluated wherever they stand, so each step is a column of its own.
     """
+    keep, mirrored = mirrored is not None, mirrored or "_mirrored"
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"), squeeze), lambda s: s != "")
-    df = df.withColumn("_lines", lines).withColumn("_forms", F.transform("_lines", phrase_form))
-    new = F.filter("_lines", lambda s, i: F.get("_forms", i) != F.coalesce(F.get("_forms", i - 1), F.lit("")))
+    # forms of whole lines are costly: lines that start alike are compared, the first with the empty form
+    df = df.withColumn("_lines", lines).withColumn("_starts", F.transform("_lines", lambda s: search_tokens(F.substring_index(s, " ", 4))))
+    before = lambda i: F.coalesce(F.get("_lines", i - 1), F.lit(""))
+    new = F.filter("_lines", lambda s, i: ((i > 0) & ~alike(F.get("_starts", i), F.get("_starts", i - 1))) | (phrase_form(s) != phrase_form(before(i))))
     joined = F.when(F.size("_kept") > 0, F.array_join("_kept", " ")).otherwise(squeeze(F.col(text)))
-    df = df.withColumn("_kept", new).withColumn("_joined", joined).withColumn("_mirrored", is_mirrored(F.col("_joined")))
-    df = df.withColumn(out, F.when(F.col("_mirrored"), halves(F.col("_joined"))[0]).otherwise(F.col("_joined")))
-    return df.drop("_lines", "_forms", "_kept", "_joined", "_mirrored")
+    df = df.withColumn("_kept", new).withColumn("_joined", joined).withColumn("_words", F.split("_joined", " "))
+    df = df.withColumn(mirrored, is_mirrored(F.col("_joined"), F.col("_words")))
+    df = df.withColumn(out, F.when(F.col(mirrored), halves(F.col("_words"))[0]).otherwise(F.col("_joined")))
+    return df.drop("_lines", "_starts", "_kept", "_joined", "_words", *([] if keep else [mirrored]))
 
 
-def is_mirrored(flat: Column) -> Column:
-    """Six words or more whose halves have the same phrase form."""
-    left, right = halves(flat)
-    return (F.regexp_count(flat, F.lit(" ")) >= 5) & (phrase_form(left) == phrase_form(right))
+def is_mirrored(flat: Column, words: Column | None = None) -> Column:
+    """Six words or more whose halves have the same phrase form. ``words``: the text at its blanks, if it is at hand."""
+    words = F.split(flat, " ") if words is None else words
+    left, right = halves(words)
+    # most texts differ in the first words of their halves already, and forms of whole texts are costly
+    a, b = (search_tokens(part) for part in halves(words, 24))
+    return (F.size(words) >= 6) & alike(a, b) & (phrase_form(left) == phrase_form(right))
 
 
-def halves(flat: Column) -> tuple[Column, Column]:
-    words = F.split(flat, " ")
+def alike(a: Column, b: Column) -> Column:
+    """One list is the start of the other."""
+    n = F.least(F.size(a), F.size(b))
+    return F.slice(a, 1, n) == F.slice(b, 1, n)
+
+
+def halves(words: Column, limit: int | None = None) -> tuple[Column, Column]:
+    """Both halves of a text's words, or the first ``limit`` words of each."""
     half = F.floor(F.size(words) / 2).cast("int")
-    return F.array_join(F.slice(words, 1, half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " ")
+    short = lambda n: n if limit is None else F.least(n, F.lit(limit))
+    return F.array_join(F.slice(words, 1, short(half)), " "), F.array_join(F.slice(words, half + 1, short(F.size(words))), " ")
 
 
 def snippet(clean: Column, terms: Column, window: int = 320) -> Column:
