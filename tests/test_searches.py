@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docloom.operators import search
 from docloom.plans import queries as plans
 
-SEARCHES = ["rnk03_search_top_k"]
+SEARCHES = ["rnk03_search_top_k", "rnk02_composite"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
