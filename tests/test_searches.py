@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docloom.operators import search
 from docloom.plans import queries as plans
 
-SEARCHES = ["rnk03_search_top_k", "rnk02_composite", "rnk04_ask", "rnk09_top_hits", "str11_snippets", "agg07_qa_summary", "agg08_retrieval_eval", "qae02_failure_taxonomy"]
+SEARCHES = ["rnk03_search_top_k", "rnk02_composite", "rnk04_ask", "rnk09_top_hits", "str11_snippets", "agg07_qa_summary", "agg08_retrieval_eval", "qae02_failure_taxonomy", "rnk07_hit_at_k"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
