@@ -137,6 +137,20 @@ def _scored(part: pa.RecordBatch, own: Batch, terms: pa.Array, ids: pa.Array, to
     return pa.RecordBatch.from_pydict(out | {"score": pa.array(score[keep])})
 
 
+def counter(side):
+    """A function of batches of term lists: (term, df), the lists of a batch that hold each of the terms asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = pa.array(side.value, pa.string())
+        for batch in batches:
+            _, term, _, _ = _occurrences(batch.column(0), terms)
+            n = np.bincount(term, minlength=len(terms))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"term": terms.take(pa.array(at)), "df": pa.array(n[at], pa.int64())})
+
+    return run
+
+
 def scorer(side, top_k: int | None = None):
     """A function of batches of entries: all pairs with a score, or with ``top_k`` those that can be among so many hits of a query."""
 

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import search
+from docloom.functions import text as T
+from docloom.operators import search, texts
+from docloom.operators.staging import staged
 from docloom.plans import queries as plans
 
 SEARCHES = ["rnk03_search_top_k", "rnk02_composite", "rnk04_ask", "rnk09_top_hits", "str11_snippets", "agg07_qa_summary", "agg08_retrieval_eval", "qae02_failure_taxonomy", "rnk07_hit_at_k"]
@@ -51,3 +53,28 @@ def test_entries_that_share_a_place_count_together(spark):
     queries = spark.createDataFrame(QUERIES, "query_id string, query string")
     got, want = (sorted(map(str, f(queries, entries).select("query_id", "entry_ord", "overlap", F.round("score", 6)).collect())) for f in (search.composite, search.joined))
     assert got == want
+
+
+def test_words_of_an_index_take_no_lambda_each(spark):
+    plan = search.index_entries(spark.createDataFrame(rows(), CHUNKS)).select("terms", "clean")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
+
+
+def test_forms_of_one_pass_are_the_columns(spark):
+    odd = [
+        None, "", " \t\n", "a", "Ёлка\u00a0ёлки\r\nёлка ЁЛКИ\x85\u2028x", "one two three one two three", "one two one two one two one two one two one two", "--- \n*** \n--- a", "İstanbul ΑΣ ΑΣΑ Straße_1 ²³ Ⅷ ¾",
+        "wait wait waiting and more\nwait wait waiting and more!\nwait wait waiting and other", "the of\nand\nlong lines", "caf\u0065\u0301 \U0001d400\U0001e900 \u200bword \ufeffx", "x " * 30 + "y " + "x " * 30 + "y", "a\x1cb\x1dc\x1ed\x1fe\x0bf\x0cg\rh",
+    ]
+    every = ["".join(f"{chr(c)}a{chr(c)} b" for c in range(lo, min(lo + 512, 0x110000)) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x33000, 512)]
+    df = spark.createDataFrame([(t,) for t in [*odd, *every]], "text string").repartition(4)
+    own = T.with_clean(df.withColumn("n_tokens", F.size(T.tokens(F.col("text")))).withColumn("terms", T.search_tokens(F.col("text"))), mirrored="mirrored")
+    own = own.withColumn("again", F.col("mirrored") & T.is_mirrored(F.col("clean"))).withColumn("p", texts.parts(F.col("text")))
+    got = staged(own, "forms").collect()
+    names = ("terms", "n_tokens", "clean", "mirrored", "again")
+    assert [r.text for r in got if any(r[n] != r.p[n] for n in names)] == []
+    assert any(r.mirrored and not r.again for r in got) and any(r.again for r in got) and len(got) == len(odd) + len(every)
+
+
+def test_bytes_that_are_no_text(spark):
+    df = spark.sql("select cast(unhex('61FF6220776F7264') as string) as text")
+    assert df.select(texts.parts(F.col("text")).alias("p")).first().p.terms == ["word"]
