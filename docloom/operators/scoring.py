@@ -2,7 +2,8 @@
 
 A pair of a query and an entry needs the entry and the queries' words alone, so an entry meets all queries where it is read:
 pairs are never dealt out, and of a search only those leave a batch that can be among its hits. What a task holds is a slice of
-entries by the queries (``CELLS`` numbers) and the queries' words, which the driver sends to each executor.
+entries by the queries (``CELLS`` numbers) and the queries' words, which the driver sends to each executor. Of an entry's words a
+batch of queries needs no more than ``FOUND``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 
 #: Pairs and entries worked on at once.
 CELLS, ROWS = 400_000, 1_000
+#: Of an entry's words: places of those that queries ask for, how often each is there, the number of all, queries whose phrase they hold.
+FOUND = "found array<int>, counts array<int>, dl int, held array<int>"
 
 
 class Batch(NamedTuple):
@@ -84,6 +87,40 @@ def _holds(lists: pa.Array, shared: np.ndarray, row: np.ndarray, column: np.ndar
     return out
 
 
+def _step(own: Batch) -> int:
+    """Entries worked on at once."""
+    return max(1, min(ROWS, CELLS // max(1, len(own.ids))))
+
+
+def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """``n`` lists of values that stand in order of their rows."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.array(values, pa.int32()))
+
+
+def found(lists: pa.Array, own: Batch, terms: pa.Array) -> dict[str, pa.Array]:
+    """``FOUND`` of each list of words."""
+    row, term, count, size = _occurrences(lists, terms)
+    width, step, held = len(own.ids), _step(own), [np.empty(0, np.int64)]
+    for lo in range(0, len(lists) if width else 0, step):
+        part, (a, b) = lists.slice(lo, step), np.searchsorted(row, (lo, lo + step))
+        shared = np.bincount(_cells(row[a:b] - lo, term[a:b], own)[2], minlength=len(part) * width)
+        pair = np.flatnonzero(shared)
+        held.append(lo * width + pair[_holds(part, shared[pair], pair // width, pair % width, own)])
+    pairs = np.concatenate(held)
+    n, width = len(lists), max(1, width)
+    return {"found": _lists(row, term, n), "counts": _lists(row, count, n), "dl": pa.array(size, pa.int32()), "held": _lists(pairs // width, pairs % width, n)}
+
+
+def _found(part: pa.RecordBatch, own: Batch, terms: pa.Array) -> dict[str, pa.Array]:
+    """``FOUND`` as it stands in a batch, or of its words."""
+    return found(part.column("terms"), own, terms) if "terms" in part.schema.names else {c: part.column(c) for c in ("found", "counts", "dl", "held")}
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of each number in lists."""
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _codes(values: pa.Array) -> np.ndarray:
     return values.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -110,15 +147,18 @@ def candidates(part: pa.RecordBatch, row: np.ndarray, column: np.ndarray, score:
 
 
 def _scored(part: pa.RecordBatch, own: Batch, terms: pa.Array, ids: pa.Array, top_k: int | None) -> pa.RecordBatch:
-    lists, width = part.column("terms"), len(own.ids)
-    row, term, count, size = _occurrences(lists, terms)
+    x, width = _found(part, own, terms), len(own.ids)
+    (row, term), count, size = _flat(x["found"]), _flat(x["counts"])[1], x["dl"].to_numpy(zero_copy_only=False)
     which, at, cell = _cells(row, term, own)
     gain = count * (own.k1 + 1) / (count + own.k1 * (1 - own.b + own.b * size[row] / own.average))
     overlap = np.bincount(cell, minlength=part.num_rows * width)
+    at_row, asking = _flat(x["held"])
+    held = np.zeros(part.num_rows * width, bool)
+    held[at_row * width + asking] = True
     pair = np.flatnonzero(overlap)
     bm25 = np.bincount(cell, own.weights[at] * gain[which], part.num_rows * width)[pair]
     overlap, row, column = overlap[pair], pair // max(1, width), pair % max(1, width)
-    bonus = 0.45 * overlap + 2.0 * _holds(lists, overlap, row, column, own)
+    bonus = 0.45 * overlap + 2.0 * held[pair]
     for name, whole, each in (("section_terms", 1.0, 0.25), ("title_terms", 0.8, 0.15)):
         shared = _shared(part.column(name), terms, own)[pair]
         bonus += whole * _holds(part.column(name), shared, row, column, own) + each * shared
@@ -138,12 +178,12 @@ def _scored(part: pa.RecordBatch, own: Batch, terms: pa.Array, ids: pa.Array, to
 
 
 def counter(side):
-    """A function of batches of term lists: (term, df), the lists of a batch that hold each of the terms asked for."""
+    """A function of batches of words or of what is found of them: (term, df), the entries of a batch that hold each of the terms asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = pa.array(side.value, pa.string())
+        terms = pa.array(side.value.terms, pa.string())
         for batch in batches:
-            _, term, _, _ = _occurrences(batch.column(0), terms)
+            term = _occurrences(batch.column(0), terms)[1] if batch.schema.names == ["terms"] else _flat(batch.column(0))[1]
             n = np.bincount(term, minlength=len(terms))
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"term": terms.take(pa.array(at)), "df": pa.array(n[at], pa.int64())})
@@ -157,7 +197,7 @@ def scorer(side, top_k: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Batch = side.value
         terms, ids = pa.array(own.terms, pa.string()), pa.array(own.ids)
-        step = max(1, min(ROWS, CELLS // max(1, len(own.ids))))
+        step = _step(own)
         for batch in batches:
             for lo in range(0, batch.num_rows if own.ids else 0, step):
                 yield _scored(batch.slice(lo, step), own, terms, ids, top_k)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions.vocabulary import STOP_WORDS
 
+from . import scoring
+
 #: Words remembered by a worker; beyond them it starts anew.
 MEMORY = 200_000
 #: Letters and digits of Unicode 14 and 15, which the JVM's classes (Java 17: Unicode 13) leave out.
@@ -30,6 +32,7 @@ NEWER = (
     r"\U0001e7e0-\U0001e7e6\U0001e7e8-\U0001e7eb\U0001e7ed-\U0001e7ee\U0001e7f0-\U0001e7fe\U0002a6de-\U0002a6df\U0002b735-\U0002b739\U0002ebf0-\U0002ee5d\U00031350-\U000323af"
 )
 PARTS = "struct<terms array<string>, n_tokens int, clean string, mirrored boolean, again boolean>"
+ASKED = f"{scoring.FOUND}, n_tokens int, again boolean"
 _PLAIN, _OTHER, _STEM, _STOP = re.compile(r"\w+").findall, re.compile(rf"[^\W{NEWER}]+").findall, re.compile(T.STEM).sub, frozenset(STOP_WORDS)
 
 
@@ -111,3 +114,16 @@ def _parts(texts: pa.Array) -> pa.Array:
 def parts(text: Column) -> Column:
     """``PARTS`` of each text, those of the empty text for null."""
     return F.arrow_udf(_parts, PARTS)(text.cast("binary"))
+
+
+def asked_parts(text: Column, side) -> Column:
+    """Of each text what the queries of ``side`` (a broadcast ``scoring.Batch``) need of its terms, and ``n_tokens`` and ``again`` of ``parts``:
+    terms and forms stay in the worker."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        own = side.value
+        all_of = _parts(texts)
+        few = scoring.found(all_of.field("terms"), own, pa.array(own.terms, pa.string())) | {c: all_of.field(c) for c in ("n_tokens", "again")}
+        return pa.StructArray.from_arrays(list(few.values()), list(few))
+
+    return F.arrow_udf(run, ASKED)(text.cast("binary"))

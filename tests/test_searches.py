@@ -1,10 +1,11 @@
 """Scores of whole tables: pairs of queries and entries are made where entries are read."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import search, texts
+from docloom.operators import qa, scoring, search, texts
 from docloom.operators.staging import staged
 from docloom.plans import queries as plans
 
@@ -17,6 +18,19 @@ def test_no_pair_is_dealt_out(spark, sf_dir, name):
     assert "explode(terms" not in plan
 
 
+#: Searches that write no index.
+NARROW = ["qae02_failure_taxonomy"]
+
+
+@pytest.mark.parametrize("name", NARROW)
+def test_the_words_of_the_corpus_are_not_written(spark, sf_dir, name, monkeypatch):
+    written = []
+    for module in (search, qa, plans):
+        monkeypatch.setattr(module, "staged", lambda df, label: written.append(set(df.columns)) or staged(df, label))
+    plans.REGISTRY[name](spark, sf_dir)
+    assert any("found" in c for c in written) and not any(c & {"terms", "clean", "text"} for c in written)
+
+
 def rows():
     texts = ["alpha beta gamma", "Alpha, beta gamma delta!", "xalpha beta gammay", None, "", "beta " * 30, "alpha beta gamma", "ALPHA\nalpha beta"]
     return [(f"e{i:02}", f"d{i % 3}", f"f{i % 2}.txt", f"c{i % 3}", f"s{i % 2}", ["Alpha beta gamma", None, "", "Beta"][i % 4], "The gamma file", texts[i % 8]) for i in range(40)]
@@ -55,6 +69,27 @@ def test_entries_that_share_a_place_count_together(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("more", [0, 3])
+def test_chunks_give_what_their_index_gives(spark, more):
+    chunks = spark.createDataFrame([*rows(), *rows()[:more]], CHUNKS).repartition(3)
+    two = [("g", "alpha bet"), ("h", "lpha beta gamma"), ("i", "beta gamm"), ("j", "АЛЬФА")]
+    queries, index = spark.createDataFrame([*QUERIES, *two], "query_id string, query string"), staged(search.index_entries(chunks), "whole")
+    for f in (search.composite, search.search, search.ask):
+        got, want = ([r.asDict() for r in f(queries, e).collect()] for e in (chunks, index))
+        short = lambda found: sorted(str({k: round(v, 7) if isinstance(v, float) else v for k, v in r.items()}) for r in found)
+        assert short(got) == short(want) and got
+
+
+@pytest.mark.parametrize("cells", [1, 50, 400_000])
+def test_found_words_in_slices(monkeypatch, cells):
+    monkeypatch.setattr(scoring, "CELLS", cells)
+    own = scoring.batch_of([("a", "x y z", 3), ("b", "y", 1), ("c", "q", 1)], [("a", "x", 1), ("a", "y", 1), ("a", "z", 1), ("b", "y", 2), ("c", "q", 1)], {}, 1.0, 1.5, 0.75, 3)
+    said = pa.array([["ax", "y", "zz", "y"], None, [], ["y", "x"], ["x", "y", "z"]] * 40, pa.list_(pa.string()))
+    got = {k: v.to_pylist() for k, v in scoring.found(said.slice(5), own, pa.array(own.terms)).items()}
+    want = {"found": [[2], [], [], [1, 2], [1, 2, 3]], "counts": [[2], [], [], [1, 1], [1, 1, 1]], "dl": [4, 0, 0, 2, 3], "held": [[0, 1], [], [], [1], [0, 1]]}
+    assert got == {k: v * 39 for k, v in want.items()}
+
+
 def test_words_of_an_index_take_no_lambda_each(spark):
     plan = search.index_entries(spark.createDataFrame(rows(), CHUNKS)).select("terms", "clean")._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "lambda" not in plan
