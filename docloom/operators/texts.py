@@ -120,10 +120,14 @@ def asked_parts(text: Column, side) -> Column:
     """Of each text what the queries of ``side`` (a broadcast ``scoring.Batch``) need of its terms, and ``n_tokens`` and ``again`` of ``parts``:
     terms and forms stay in the worker."""
 
-    def run(texts: pa.Array) -> pa.Array:
-        own = side.value
+    def some(texts: pa.Array, own: scoring.Batch, terms: pa.Array) -> pa.Array:
         all_of = _parts(texts)
-        few = scoring.found(all_of.field("terms"), own, pa.array(own.terms, pa.string())) | {c: all_of.field(c) for c in ("n_tokens", "again")}
+        few = scoring.found(all_of.field("terms"), own, terms) | {c: all_of.field(c) for c in ("n_tokens", "again")}
         return pa.StructArray.from_arrays(list(few.values()), list(few))
 
+    def run(texts: pa.Array) -> pa.Array:
+        own = side.value
+        terms = pa.array(own.terms, pa.string())
+        return pa.concat_arrays([some(texts.slice(lo, scoring.ROWS), own, terms) for lo in range(0, max(1, len(texts)), scoring.ROWS)])
+
     return F.arrow_udf(run, ASKED)(text.cast("binary"))
