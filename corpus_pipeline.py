@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, release_unread, table
+from docloom.llm.common import materialize, release_unread, shrink_executors, table
 from docloom.llm.mixing import mix
 from docloom.llm.ngram_join import MAX_BROADCAST_IDS, jaccard_components
 from docloom.llm.pii import deployment_key, pseudonymize
@@ -27,8 +27,9 @@ COLUMNS = list(TYPES)
 
 
 def _columns(docs: DataFrame) -> DataFrame:
-    """The columns of documents, and nothing that earlier stages left behind."""
+    """The columns of documents, and nothing that earlier stages left behind, on disk or in the executors' heaps."""
     release_unread(docs)
+    shrink_executors(docs.sparkSession)
     have = set(docs.columns)
     return docs.select(*[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in TYPES.items()])
 

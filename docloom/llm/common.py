@@ -86,6 +86,16 @@ def release_unread(docs: DataFrame) -> None:
             _delete(docs.sparkSession, path)
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Collect garbage in every executor's JVM, which then hands the heap it no longer fills back to the system.
+
+    A heap grows by what its busiest stage threw away and stays so; with the Python workers of the next stage it shares one limit.
+    As many tasks as there are cores, so that each executor gets some; executors that get none keep their heap, nothing else.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def give_back() -> None:
     """Hand memory that is free in this Python worker back to the system: workers outlive their tasks and share an executor's limit."""
     import ctypes

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +59,9 @@ def _ranked_sources(sized: DataFrame, width: int) -> DataFrame:
     for part, n in sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()):
         firsts.append((part, at))
         at += n
-    first = dealt.sparkSession.createDataFrame(firsts, "part int, first long")
+    parts, starts = [p for p, _ in firsts], [n for _, n in firsts]
+    # an Arrow table needs no Python workers of another kind beside those of the operators
+    first = dealt.sparkSession.createDataFrame(pa.table({"part": pa.array(parts, pa.int32()), "first": pa.array(starts, pa.int64())}))
     return dealt.join(F.broadcast(first), "part").select("source", "source_size", "rows", (F.col("first") + F.col("row")).cast("int").alias("sid"))
 
 

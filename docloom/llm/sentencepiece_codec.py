@@ -34,7 +34,7 @@ from .common import MEMORIES, tidied
 SPACE = "▁"
 #: Characters of stretches, and pairs of pieces, that a Python worker remembers (each memory has a young and an old half: what
 #: is met again moves to the young one, and the old one goes when that is full), and characters indexed together.
-CACHE_CHARS, CACHE_PAIRS, BATCH_CHARS = 4_000_000, 600_000, 200_000
+CACHE_CHARS, CACHE_PAIRS, BATCH_CHARS = 4_000_000, 600_000, 100_000
 #: Longer stretches than this are traced and forgotten one by one; texts of so many characters are encoded together.
 LONG_STRETCH, GROUP_CHARS = 400, 1_000_000
 
