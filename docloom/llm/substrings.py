@@ -88,12 +88,17 @@ def _bytes(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def _counter(grams: np.ndarray) -> np.ndarray:
+    """The sketch's counter of each gram: minimizers have small hashes, which scrambled again fill all counters alike."""
+    return (_scramble(grams ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         grams = [minimizers(t)[1] for t in _bytes(batch, 0) if len(t) >= LENGTH]
         if grams:
-            counts += np.bincount((np.concatenate(grams) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+            counts += np.bincount(_counter(np.concatenate(grams)), minlength=len(counts))
     rows = counts.reshape(-1, 1 << SKETCH_ROW_BITS)
     for i in np.flatnonzero(rows.any(axis=1)):
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rows[i].astype("<i8").tobytes()], pa.binary())], ["row", "counts"])
@@ -128,7 +133,7 @@ def _grams(counts):
             if not docs:
                 continue
             h, d, at = np.concatenate(grams), np.concatenate(docs), np.concatenate(starts)
-            often = known[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
+            often = known[_counter(h)].astype(np.int64)
             crowded = often > CROWD
             part = np.where(crowded, 1 + (_scramble(d.view(np.uint64) ^ (at.view(np.uint64) << np.uint64(40))) & np.uint64(1023)).astype(np.int64), 0)
             subs = np.where(crowded, -(-often // SUB_BUCKET), 0)

@@ -131,6 +131,24 @@ def test_repeat_removal_in_crowded_buckets(spark, monkeypatch):
     assert got == brute_removal(rows)
 
 
+def test_grams_that_occur_once_are_not_crowded_in_much_text(spark, monkeypatch):
+    from docloom.llm import substrings
+
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.integers(97, 123, 500_000, np.uint8).tobytes().decode()) for i in range(16)]
+    dealt, write = [], substrings.materialize
+
+    def recorded(df, label):
+        out = write(df, label)
+        dealt.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(substrings, "materialize", recorded)
+    monkeypatch.setattr(substrings, "CROWD", 10)  # 8 MB have 190,000 grams for a million counters
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.n_bytes, r.n_removed) for r in got} == {(500_000, 0)} and dict(dealt)["repeated-grams"] == 0
+
+
 def test_text_that_repeats_throughout_is_dealt_out_in_rounds(spark, monkeypatch):
     from docloom.llm import substrings
 
