@@ -8,9 +8,9 @@ many times; three facts bound the work.
   row per minimizer (every 43 bytes or so) is dealt out to find the buckets that repeat. A count sketch of fixed size says
   which grams are crowded: they are known to repeat, so their rows are dealt out at random and nobody counts them.
 * Blocks. Only the text around minimizers of repeated buckets is dealt out, by bucket, and sorted a block of whole buckets at a
-  time. Equal stretches around a minimizer are settled by their first; what differs is sorted. Suffixes are compared to a depth
-  of ``PERIOD`` bytes; longer ties are resolved by the ranks of the block's difference-cover sample, which are computed once
-  for the block: of any two suffixes with minimizers at the same residue, a shift below ``PERIOD`` leads to two ranked ones.
+  time. Equal stretches around a minimizer are settled by their first; what differs is sorted. Ties are resolved by the ranks of
+  the block's difference-cover sample, which are computed once for the block: of any two suffixes with minimizers at the same
+  residue, a shift below ``PERIOD`` leads to two ranked ones. Suffixes are compared up to that shift (12 bytes at most) before.
   Memory is that of a block. Text that repeats throughout has several times its bytes in contexts, so they are dealt out in
   rounds, by gram, and the shuffle files of one round go before the next.
 * Crowded buckets are cut by place into sub-buckets, so that neither a common string nor one long document is a block of its
@@ -41,8 +41,11 @@ LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1
 #: A perfect difference set: every non-zero residue is one difference of two members, exactly once.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-#: Bytes of a document handled at once, occurrences in a sub-bucket and contexts in a block, about.
-PIECE, SUB_BUCKET, BLOCK_CONTEXTS = 4 << 20, 2_000, 6_000
+#: Bytes of text hashed at once (arrays of so many words stay in a core's cache) and joined for it, occurrences in a sub-bucket and
+#: contexts in a block, about.
+PIECE, PORTION, SUB_BUCKET, BLOCK_CONTEXTS = 1 << 15, 1 << 20, 2_000, 6_000
+#: Classes of equal rows up to which a class and 40 bits of a key are one number.
+CLASSES = 1 << 24
 #: Occurrences above the median counter from which a gram is dealt out at random.
 CROWD = 2 * SUB_BUCKET
 #: Bytes of a context, about; one round deals out contexts of as many bytes as the documents have.
@@ -58,30 +61,57 @@ def _words(buf: np.ndarray, at: np.ndarray | None = None, big: bool = False) ->
 
 def minimizers(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimizers of all windows: start, gram hash, and first and last window start that each one stands for."""
-    n = len(text) - LENGTH + 1
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    for lo in range(0, max(0, n), PIECE):
+    return minimizers_of([text])[1:]
+
+
+def minimizers_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizers of all windows of some texts: the text's number, then what ``minimizers`` gives."""
+    size = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(size)
+    out, a = [], 0
+    while a < len(texts):  # short texts are joined, as a few calls for each of them take longer than their bytes
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + PORTION, "right")))
+        which, *rest = _joined_minimizers(b"".join(texts[a:z]), size[a:z])
+        out.append((which + a, *rest))
+        a = z
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none.astype(np.uint64), none, none)
+
+
+def _joined_minimizers(joined: bytes, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    opens, n = np.cumsum(size) - size, max(0, len(joined) - LENGTH + 1)
+    buf, low = np.frombuffer(joined, np.uint8), np.uint64((1 << 24) - 1)
+    starts, grams, firsts = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for lo in range(0, n, PIECE):
         hi = min(n, lo + PIECE)
-        buf = np.frombuffer(text[lo : hi + LENGTH - 1], np.uint8)
-        w = _words(buf)
+        w = _words(buf[lo : hi + LENGTH - 1])
         h = _scramble(_scramble(w[:-8] + np.uint64(0x9E3779B97F4A7C15)) ^ w[8:])
-        low = np.uint64((1 << 24) - 1)
         key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        size = 1
-        while size * 2 <= SPAN:
-            key = np.minimum(key[:-size], key[size:])
-            size *= 2
-        if size < SPAN:
-            key = np.minimum(key[: -(SPAN - size)], key[SPAN - size :])
+        span = 1
+        while span * 2 <= SPAN:
+            key = np.minimum(key[:-span], key[span:])
+            span *= 2
+        if span < SPAN:
+            key = np.minimum(key[: -(SPAN - span)], key[SPAN - span :])
         at = (key & low).astype(np.int64)
-        cut = np.r_[0, np.flatnonzero(np.diff(at)) + 1]
-        last = np.r_[cut[1:] - 1, len(at) - 1]
-        for k, v in enumerate((at[cut] + lo, h[at[cut]], cut + lo, last + lo)):
-            out[k].append(v)
-    if not out[0]:
-        none = np.empty(0, np.int64)
-        return none, none.astype(np.uint64), none, none
-    return tuple(np.concatenate(x) for x in out)
+        new = np.ones(len(at), bool)
+        new[1:] = at[1:] != at[:-1]
+        new[opens[slice(*np.searchsorted(opens, (lo, hi)))] - lo] = True
+        cut = np.flatnonzero(new)
+        starts.append(at[cut] + lo)
+        grams.append(h[at[cut]])
+        firsts.append(cut + lo)
+    start, gram, first = np.concatenate(starts), np.concatenate(grams), np.concatenate(firsts)
+    which = np.searchsorted(opens, first, "right") - 1
+    new = np.ones(len(first), bool)  # pieces end anywhere
+    new[1:] = (start[1:] != start[:-1]) | (which[1:] != which[:-1])
+    start, gram, first, which = start[new], gram[new], first[new], which[new]
+    open_ = opens[which]
+    final = open_ + size[which] - LENGTH  # a text's last window; later ones reach into the next text
+    last = np.minimum(np.append(first[1:] - 1, n - 1)[: len(first)], final)
+    own = first <= final
+    open_ = open_[own]
+    return which[own], start[own] - open_, gram[own], first[own] - open_, last[own] - open_
 
 
 def _bytes(batch: pa.RecordBatch, column: int) -> list[bytes]:
@@ -96,9 +126,7 @@ def _counter(grams: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
-        grams = [minimizers(t)[1] for t in _bytes(batch, 0) if len(t) >= LENGTH]
-        if grams:
-            counts += np.bincount(_counter(np.concatenate(grams)), minlength=len(counts))
+        counts += np.bincount(_counter(minimizers_of(_bytes(batch, 0))[2]), minlength=len(counts))
     rows = counts.reshape(-1, 1 << SKETCH_ROW_BITS)
     for i in np.flatnonzero(rows.any(axis=1)):
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rows[i].astype("<i8").tobytes()], pa.binary())], ["row", "counts"])
@@ -121,24 +149,14 @@ def _grams(counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counts.value
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            docs, grams, starts, spans = [], [], [], []
-            for i, text in zip(ids, _bytes(batch, 1), strict=True):
-                if len(text) >= LENGTH:
-                    at, h, first, last = minimizers(text)
-                    docs.append(np.full(len(at), i, np.int64))
-                    grams.append(h)
-                    starts.append(at)
-                    spans.append((at - first) << 8 | (at - last))
-            if not docs:
-                continue
-            h, d, at = np.concatenate(grams), np.concatenate(docs), np.concatenate(starts)
+            which, at, h, first, last = minimizers_of(_bytes(batch, 1))
+            d = batch.column(0).to_numpy()[which]
             often = known[_counter(h)].astype(np.int64)
             crowded = often > CROWD
             part = np.where(crowded, 1 + (_scramble(d.view(np.uint64) ^ (at.view(np.uint64) << np.uint64(40))) & np.uint64(1023)).astype(np.int64), 0)
             subs = np.where(crowded, -(-often // SUB_BUCKET), 0)
             columns = [pa.array(h.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(d), pa.array(at)]
-            columns += [pa.array(np.concatenate(spans).astype(np.int32)), pa.array(subs.astype(np.int32))]
+            columns += [pa.array(((at - first) << 8 | (at - last)).astype(np.int32)), pa.array(subs.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["gram", "part", "doc_id", "start", "span", "subs"])
 
     return run
@@ -159,35 +177,55 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (gram, sub, doc_id, first, anchor, context): the text that the windows of each listed minimizer span."""
     for batch in batches:
-        ids, texts, listed = batch.column(0).to_pylist(), _bytes(batch, 1), batch.column(2)
-        fields = {f: listed.values.field(f).to_numpy(zero_copy_only=False) for f in ("gram", "start", "span", "subs")}
+        ids, texts, listed = batch.column(0).to_numpy(), _bytes(batch, 1), batch.column(2)
         ends = listed.offsets.to_numpy()
-        for i, text, a, z in zip(ids, texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            for lo in range(a, z, 4_096):
-                part = slice(lo, min(z, lo + 4_096))
-                gram, at, span, subs = (fields[f][part] for f in ("gram", "start", "span", "subs"))
-                first, last = at - (span >> 8), at - (span & 255)
-                mixed = _scramble(_scramble(at.astype(np.uint64)) ^ np.uint64(i & 0xFFFFFFFFFFFFFFFF))
-                sub = (mixed % np.maximum(subs, 1).astype(np.uint64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(gram), pa.array(sub), pa.array(subs), pa.array(np.full(len(at), i, np.int64)), pa.array(first), pa.array((span >> 8).astype(np.int32)),
-                        pa.array([text[x:y] for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)], pa.binary()),
-                    ],
-                    ["gram", "sub", "subs", "doc_id", "first", "anchor", "context"],
-                )
-
-
-def _dense(keys: list[np.ndarray]) -> np.ndarray:
-    """Ranks by ``keys``, the last one first in weight; equal keys have equal ranks."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    ranks = np.empty(len(order), np.int64)
-    ranks[order] = np.cumsum(new)
-    return ranks
+        own = slice(ends[0], ends[-1])
+        fields = [listed.values.field(f).to_numpy(zero_copy_only=False)[own] for f in ("gram", "start", "span", "subs")]
+        which = np.repeat(np.arange(len(texts)), np.diff(ends))
+        for lo in range(0, len(which), 4_096):  # rows of several documents: a batch for each would be a dozen rows
+            part = slice(lo, lo + 4_096)
+            text, (gram, at, span, subs) = which[part], (f[part] for f in fields)
+            doc, first, end = ids[text], at - (span >> 8), at - (span & 255) + LENGTH
+            mixed = _scramble(_scramble(at.astype(np.uint64)) ^ doc.view(np.uint64))
+            sub = (mixed % np.maximum(subs, 1).astype(np.uint64)).astype(np.int32)
+            context = [texts[k][x:y] for k, x, y in zip(text.tolist(), first.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram), pa.array(sub), pa.array(subs), pa.array(doc), pa.array(first), pa.array((span >> 8).astype(np.int32)), pa.array(context, pa.binary())],
+                ["gram", "sub", "subs", "doc_id", "first", "anchor", "context"],
+            )
+
+
+def _ordered(first: np.ndarray, *later) -> tuple[np.ndarray, np.ndarray]:
+    """Order by ``first``, then by each of ``later`` (functions of rows, to 40 bits); and which rows differ from those before them.
+
+    Only rows that are still equal are sorted on, by single numbers that lead with their class.
+    """
+    order = np.argsort(first)
+    keys = first[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    for key in later:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        rows, classes = order[at], np.cumsum(new[at])
+        keys = key(rows)
+        if classes[-1] < CLASSES:
+            keys |= classes.astype(np.uint64) << np.uint64(40)
+            by = np.argsort(keys)
+        else:
+            by = np.lexsort((keys, classes))
+        keys = keys[by]
+        order[at] = rows[by]
+        new[at[1:]] |= keys[1:] != keys[:-1]
+    return order, new
+
+
+def _five(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 5 bytes at each position as unsigned numbers."""
+    return _words(text, at, big=True) >> np.uint64(24)
 
 
 _SLOT = np.full(PERIOD, -1)
@@ -196,12 +234,14 @@ _SHIFT = np.array([next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER) f
 
 
 def cover_ranks(text: np.ndarray, size: int) -> np.ndarray:
-    """Ranks of the cover sample of a block by the next 4 * PERIOD bytes, in order of position: ``6 * (p // 31) + slot``."""
+    """Ranks of the cover sample of a block by the next 4 * PERIOD bytes and two, in order of position: ``6 * (p // 31) + slot``."""
     rows = size // PERIOD
     sample = (np.arange(rows)[:, None] * PERIOD + np.array(COVER)).ravel()
-    rank = _dense([_words(text, sample + k, big=True) for k in (PERIOD - 8, 16, 8, 0)])
+    order, new = _ordered(_words(text, sample, big=True), *(lambda rows, k=k: _five(text, sample[rows] + k) for k in range(8, PERIOD, 5)))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
     step = len(COVER)
-    for times in (1, 2):  # PERIOD bytes, then twice and four times as many
+    for times in (1, 2):  # PERIOD bytes and two, then twice and four times as many
         later = np.zeros_like(rank)
         later[: -step * times] = rank[step * times :]
         rank = np.unique(rank * (rank.max(initial=0) + 1) + later, return_inverse=True)[1].astype(np.int64)
@@ -227,19 +267,17 @@ def sort_block(contexts: list[bytes], anchor: np.ndarray, bucket: np.ndarray, do
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     at = base[owner] + inner
     place = bucket[owner] * 256 + (anchor[owner] - inner)  # equal strings agree on bucket and distance to the minimizer
-    depth = [_words(text, at + k, big=True) for k in (PERIOD - 8, 16, 8, 0)]
     shifted = at + _SHIFT[at % PERIOD]
-    tie = ranks[(shifted // PERIOD) * len(COVER) + _SLOT[shifted % PERIOD]]
-    order = np.lexsort([tie, *depth, place])
-
-    same = np.zeros(len(order), bool)
-    same[1:] = place[order][1:] == place[order][:-1]
-    for k in depth:
-        s = k[order]
-        same[1:] &= s[1:] == s[:-1]
-    for k in (*range(PERIOD, LENGTH - 8, 8), LENGTH - 8):  # common prefix of neighbours up to LENGTH
-        hit = np.flatnonzero(same)
-        same[hit] = _words(text, at[order[hit]] + k) == _words(text, at[order[hit - 1]] + k)
+    tie = ranks[(shifted // PERIOD) * len(COVER) + _SLOT[shifted % PERIOD]].astype(np.uint64)
+    lead = place.astype(np.uint64) << np.uint64(40) | _five(text, at)
+    order, new = _ordered(lead, *(lambda rows, k=k: _five(text, at[rows] + k) for k in range(5, int(_SHIFT.max()), 5)), lambda rows: tie[rows])
+
+    same = ~new  # neighbours of one place, equal up to the shift and of equal ranks; of the others, those equal up to LENGTH
+    hit = np.flatnonzero(new)[1:]
+    hit = hit[place[order[hit]] == place[order[hit - 1]]]
+    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        hit = hit[_words(text, at[order[hit]] + k) == _words(text, at[order[hit - 1]] + k)]
+    same[hit] = True
     when = (np.unique(doc, return_inverse=True)[1][owner].astype(np.int64) << 40) | (first[owner] + inner)
     opens_class = np.flatnonzero(~same)
     earliest = np.minimum.reduceat(when[order], opens_class) if len(order) else when

@@ -188,6 +188,91 @@ def test_minimizers_stand_for_every_window_once():
     assert all(b <= a and a + 16 <= f + 100 for a, f, b in zip(at, first, last)) and len(at) < 200
 
 
+def texts_of_all_lengths():
+    rng = random.Random(6)
+    size = [0, 99, 100, 0, 101, 5000, 3, 250, *(rng.randint(0, 400) for _ in range(300)), 0]
+    return [bytes(rng.randrange(97, 100) for _ in range(n)) for n in size]
+
+
+def test_minimizers_of_joined_texts_are_those_of_each_text(monkeypatch):
+    from docloom.llm import substrings
+
+    texts = texts_of_all_lengths()
+    alone = [(k, *row) for k, t in enumerate(texts) for row in zip(*(x.tolist() for x in minimizers(t)), strict=True)]
+    for piece, portion in ((1 << 15, 1 << 20), (100, 1 << 20), (1, 700), (333, 1)):
+        monkeypatch.setattr(substrings, "PIECE", piece)
+        monkeypatch.setattr(substrings, "PORTION", portion)
+        assert list(zip(*(x.tolist() for x in substrings.minimizers_of(texts)), strict=True)) == alone
+    assert [len(x) for x in substrings.minimizers_of([])] == [0] * 5
+
+
+def test_short_documents_are_hashed_and_dealt_out_together(monkeypatch):
+    import pyarrow as pa
+
+    from docloom.llm import substrings
+
+    texts, calls, scramble = texts_of_all_lengths(), [], substrings._scramble
+    monkeypatch.setattr(substrings, "_scramble", lambda x: calls.append(len(x)) or scramble(x))
+    list(substrings._sketch([pa.RecordBatch.from_arrays([pa.array([t.decode() for t in texts])], ["text"])]))
+    assert len(calls) < 20  # two for each text: 469
+
+    found = [[{"gram": int(h), "start": a, "span": (a - f) << 8 | (a - l), "subs": 0} for a, h, f, l in zip(*(x.tolist() for x in minimizers(t)), strict=True)] for t in texts]
+    for row in (r for f in found for r in f):
+        row["gram"] -= 1 << 63
+    kind = pa.list_(pa.struct([("gram", pa.int64()), ("start", pa.int64()), ("span", pa.int32()), ("subs", pa.int32())]))
+    ids = [7 * k - 50 for k in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([t.decode() for t in texts]), pa.array(found, kind)], ["doc_id", "text", "grams"])
+    dealt = list(substrings._contexts([batch, batch.slice(5, 100)]))
+    rows = [r for b in dealt for r in b.to_pylist()]
+    want = [
+        (i, r["gram"], r["start"] - (r["span"] >> 8), r["span"] >> 8, t[r["start"] - (r["span"] >> 8) : r["start"] - (r["span"] & 255) + 100])
+        for a, z in ((0, len(texts)), (5, 105)) for i, t, own in zip(ids[a:z], texts[a:z], found[a:z], strict=True) for r in own
+    ]
+    assert [(r["doc_id"], r["gram"], r["first"], r["anchor"], r["context"]) for r in rows] == want
+    assert len(dealt) == 2  # one document at a time: 300
+
+
+@pytest.mark.parametrize("classes", [1 << 24, 3])
+def test_sorted_blocks_equal_brute_force(monkeypatch, classes):
+    from docloom.llm import substrings
+
+    monkeypatch.setattr(substrings, "CLASSES", classes)
+    rng = random.Random(9)
+    contexts, anchor, bucket, first = [], [], [], []
+    for b in range(40):  # texts alike around the minimizer, which stands at another place in each
+        base = bytes(rng.randrange(0, 3) for _ in range(184))
+        for _ in range(rng.choice([2, 3, 9])):
+            text = bytearray(base)
+            if rng.random() < 0.7:
+                text[rng.randrange(184)] ^= 4
+            a = rng.randint(0, 84)
+            contexts.append(bytes(text[84 - a : 184 - rng.randint(0, a)]))
+            anchor.append(a)
+            bucket.append(b)
+            first.append(rng.randint(0, 1 << 30))
+    doc = [rng.randint(-5, 5) for _ in contexts]
+    owner, inner, repeated = substrings.sort_block(contexts, np.array(anchor), np.array(bucket), np.array(doc), np.array(first))
+    windows = list(zip(owner.tolist(), inner.tolist(), strict=True))
+    assert windows == [(o, i) for o, c in enumerate(contexts) for i in range(len(c) - 99)]
+    key = [(bucket[o], anchor[o] - i, contexts[o][i : i + 100]) for o, i in windows]
+    when = [(doc[o], first[o] + i) for o, i in windows]
+    least = {}
+    for k, w in zip(key, when, strict=True):
+        least[k] = min(w, least.get(k, w))
+    assert repeated.tolist() == [w > least[k] for k, w in zip(key, when, strict=True)] and repeated.any()
+    assert _sorted_on_rows_that_are_tied(substrings._ordered)
+
+
+def _sorted_on_rows_that_are_tied(ordered):
+    rng, read = np.random.default_rng(2), []
+    keys = rng.integers(0, [[40], [3], [3]], (3, 60)).astype(np.uint64)
+    order, new = ordered(keys[0], *(lambda rows, k=k: read.append(sorted(rows.tolist())) or k[rows] for k in keys[1:]))
+    rows = [tuple(keys[:, i]) for i in order]
+    assert rows == sorted(rows) and new.tolist() == [not i or rows[i] != rows[i - 1] for i in range(60)]
+    alike = [[i for i in range(60) if (keys[:n] == keys[:n, [i]]).all(axis=0).sum() > 1] for n in (1, 2)]
+    return read == alike and 0 < len(read[1]) < len(read[0]) < 60
+
+
 def clustered_vectors():
     rng = np.random.default_rng(5)
     rows = []
